@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# A control character that marks the two ends of each match, see match_pieces().
+# A control character that marks the two ends of each match, see marked().
 MARK = "\u0001"
 
 # Texts are sliced from pieces of this many code points, so that a slice costs
@@ -110,45 +110,21 @@ def quoted(literal: str) -> str:
     return "\\Q" + literal.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
-def match_pieces(text: Column, regex: str) -> Column:
-    """``[gap, match, gap, match, ..., gap]`` of all leftmost matches of ``regex``, or ``[]`` if none.
+def mark_for(text: Column) -> Column:
+    """A mark the text does not contain: MARK, or in the rare text that holds it, one with the text's hash."""
+    return F.when(F.contains(text, F.lit(MARK)), F.concat(F.lit(MARK), F.md5(text), F.lit(MARK))).otherwise(F.lit(MARK))
 
-    One regex pass sets marks around the matches, then the marks are split away.
-    Texts that hold the mark themselves take a slower two-pass route.
-    """
-    def two_pass() -> Column:
-        return let(
-            F.struct(
-                F.split(text, regex, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("hits")
-            ),
-            lambda v: F.when(
-                F.size(v["hits"]) > 0,
-                F.flatten(
-                    F.transform(
-                        v["gaps"],
-                        lambda g, i: F.when(i < F.size(v["hits"]), F.array(g, item(v["hits"], i))).otherwise(F.array(g)),
-                    )
-                ),
-            ).otherwise(F.array().cast("array<string>")),
-        )
-
-    return let(
-        F.regexp_replace(text, F.lit(regex), F.lit(f"{MARK}$0{MARK}")),
-        lambda marked: F.when(~F.contains(marked, F.lit(MARK)), F.array().cast("array<string>"))
-        .when(F.contains(text, F.lit(MARK)), two_pass())
-        .otherwise(F.split(marked, MARK, -1)),
-    )
 
+def marked(text: Column, regex: str, mark: Column) -> Column:
+    """The text with a mark before and after each leftmost match: one regex pass.
 
-def literal_pieces(text: Column, literal: str) -> Column:
-    """The text split at each occurrence of a literal."""
-    return F.when(F.contains(text, F.lit(MARK)), F.split(text, quoted(literal), -1)).otherwise(
-        F.split(F.replace(text, F.lit(literal), F.lit(MARK)), MARK, -1)
-    )
+    Split at the mark it reads ``[gap, match, gap, match, ..., gap]``.
+    """
+    return F.regexp_replace(text, F.lit(regex), F.concat(mark, F.lit("$0"), mark))
 
 
 def odd_items(pieces: Column, item: Callable[[Column], Column]) -> Column:
-    """``item(i)`` for the match positions 1, 3, 5, ... of match_pieces()."""
+    """``item(i)`` for the match positions 1, 3, 5, ... of a split marked text."""
     return F.transform(F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2)), item)
 
 
@@ -182,6 +158,43 @@ def running_totals(values: Column) -> Column:
     return let(values, lambda vals: F.when(F.size(vals) <= BLOCK, within(vals)).otherwise(by_block(vals)))
 
 
+def sql_literal(value: str) -> str:
+    """A string as a SQL literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_let(value: str, name: str, body: str) -> str:
+    """let() in SQL."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def sql_running_totals(values: str) -> str:
+    """running_totals() in SQL."""
+    def within(block: str) -> str:
+        grown = f"aggregate({block}, array(0), (acc, v) -> concat(acc, array(element_at(acc, -1) + v)))"
+        return f"slice({grown}, 1, size({block}))"
+
+    sums = "transform(bs, b -> aggregate(b, 0, (a, v) -> a + v))"
+    shifted = f"flatten(transform(bs, (b, j) -> transform({within('b')}, v -> v + element_at(base, j + 1))))"
+    blocks = f"transform(sequence(1, size(vals), {BLOCK}), b -> slice(vals, b, {BLOCK}))"
+    by_block = sql_let(blocks, "bs", sql_let(sums, "totals", sql_let(within("totals"), "base", shifted)))
+    return sql_let(values, "vals", f"CASE WHEN size(vals) <= {BLOCK} THEN {within('vals')} ELSE {by_block} END")
+
+
+def sql_cut(pieces: str, start: str, length: str) -> str:
+    """cut() in SQL, for a positive length."""
+    first = f"shiftright({start}, {CHUNK_BITS})"
+    last = f"shiftright({start} + {length} - 1, {CHUNK_BITS})"
+    near = f"array_join(slice({pieces}, {first} + 1, {last} - {first} + 1), '')"
+    return f"substring({near}, {start} - shiftleft({first}, {CHUNK_BITS}) + 1, {length})"
+
+
+def sql_mark(text: str) -> str:
+    """mark_for() in SQL."""
+    m = sql_literal(MARK)
+    return f"CASE WHEN contains({text}, {m}) THEN concat({m}, md5({text}), {m}) ELSE {m} END"
+
+
 def chunks(text: Column) -> Column:
     """The text as an array of CHUNK-long pieces (the last may be shorter)."""
     return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
@@ -221,7 +234,8 @@ def words_at(text: Column) -> Column:
         )
 
     none = F.array().cast("array<struct<start:int,end:int,word:string>>")
-    return let(match_pieces(text, f"[^{SPACE}]+"), lambda p: F.when(F.size(p) > 0, placed(p)).otherwise(none))
+    pieces = let(mark_for(text), lambda mark: F.split(marked(text, f"[^{SPACE}]+", mark), mark, -1))
+    return let(pieces, lambda p: F.when(F.size(p) > 1, placed(p)).otherwise(none))
 
 
 def is_ascii(text: Column) -> Column:

@@ -1,12 +1,12 @@
 """Detection: text -> candidate spans, all inside the row.
 
 Spans are an array column, so detection needs no shuffle and no Python worker:
-one scan of the text table, each rule one or two native regex passes.
+one scan of the text table, each rule one native regex pass.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,94 +43,101 @@ def span(start, end, text, label, source, specificity, ord, score=None) -> Colum
     )
 
 
-def _any_in(text: Column, needles: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(n)) for n in needles])
+def _contains_any(text: str, needles: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({text}, {tx.sql_literal(n)})" for n in needles) + ")"
 
 
-def rule_spans(text: Column, rule: TextRule, native_boundary: bool = False) -> Column:
-    """All leftmost non-overlapping matches of one rule."""
-    regex = tx.java_regex(rule.pattern, native_boundary)
-
-    def from_pieces(pieces: Column) -> Column:
-        return tx.let(
-            tx.running_totals(F.transform(pieces, lambda p: F.length(p))),
-            lambda starts: tx.odd_items(
-                pieces,
-                lambda i: span(
-                    tx.item(starts, i), tx.item(starts, i + 1), tx.item(pieces, i),
-                    F.lit(rule.label), "regex", F.lit(rule.specificity), F.lit(rule.ord),
-                ),
-            ),
-        )
-
-    found = tx.let(
-        tx.match_pieces(text, regex),
-        lambda pieces: F.when(F.size(pieces) > 0, from_pieces(pieces)).otherwise(no_spans()),
+def _sql_span(start: str, end: str, text: str, label: str, source: str, specificity: str, ord: str) -> str:
+    """span() in SQL."""
+    return (
+        f"named_struct('start', {start}, 'back', -({end}), 'ord', {ord}, 'end', {end}, 'text', {text}, 'label', {label}, "
+        f"'source', '{source}', 'score', CAST(NULL AS DOUBLE), 'specificity', {specificity})"
     )
-    return F.when(_any_in(text, rule.needs), found).otherwise(no_spans()) if rule.needs else found
-
-
-def key_spans(lower: Column, pieces: Column, key: ContextKey) -> Column:
-    """First value match in the window after each occurrence of one keyword.
-
-    Positions come from the lower-cased text and windows from the original one.
-    """
-    regex = tx.java_regex(key.pattern)
-    # the shortest lead before a match is the lead of the leftmost match
-    lead = rf"\A([\s\S]*?)(?:{regex})"
-
-    def in_window(pos: Column, window: Column) -> Column:
-        def at(v: Column) -> Column:
-            return span(
-                v["start"], v["start"] + F.length(v["text"]), v["text"],
-                F.lit(key.label), "context", F.lit(fixed.CONTEXT_SPECIFICITY), F.lit(key.ord),
-            )
-
-        start = pos + F.length(F.regexp_extract(window, lead, 1))
-        return tx.let(
-            F.regexp_extract(window, regex, 0),
-            lambda value: F.when(value != "", tx.let(F.struct(start.alias("start"), value.alias("text")), at)),
-        )
 
-    def after_each(gaps: Column) -> Column:
-        steps = F.transform(gaps, lambda g: F.length(g) + len(key.key))
-        return tx.let(
-            F.slice(tx.running_totals(steps), 2, F.size(gaps) - 1),
-            lambda ends: F.filter(
-                F.transform(
-                    ends,
-                    lambda pos: tx.let(tx.cut(pieces, pos, F.lit(key.window)), lambda w: in_window(pos, w)),
-                ),
-                lambda s: s.isNotNull(),
-            ),
-        )
 
-    found = tx.let(tx.literal_pieces(lower, key.key), after_each)
-    return F.when(F.contains(lower, F.lit(key.key)), found).otherwise(no_spans())
+def text_spans(text: str, rules: list[TextRule]) -> Column:
+    """Spans of all regex rules on a text column: all leftmost non-overlapping matches of each.
 
+    One regex pass per rule sets a mark before and after each match; split at the
+    mark, the text reads gap, match, gap, ..., and offsets are running lengths.
+    Patterns are literals, compiled once per task; what follows the regex is one
+    expression over all rules. Nearly all texts take the faster spelling of the
+    patterns; the exact one is kept for texts with characters that Java and
+    Python class differently.
 
-def text_spans(text: Column, rules: list[TextRule]) -> Column:
-    """Spans of all regex rules, in catalog order.
-
-    Nearly all texts take the faster spelling of the patterns; the exact one is
-    kept for texts with characters that Java and Python class differently.
+    Written as SQL text: long literal lists are built there in one call.
     """
     if not rules:
         return no_spans()
-    return F.when(
-        tx.same_words(text), F.flatten(F.array(*[rule_spans(text, r, native_boundary=True) for r in rules]))
-    ).otherwise(F.flatten(F.array(*[rule_spans(text, r) for r in rules])))
+    t = f"`{text}`"
+
+    def by_rule(native_boundary: bool) -> str:
+        def one(r: TextRule) -> str:
+            regex = tx.sql_literal(tx.java_regex(r.pattern, native_boundary))
+            hit = f"regexp_replace({t}, {regex}, concat(mark, '$0', mark))"
+            if r.needs:
+                hit = f"CASE WHEN {_contains_any(t, r.needs)} THEN {hit} END"
+            label = tx.sql_literal(r.label)
+            return f"named_struct('ord', {r.ord}, 'label', {label}, 'specificity', {r.specificity}, 'marked', {hit})"
+
+        return f"array({', '.join(one(r) for r in rules)})"
+
+    odd = tx.sql_literal(tx.ODD_WORD)
+    same_words = f"octet_length({t}) = length({t}) OR NOT rlike({t}, {odd})"
+    each = f"CASE WHEN {same_words} THEN {by_rule(True)} ELSE {by_rule(False)} END"
+    one_span = _sql_span(
+        "element_at(starts, i + 1)", "element_at(starts, i + 2)", "element_at(pieces, i + 1)",
+        "m.label", "regex", "m.specificity", "m.ord",
+    )
+    placed = tx.sql_let(
+        tx.sql_running_totals("transform(pieces, p -> length(p))"), "starts",
+        f"transform(sequence(1, size(pieces) - 2, 2), i -> {one_span})",
+    )
+    of_rule = tx.sql_let("split(m.marked, mark, -1)", "pieces", placed)
+    found = f"flatten(transform(filter({each}, m -> contains(m.marked, mark)), m -> {of_rule}))"
+    return F.expr(tx.sql_let(tx.sql_mark(t), "mark", found))
 
 
-def context_spans(text: Column, keys: list[ContextKey]) -> Column:
-    """Spans of all keyword-window rules, in catalog order."""
+def context_spans(text: str, keys: list[ContextKey]) -> Column:
+    """First value match in the window after each occurrence of each keyword.
+
+    Positions come from the lower-cased text and windows from the original one,
+    which is sliced before the value is looked for.
+    """
     if not keys:
         return no_spans()
-    per_text = lambda low: F.when(
-        _any_in(low, tuple(dict.fromkeys(k.key for k in keys))),
-        tx.let(tx.chunks(text), lambda pieces: F.flatten(F.array(*[key_spans(low, pieces, k) for k in keys]))),
-    ).otherwise(no_spans())
-    return tx.let(F.lower(text), per_text)
+    t = f"`{text}`"
+    patterns = list(dict.fromkeys(k.pattern for k in keys))
+    regexes = [tx.java_regex(p) for p in patterns]
+
+    def by_pattern(of: Callable[[str], str]) -> str:
+        cases = " ".join(f"WHEN {i} THEN {of(p)}" for i, p in enumerate(regexes))
+        return f"CASE w.key.pattern {cases} END"
+
+    def split_at(k: ContextKey) -> str:
+        key = tx.sql_literal(k.key)
+        pieces = f"CASE WHEN contains(low, {key}) THEN split(replace(low, {key}, mark), mark, -1) END"
+        return (
+            f"named_struct('ord', {k.ord}, 'label', {tx.sql_literal(k.label)}, 'pattern', {patterns.index(k.pattern)}, "
+            f"'window', {k.window}, 'length', {len(k.key)}, 'pieces', {pieces})"
+        )
+
+    present = f"filter(array({', '.join(split_at(k) for k in keys)}), k -> k.pieces IS NOT NULL)"
+    ends = f"slice({tx.sql_running_totals('transform(k.pieces, p -> length(p) + k.length)')}, 2, size(k.pieces) - 1)"
+    window = f"named_struct('pos', pos, 'key', k, 'text', {tx.sql_cut('chunks', 'pos', 'k.window')})"
+    windows = f"flatten(transform({present}, k -> transform({ends}, pos -> {window})))"
+    value = by_pattern(lambda p: f"regexp_extract(w.text, {tx.sql_literal(p)}, 0)")
+    # the shortest lead before a match is the lead of the leftmost match
+    lead = by_pattern(lambda p: f"regexp_extract(w.text, {tx.sql_literal(rf'\A([\s\S]*?)(?:{p})')}, 1)")
+    values = f"transform({windows}, w -> named_struct('start', w.pos + length({lead}), 'text', {value}, 'key', w.key))"
+    one_span = _sql_span(
+        "f.start", "f.start + length(f.text)", "f.text", "f.key.label", "context", str(fixed.CONTEXT_SPECIFICITY), "f.key.ord"
+    )
+    all_chunks = f"regexp_extract_all({t}, '(?s).{{1,{tx.CHUNK}}}', 0)"
+    found = f"transform(filter({tx.sql_let(all_chunks, 'chunks', values)}, f -> f.text <> ''), f -> {one_span})"
+    some_key = _contains_any("low", tuple(dict.fromkeys(k.key for k in keys)))
+    lowered = f"CASE WHEN {some_key} THEN {tx.sql_let(tx.sql_mark('low'), 'mark', found)} ELSE CAST(array() AS {NO_SPANS}) END"
+    return F.expr(tx.sql_let(f"lower({t})", "low", lowered))
 
 
 def recogniser_spans(text: Column, found: Column, catalog: Catalog) -> Column:
@@ -166,10 +173,9 @@ def recogniser_spans(text: Column, found: Column, catalog: Catalog) -> Column:
 
 def detect(docs: DataFrame, catalog: Catalog, text: str = "text", ner: str | None = None) -> DataFrame:
     """Add ``spans``: regex, keyword and (if ``ner`` names such a column) recogniser spans."""
-    t = F.col(text)
-    parts = [text_spans(t, catalog.rules), context_spans(t, catalog.keys)]
+    parts = [text_spans(text, catalog.rules), context_spans(text, catalog.keys)]
     if ner:
-        parts.append(recogniser_spans(t, F.col(ner), catalog))
+        parts.append(recogniser_spans(F.col(text), F.col(ner), catalog))
     return docs.withColumn("spans", F.flatten(F.array(*parts)))
 
 

@@ -15,6 +15,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from maskwright.functions.text import sql_literal
 from maskwright.sources import fixed_values as fixed
 
 log = logging.getLogger(__name__)
@@ -58,8 +59,8 @@ class Catalog:
         up = F.upper(label)
         if not self.synonyms:
             return up
-        pairs = [F.lit(x) for kv in self.synonyms.items() for x in kv]
-        return F.coalesce(F.try_element_at(F.create_map(*pairs), up), up)
+        names = F.expr(f"map({', '.join(sql_literal(x) for kv in self.synonyms.items() for x in kv)})")
+        return F.coalesce(F.try_element_at(names, up), up)
 
 
 def _usable(pattern: str, label: str) -> bool:
