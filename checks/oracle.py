@@ -143,7 +143,8 @@ def merged(person: bool, address: bool) -> str:
             f"AND regexp_full_match(gap, '[,{WS}]*'))"
         )
     return f"""SELECT doc_id, min(start) AS start, max("end") AS "end", max(specificity) AS specificity,
-        CASE WHEN bool_or(label = 'ADDRESS_LINE') THEN 'ADDRESS_LINE' ELSE min(label) END AS label, any_value(body) AS body FROM (
+        CASE WHEN bool_or(label = 'ADDRESS_LINE') THEN 'ADDRESS_LINE' ELSE min(label) END AS label,
+        first(score ORDER BY start) AS score, any_value(body) AS body FROM (
       SELECT *, sum(CASE WHEN joins THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY start) AS run FROM (
         SELECT *, coalesce({' OR '.join(tests)}, false) AS joins FROM (
           SELECT *, substr(body, pe + 1, start - pe) AS gap FROM (
@@ -162,7 +163,7 @@ def splits(source: str, val: float, test: float, strata: str = "0") -> str:
         total = f"sum({left}) OVER ()"
         return f"""SELECT * EXCLUDE (exact, train), CAST(floor(exact) + CASE WHEN row_number() OVER (ORDER BY exact - floor(exact) DESC, s)
             <= train - sum(floor(exact)) OVER () THEN 1 ELSE 0 END AS BIGINT) AS keep_{left} FROM (
-            SELECT *, {left} / {total} * train AS exact FROM (SELECT *, {total} - ceil({total} * {ratio!r}) AS train FROM ({src})))"""
+            SELECT *, {left} / {total} * train AS exact FROM (SELECT *, {total} - ceil({total} * {ratio!r}::DOUBLE) AS train FROM ({src})))"""
 
     sizes = draw("keep_n", val / (1.0 - test), draw("n", test, f"SELECT {strata} AS s, count(*) AS n FROM {source} GROUP BY 1"))
     return f"""SELECT r.* EXCLUDE (s, rn), CASE WHEN rn <= z.n - z.keep_n THEN 'test' WHEN rn <= z.n - z.keep_keep_n THEN 'validation' ELSE 'train' END AS split
@@ -180,11 +181,10 @@ def mix(table: str, include_pseudo: str, number: str, name: str) -> str:
       UNION ALL SELECT {number}, {cols}, true, true, {SWAP.format('tokens')}, labels FROM ({copies}) WHERE regexp_matches(labels, '[^O ]')"""
 
 
-LOW, UP = "abcdefghijklmnopqrstuvwxyzé", "ABCDEFGHIJKLMNOPQRSTUVWXYZÉ"
 ACC_LOW, ACC_UP = "àáâäãçèéêëìíîïñòóôöõùúûü", "ÀÁÂÄÃÇÈÉÊËÌÍÎÏÑÒÓÔÖÕÙÚÛÜ"
-SWAP = "translate({}, " + lit("abcdefghijklmnopqrstuvwxyz" + ACC_LOW + "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + ACC_UP) + ", " + lit(
+SWAP = "replace(translate({}, " + lit("abcdefghijklmnopqrstuvwxyz" + ACC_LOW + "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + ACC_UP) + ", " + lit(
     "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + ACC_UP + "abcdefghijklmnopqrstuvwxyz" + ACC_LOW
-) + ")"
+) + "), 'ß', 'SS')"
 
 TAGS = "string_agg(tag, ' ' ORDER BY no) AS labels"
 TOKENS = "string_agg(word, ' ' ORDER BY no) AS tokens"
@@ -203,15 +203,15 @@ CTES = {
         200000 AS ord FROM (SELECT r.doc_id, r.start, r."end", r.text, {canonical('r.label')} AS label, r.score,
           lower(substr(n.text, greatest(r.start - 20, 0) + 1, r.start - greatest(r.start - 20, 0))) AS before
         FROM ner r JOIN notes n USING (doc_id))""",
-    "candidates": f"""SELECT doc_id, start, "end", text, label, source, specificity, ord FROM ({rule_rows('masked_notes', 'doc_id', CATALOG.rules)})
-      UNION ALL SELECT doc_id, start, "end", text, label, source, specificity, ord FROM ({key_rows('masked_notes', 'doc_id', CATALOG.keys)})
-      UNION ALL SELECT doc_id, start, "end", text, label, source, specificity, ord FROM recognised""",
+    "candidates": f"""SELECT doc_id, start, "end", text, label, source, specificity, ord, CAST(NULL AS DOUBLE) AS score FROM ({rule_rows('masked_notes', 'doc_id', CATALOG.rules)})
+      UNION ALL SELECT doc_id, start, "end", text, label, source, specificity, ord, NULL FROM ({key_rows('masked_notes', 'doc_id', CATALOG.keys)})
+      UNION ALL SELECT doc_id, start, "end", text, label, source, specificity, ord, score FROM recognised""",
     "grouped": """SELECT *, sum(CASE WHEN pm IS NULL OR start >= pm THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start, "end" DESC, ord) AS grp
       FROM (SELECT *, max("end") OVER (PARTITION BY doc_id ORDER BY start, "end" DESC, ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pm FROM candidates)""",
     "winner": """SELECT * FROM grouped QUALIFY row_number() OVER (PARTITION BY doc_id, grp ORDER BY specificity DESC, "end" - start DESC, start, "end" DESC, ord) = 1""",
     "kept": f"SELECT * FROM winner WHERE NOT (upper(label) = 'ORG' AND regexp_replace(lower(text), {STRIP}, '', 'g') IN ('nric', 'cvc', 'ssn', 'iban'))",
-    "final_rows": f"SELECT doc_id, start, \"end\", substr(body, start + 1, \"end\" - start) AS text, label, specificity, start AS ord FROM ({merged(True, True)})",
-    "shown": f"SELECT * FROM (SELECT doc_id, start, \"end\", text, {canonical('label')} AS label FROM final_rows) WHERE label <> 'IGNORE'",
+    "final_rows": f"SELECT doc_id, start, \"end\", substr(body, start + 1, \"end\" - start) AS text, label, specificity, score, start AS ord FROM ({merged(True, True)})",
+    "shown": f"SELECT * FROM (SELECT doc_id, start, \"end\", text, {canonical('label')} AS label, score FROM final_rows) WHERE label <> 'IGNORE'",
     "marks": """SELECT *, '***[' || label || '#' || CAST(number AS VARCHAR) || ']***' AS placeholder FROM
       (SELECT *, CAST(row_number() OVER (PARTITION BY doc_id, label ORDER BY start) AS INT) AS number FROM shown)""",
     "rewritten": """SELECT n.doc_id, coalesce(r.head || substr(n.text, r.last + 1), n.text) AS redacted_text FROM notes n LEFT JOIN (
@@ -219,10 +219,10 @@ CTES = {
         SELECT m.*, substr(n.text, coalesce(lag(m."end") OVER w, 0) + 1, m.start - coalesce(lag(m."end") OVER w, 0)) AS gap
         FROM marks m JOIN notes n USING (doc_id) WINDOW w AS (PARTITION BY m.doc_id ORDER BY m.start)) GROUP BY doc_id) r USING (doc_id)""",
     "entities": """SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start) AS INT) AS entity_no, label AS type, placeholder,
-      CASE WHEN length(text) > 10 THEN substr(text, 1, 10) || '...' ELSE text END AS value_preview, CAST(NULL AS DOUBLE) AS confidence, text FROM marks""",
+      CASE WHEN length(text) > 10 THEN substr(text, 1, 10) || '...' ELSE text END AS value_preview, score AS confidence, text FROM marks""",
     # the documents table: e-mail and name rules and all others, without recogniser
-    "doc_candidates": f"""SELECT doc_id, start, "end", text, label, specificity, ord FROM ({rule_rows('masked_documents', 'doc_id', CATALOG.rules)})
-      UNION ALL SELECT doc_id, start, "end", text, label, specificity, ord FROM ({key_rows('masked_documents', 'doc_id', CATALOG.keys)})""",
+    "doc_candidates": f"""SELECT doc_id, start, "end", text, label, specificity, ord, CAST(NULL AS DOUBLE) AS score FROM ({rule_rows('masked_documents', 'doc_id', CATALOG.rules)})
+      UNION ALL SELECT doc_id, start, "end", text, label, specificity, ord, NULL FROM ({key_rows('masked_documents', 'doc_id', CATALOG.keys)})""",
     "note_words": word_rows("notes"),
     "tagged": bio_rows("note_words", "final_rows").replace("SELECT doc_id, no, word, CASE WHEN raw", "SELECT doc_id AS sent_id, no, word, CASE WHEN raw", 1),
     "damaged": """SELECT sent_id, no, word, CASE WHEN (sent_id + no - 1) % 7 = 0 AND tag <> 'O' THEN substr(tag, 3)

@@ -13,7 +13,7 @@ from maskwright.operators import adjudicate, detect, labels, mixes, splits
 from maskwright.plans.notes import notes as notes_of
 from maskwright.sources.catalog import TextRule, default_catalog
 from maskwright.sources.sinks import as_table
-from maskwright.sources.spans import attach_spans
+from maskwright.sources.spans import attach_spans, spread
 
 SEED = 42
 VAL, TEST = 0.1, 0.1
@@ -34,8 +34,11 @@ PSEUDO_GROUPS = ["PER"]
 GENERAL_TAGS = [("B-ORG", "^[A-Z]{2,}$"), ("I-PER", "^[A-Z][a-z]+$"), ("MISC", "^[0-9]+$")]
 
 
+KEYS = {"orders": "o_orderkey", "documents": "doc_id", "conversations": "conv_id"}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf}/{name}.parquet"), KEYS[name])
 
 
 def notes(spark: SparkSession, sf: str) -> DataFrame:

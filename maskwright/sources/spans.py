@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 FOUND = "array<struct<start:int,end:int,label:string,score:double>>"
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """A table in fewer splits than there are cores, spread over the cores by ``key``.
+
+    Work on texts is CPU-bound, and a small file is one split. Large tables have
+    more splits than cores and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def valid_documents(df: DataFrame, text: str = "text") -> DataFrame:
     """Documents with a non-empty text; white space alone is a text."""
     return df.filter(F.length(text) >= 1)
