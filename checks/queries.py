@@ -59,7 +59,7 @@ def rule_catalog(spark, sf):
     """The ordered rules with their number of matches."""
     rows = [(r.ord, r.label, r.pattern, r.specificity) for r in CATALOG.rules]
     rules = spark.createDataFrame(rows, "ord int, label string, pattern string, specificity int")
-    counts = st.texts(spark, sf).select(F.explode(detect.text_spans("text", CATALOG.rules)["ord"]).alias("ord"))
+    counts = st.texts(spark, sf).transform(lambda df: tx.each(df, ord=detect.text_spans("text", CATALOG.rules)["ord"]))
     n = counts.groupBy("ord").agg(F.count(F.lit(1)).alias("n_spans"))
     return rules.join(n, "ord", "left").select("ord", "label", "pattern", "specificity", F.coalesce("n_spans", F.lit(0)).alias("n_spans"))
 
@@ -68,7 +68,7 @@ def context_catalog(spark, sf):
     """One row per keyword with its number of findings."""
     rows = [(k.ord, k.key, k.window, k.label, k.pattern) for k in CATALOG.keys]
     keys = spark.createDataFrame(rows, "ord int, key string, window int, label string, value_regex string")
-    counts = st.texts(spark, sf).select(F.explode(detect.context_spans("text", CATALOG.keys)["ord"]).alias("ord"))
+    counts = st.texts(spark, sf).transform(lambda df: tx.each(df, ord=detect.context_spans("text", CATALOG.keys)["ord"]))
     n = counts.groupBy("ord").agg(F.count(F.lit(1)).alias("n_spans"))
     return keys.join(n, "ord", "left").select(
         "ord", "key", "window", "label", "value_regex", F.coalesce("n_spans", F.lit(0)).alias("n_spans")
@@ -201,13 +201,13 @@ def _kept(s: Column) -> Column:
 
 
 def span_order(spark, sf):
-    ranked = _step(spark, sf, lambda s: s).select("doc_id", F.posexplode("spans").alias("pos", "s"))
+    ranked = _step(spark, sf, lambda s: s).select("doc_id", F.posexplode_outer("spans").alias("pos", "s")).filter("s is not null")
     return ranked.select("doc_id", (F.col("pos") + 1).alias("rank"), "s.start", "s.end", "s.label", "s.specificity")
 
 
 def overlap_groups(spark, sf):
-    groups = _step(spark, sf, adjudicate.overlap_groups).select("doc_id", F.posexplode("spans").alias("pos", "g"))
-    rows = groups.select("doc_id", (F.col("pos") + 1).alias("group_no"), F.explode("g").alias("s"))
+    groups = _step(spark, sf, adjudicate.overlap_groups).select("doc_id", F.posexplode_outer("spans").alias("pos", "g"))
+    rows = tx.each(groups.withColumn("group_no", F.col("pos") + 1), "doc_id", "group_no", s=F.col("g"))
     return rows.select("doc_id", "group_no", "s.start", "s.end", "s.label", "s.specificity")
 
 
@@ -261,7 +261,7 @@ def drop_ignore(spark, sf):
 
 
 def _marks(spark, sf) -> DataFrame:
-    return redact.mark(st.adjudicated(spark, sf), CATALOG).select("doc_id", F.inline("marks"))
+    return tx.each(redact.mark(st.adjudicated(spark, sf), CATALOG), "doc_id", m=F.col("marks")).select("doc_id", "m.*")
 
 
 def placeholder_number(spark, sf):
@@ -338,7 +338,7 @@ def sanitize_bio(spark, sf):
 
 def label_order(spark, sf):
     """Distinct raw labels in order."""
-    seen = st.damaged_notes(spark, sf).select(F.explode(F.array_distinct("labels")).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    seen = st.damaged_notes(spark, sf).transform(lambda df: tx.each(df, label=F.array_distinct("labels"))).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     ordered = seen.agg(F.array_sort(F.transform(F.collect_list("label"), bio.order_key)).alias("o"))
     return ordered.select(F.posexplode("o").alias("rank", "k")).select((F.col("rank") + 1).alias("rank"), "k.label")
 

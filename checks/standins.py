@@ -61,7 +61,7 @@ def _found(text: str, rules: list[tuple[str, str]]) -> Column:
 
 def ner_rows(docs: DataFrame) -> DataFrame:
     """``(doc_id, start, end, label, score)`` as any recogniser would deliver them."""
-    return docs.select("doc_id", F.explode(_found("text", NER_RULES)).alias("e")).select("doc_id", "e.*")
+    return tx.each(docs, "doc_id", e=_found("text", NER_RULES)).select("doc_id", "e.*")
 
 
 def notes_with_ner(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A control character that marks the two ends of each match, see marked().
@@ -238,6 +238,16 @@ def words_at(text: Column) -> Column:
     return let(pieces, lambda p: F.when(F.size(p) > 1, placed(p)).otherwise(none))
 
 
+def each(df: DataFrame, *keep: str, **arrays: Column) -> DataFrame:
+    """One row per element of one array: the kept columns and the element.
+
+    An outer explode with the empty rows filtered after it. For a plain explode the
+    optimizer adds a test of the array below, which evaluates a costly one again.
+    """
+    (name, array), = arrays.items()
+    return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+
+
 def is_ascii(text: Column) -> Column:
     return F.octet_length(text) == F.length(text)
 

@@ -182,4 +182,4 @@ def detect(docs: DataFrame, catalog: Catalog, text: str = "text", ner: str | Non
 def span_rows(df: DataFrame, *keep: str, spans: str = "spans") -> DataFrame:
     """One row per span."""
     cols = ["start", "end", "text", "label", "source", "score", "specificity", "ord"]
-    return df.select(*keep, F.explode(spans).alias("_s")).select(*keep, *[F.col(f"_s.{c}") for c in cols])
+    return tx.each(df, *keep, _s=F.col(spans)).select(*keep, *[F.col(f"_s.{c}") for c in cols])

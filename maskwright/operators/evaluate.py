@@ -31,7 +31,7 @@ def decode_predictions(df: DataFrame, labels: list[str], logits: str = "logits",
 def entity_rows(df: DataFrame, tags: str, *keep: str) -> DataFrame:
     """One row per entity of a tag column."""
     found = tx.let(F.col(tags), bio.entities)
-    return df.select(*keep, F.explode(found).alias("e")).select(*keep, "e.type", "e.start", "e.end")
+    return tx.each(df, *keep, e=found).select(*keep, "e.type", "e.start", "e.end")
 
 
 def _counts(true: Column, pred: Column) -> Column:
@@ -69,7 +69,7 @@ def entity_counts(df: DataFrame, *by: str, true: str = "true_tags", pred: str =
         F.struct(tx.let(F.col(true), bio.entities).alias("t"), tx.let(F.col(pred), bio.entities).alias("p")),
         lambda v: _counts(v["t"], v["p"]),
     )
-    rows = df.select(*by, F.explode(per_row).alias("c")).select(*by, "c.*")
+    rows = tx.each(df, *by, c=per_row).select(*by, "c.*")
     return rows.groupBy(*by, "entity_type").agg(*[F.sum(c).alias(c) for c in ("t", "p", "h")])
 
 

@@ -20,7 +20,7 @@ MAP_LIMIT = 2_000
 
 def label_vocab(*corpora: DataFrame) -> DataFrame:
     """``(label, id)`` over all corpora: O first (always present), then by type, B before I."""
-    seen = [c.select(F.explode(F.array_distinct("labels")).alias("label")) for c in corpora]
+    seen = [tx.each(c, label=F.array_distinct("labels")) for c in corpora]
     labels = reduce(DataFrame.unionByName, seen).distinct()
     # the distinct labels only: a few dozen strings
     gathered = labels.agg(F.array_union(F.array(F.lit("O")), F.collect_list("label")).alias("all"))
@@ -81,7 +81,7 @@ def add_swapcase(df: DataFrame, tagged: Column | None = None) -> DataFrame:
     copy = F.struct(F.lit(True).alias("augmented"), swapped.alias("tokens"))
     both = F.when(F.col("is_pii") & tagged, F.array(plain, copy)).otherwise(F.array(plain))
     rest = [c for c in df.columns if c != "tokens"]
-    return df.select(*rest, F.explode(both).alias("_v")).select(*rest, "_v.tokens", "_v.augmented")
+    return tx.each(df, *rest, _v=both).select(*rest, "_v.tokens", "_v.augmented")
 
 
 def truncate(df: DataFrame, n: int = 128, *columns: str) -> DataFrame:

@@ -98,14 +98,15 @@ def respond(df: DataFrame, text: str = "text", marks: str = "marks") -> DataFram
 
 def entity_rows(df: DataFrame, *keep: str) -> DataFrame:
     """One row per entity, numbered from 1 in text order."""
-    return df.select(*keep, F.posexplode("entities").alias("pos", "e")).select(
+    rows = df.select(*keep, F.posexplode_outer("entities").alias("pos", "e")).filter("e is not null")
+    return rows.select(
         *keep, (F.col("pos") + 1).alias("entity_no"), "e.type", "e.placeholder", "e.value_preview", "e.confidence"
     )
 
 
 def vault_rows(df: DataFrame, *keep: str) -> DataFrame:
     """One row per placeholder with the original value: keep apart from the rest."""
-    return df.select(*keep, F.explode("map").alias("placeholder", "original"))
+    return df.select(*keep, F.explode_outer("map").alias("placeholder", "original")).filter("placeholder is not null")
 
 
 def reveal(entities: DataFrame, vault: DataFrame, key: str = "doc_id") -> DataFrame:

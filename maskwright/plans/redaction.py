@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from maskwright.functions import text as tx
 from maskwright.operators import adjudicate, detect, redact
 from maskwright.sources.catalog import Catalog, default_catalog
 from maskwright.sources.spans import attach_spans
@@ -36,5 +37,5 @@ def redact_documents(
 
 def entity_totals(result: DataFrame, *by: str) -> DataFrame:
     """Entities per label and the given document columns."""
-    rows = result.select(*by, F.explode("entities.type").alias("entity_type"))
+    rows = tx.each(result, *by, entity_type=F.col("entities.type"))
     return rows.groupBy(*by, "entity_type").agg(F.count(F.lit(1)).alias("n_entities"))

@@ -103,7 +103,7 @@ def paragraphs(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFr
     """Paragraphs of each text: split at empty lines, stripped, empty ones dropped."""
     parts = F.split(F.col(text), "\n\n", -1)
     return (
-        df.select(key, F.posexplode(parts).alias("para_no", "_raw"))
+        df.select(key, F.posexplode_outer(parts).alias("para_no", "_raw"))
         .select(key, "para_no", tx.strip(F.col("_raw")).alias("text")).filter("text <> ''")
     )
 
