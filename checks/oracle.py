@@ -227,7 +227,7 @@ CTES = {
     "tagged": bio_rows("note_words", "final_rows").replace("SELECT doc_id, no, word, CASE WHEN raw", "SELECT doc_id AS sent_id, no, word, CASE WHEN raw", 1),
     "damaged": """SELECT sent_id, no, word, CASE WHEN (sent_id + no - 1) % 7 = 0 AND tag <> 'O' THEN substr(tag, 3)
       WHEN (sent_id + no - 1) % 3 = 0 AND tag LIKE 'B-%' THEN 'I-' || substr(tag, 3) ELSE tag END AS tag FROM tagged""",
-    "gen_words": word_rows("documents"),
+    "gen_words": f"SELECT doc_id, i AS no, e[i] AS text FROM (SELECT doc_id, e, unnest(range(1, len(e) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, {WORDS}) AS e FROM documents))",
     "gen": f"SELECT doc_id AS sent_id, no, text AS word, {tag_case([(t, p) for t, p in st.GENERAL_TAGS]).replace('word', 'text')} AS tag FROM gen_words",
     "turn_spans": f"SELECT *, start AS ord FROM ({found_rows('masked_turns', st.PSEUDO_RULES)}) WHERE label IN ({', '.join(map(lit, st.PSEUDO_GROUPS))})",
     "turn_words": word_rows("turns"),

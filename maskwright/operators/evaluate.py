@@ -64,26 +64,26 @@ def _score(counted: DataFrame) -> DataFrame:
 
 
 def entity_counts(df: DataFrame, *by: str, true: str = "true_tags", pred: str = "pred_tags") -> DataFrame:
-    """Sums of true, predicted and hit entities per type (and ``by``)."""
+    """Sums of true, predicted and hit entities per type (and ``by``); type null sums up nothing."""
     per_row = tx.let(
         F.struct(tx.let(F.col(true), bio.entities).alias("t"), tx.let(F.col(pred), bio.entities).alias("p")),
         lambda v: _counts(v["t"], v["p"]),
     )
-    rows = tx.each(df, *by, c=per_row).select(*by, "c.*")
-    return rows.groupBy(*by, "entity_type").agg(*[F.sum(c).alias(c) for c in ("t", "p", "h")])
+    # outer, so that a set without any entity keeps one row with no type
+    rows = df.select(*by, F.explode_outer(per_row).alias("c")).select(*by, "c.*")
+    return rows.groupBy(*by, "entity_type").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("t", "p", "h")])
 
 
 def scores_by_type(df: DataFrame, *by: str) -> DataFrame:
-    return _score(entity_counts(df, *by)).select(
+    return _score(entity_counts(df, *by).filter("entity_type is not null")).select(
         *by, "entity_type", "precision", "recall", "f1", F.col("t").alias("support")
     )
 
 
 def scores_overall(df: DataFrame, *by: str) -> DataFrame:
     """Micro scores; sentences without entities on both sides still give their set a row of zeros."""
-    totals = entity_counts(df, *by).groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("t", "p", "h")])
-    filled = totals.select(*by, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("t", "p", "h")])
-    return _score(filled).select(*by, "precision", "recall", "f1")
+    totals = entity_counts(df, *by).groupBy(*by).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("t", "p", "h")])
+    return _score(totals).select(*by, "precision", "recall", "f1")
 
 
 def macro_f1(df: DataFrame, *by: str) -> DataFrame:
@@ -96,8 +96,9 @@ def report(df: DataFrame, by: str = "eval_set") -> DataFrame:
     per_type = entity_counts(df, by)
     scored = _score(per_type)
     grouped = scored.groupBy(by).agg(
-        *[F.sum(c).alias(c) for c in ("t", "p", "h")], F.avg("f1").alias("macro_f1")
+        *[F.sum(c).alias(c) for c in ("t", "p", "h")],
+        F.coalesce(F.avg(F.when(F.col("entity_type").isNotNull(), F.col("f1"))), F.lit(0.0)).alias("macro_f1"),
     )
-    types = scored.select(by, "entity_type", "precision", "recall", "f1", F.lit(None).cast("double").alias("macro_f1"))
+    types = scored.filter("entity_type is not null").select(by, "entity_type", "precision", "recall", "f1", F.lit(None).cast("double").alias("macro_f1"))
     overall = _score(grouped).select(by, F.lit(OVERALL).alias("entity_type"), "precision", "recall", "f1", "macro_f1")
     return types.unionByName(overall)

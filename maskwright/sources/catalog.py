@@ -103,13 +103,16 @@ def default_catalog() -> Catalog:
 def _read_json(spark: SparkSession, path: str, schema: str) -> list | None:
     """Rows of a small JSON file; None if it is absent, [] if it cannot be parsed."""
     try:
-        return spark.read.schema(schema).option("mode", "FAILFAST").json(path, multiLine=True).collect()
+        rows = spark.read.schema(f"{schema}, _corrupt_record string").json(path, multiLine=True).collect()
     except PySparkException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            log.warning("%s not found, defaults are used", path)
-            return None
-        log.error("%s cannot be read: %s", path, e)
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        log.warning("%s not found, defaults are used", path)
+        return None
+    if any(r["_corrupt_record"] is not None for r in rows):
+        log.error("%s cannot be parsed", path)
         return []
+    return rows
 
 
 def load_catalog(
