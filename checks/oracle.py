@@ -272,7 +272,7 @@ def scored(source: str) -> str:
 
 CTES["scores"] = scored("counted")
 CTES["report_rows"] = f"""SELECT eval_set, entity_type, precision, recall, f1, CAST(NULL AS DOUBLE) AS macro_f1 FROM scores
-  UNION ALL SELECT eval_set, 'overall', precision, recall, f1, macro_f1 FROM ({scored('(SELECT eval_set, sum(t) AS t, sum(p) AS p, sum(h) AS h, avg(f1) AS macro_f1 FROM scores GROUP BY 1)')})"""
+  UNION ALL SELECT eval_set, 'overall', precision, recall, f1, round(macro_f1, 9) FROM ({scored('(SELECT eval_set, sum(t) AS t, sum(p) AS p, sum(h) AS h, avg(f1) AS macro_f1 FROM scores GROUP BY 1)')})"""
 LABEL_RANK = """CASE WHEN label = 'O' THEN 0 ELSE 1 END, CASE WHEN label = 'O' THEN '' WHEN contains(label, '-') THEN substr(label, instr(label, '-') + 1) ELSE label END,
   CASE WHEN label = 'O' OR label LIKE 'B-%' OR NOT contains(label, '-') THEN 0 ELSE 1 END, label"""
 CTES["pii_vocab"] = f"SELECT label, CAST(row_number() OVER (ORDER BY {LABEL_RANK}) - 1 AS INT) AS id FROM (SELECT DISTINCT tag AS label FROM tagged UNION SELECT 'O')"
@@ -377,7 +377,7 @@ def oracle_sql() -> dict[str, str]:
         "bio_entities": q('SELECT eval_set, sid AS sent_id, type, start, "end" FROM pred_ents'),
         "ner_scores_overall": q(f"SELECT precision, recall, f1 FROM ({scored('(SELECT sum(t) AS t, sum(p) AS p, sum(h) AS h FROM counted)')})"),
         "ner_scores_by_type": q(f"SELECT entity_type, precision, recall, f1, CAST(t AS BIGINT) AS support FROM ({scored('(SELECT entity_type, sum(t) AS t, sum(p) AS p, sum(h) AS h FROM counted GROUP BY 1)')})"),
-        "ner_macro_f1": q(f"SELECT avg(f1) AS macro_f1 FROM ({scored('(SELECT entity_type, sum(t) AS t, sum(p) AS p, sum(h) AS h FROM counted GROUP BY 1)')})"),
+        "ner_macro_f1": q(f"SELECT round(avg(f1), 9) AS macro_f1 FROM ({scored('(SELECT entity_type, sum(t) AS t, sum(p) AS p, sum(h) AS h FROM counted GROUP BY 1)')})"),
         "ner_report": q("SELECT * FROM report_rows"),
     }
     out.update({f"regex_{k}": q(sql) for k, sql in regex.items()})
