@@ -19,8 +19,12 @@ TABLES = ("redacted", "entities", "vault")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared one in ``spark.checkpoint.dir``; local only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="maskwright-")
+    """A fresh folder below the shared one in ``spark.checkpoint.dir``; a temporary one only where all work is in one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="maskwright-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
