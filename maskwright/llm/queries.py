@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwright.llm import chat, fingerprint, mixing
+from maskwright.llm import chat, fingerprint, langid, mixing, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_secrets": secrets.op2_secrets,
+        "op3_language": langid.op3_language,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op8_chat_format": chat.op8_chat_format,
         "op9_fingerprint": fingerprint.op9_fingerprint,
         "op10_mixing": mixing.op10_mixing,
