@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwright.llm import chat, fingerprint, langid, mixing, secrets, toxicity
+from maskwright.llm import chat, fingerprint, langid, mixing, packing, secrets, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_packing": packing.op1_packing,
         "op2_secrets": secrets.op2_secrets,
         "op3_language": langid.op3_language,
         "op4_toxicity": toxicity.op4_toxicity,
