@@ -16,7 +16,7 @@ a source with most of the rows is spread over its blocks.
 Defined cases: a null source is a source of its own; a document without words
 has no tokens but belongs to a block and is taken with it; a source without
 tokens is taken once; repeated rows are separate documents; an empty table gives
-an empty result. Other columns pass through; internal ones have names of their own.
+an empty result; other columns pass through inside ``row``.
 """
 
 from __future__ import annotations
@@ -146,21 +146,19 @@ def realise(blocks: DataFrame, weighted: DataFrame) -> DataFrame:
 
 
 def mixed(docs: DataFrame, mix: Mix = Mix(), text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One row per taken document and epoch: the columns of ``docs`` and ``mix_*`` columns."""
-    dealt = docs.withColumns({"_tokens": tokens(F.col(text)), "_block": _block(F.col(key))})
+    """``(row, tokens, block, epoch, weight, position)``, one for each taken document and epoch; ``row`` holds its columns."""
+    dealt = docs.select(F.struct("*").alias("row"), F.col("source").alias("_source"), tokens(F.col(text)).alias("tokens"), _block(F.col(key)).alias("_block"))
     blocks = as_table(
-        dealt.groupBy("source", F.col("_block").alias("block")).agg(F.sum("_tokens").alias("tokens")), "mix-blocks"
+        dealt.groupBy(F.col("_source").alias("source"), F.col("_block").alias("block")).agg(F.sum("tokens").alias("tokens")), "mix-blocks"
     )
     totals = as_table(blocks.groupBy("source").agg(F.sum("tokens").alias("tokens")), "mix-totals")
-    plan = realise(blocks, weights(totals, mix)).select(F.struct("source", "block", "epoch", "weight", "position").alias("_plan"))
-    meets = F.col("source").eqNullSafe(F.col("_plan.source")) & (F.col("_block") == F.col("_plan.block"))
-    return dealt.join(plan, meets).select(
-        *docs.columns, F.col("_tokens").alias("mix_tokens"), F.col("_block").alias("mix_block"), F.col("_plan.epoch").alias("mix_epoch"),
-        F.col("_plan.weight").alias("mix_weight"), F.col("_plan.position").alias("mix_position"),
-    )
+    plan = realise(blocks, weights(totals, mix))
+    meets = F.col("_source").eqNullSafe(F.col("source")) & (F.col("_block") == F.col("block"))
+    taken = plan.select("source", "block", "epoch", "weight", "position")
+    return dealt.join(taken, meets).select("row", dealt["tokens"], "block", "epoch", "weight", "position")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents, without their texts: entropy at 0.9 of the greatest, at most four epochs, as many tokens as before."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    return mixed(docs).select("doc_id", "source", *[f"mix_{c}" for c in ("tokens", "block", "epoch", "weight", "position")])
+    return mixed(docs).select("row.doc_id", "row.source", "tokens", "block", "epoch", "weight", "position")

@@ -128,7 +128,7 @@ def paths(sig: np.ndarray, trees: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-FEATURES = "rid long, doc_id long, n_shingles long, a long, b long, sig binary, nodes array<long>"
+FEATURES = "rid long, doc_id long, text_hash long, n_shingles long, a long, b long, sig binary, nodes array<long>"
 
 
 def features(docs: DataFrame, rule: Rule) -> DataFrame:
@@ -149,13 +149,13 @@ def features(docs: DataFrame, rule: Rule) -> DataFrame:
                 keys = [keys_of(s) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b.column("rid"), b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()),
+                        b.column("rid"), b.column("doc_id"), b.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array([k[0] for k in keys], pa.int64()),
                         pa.array([k[1] for k in keys], pa.int64()), pa.array(bytes_, pa.binary()), pa.array(lists, pa.list_(pa.int64())),
                     ],
                     names,
                 )
 
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     return rows.mapInArrow(run, FEATURES)
 
 
@@ -455,7 +455,7 @@ def links(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame | None:
 
 
 def dedup(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` of every row of ``docs`` (doc_id, text)."""
+    """``(doc_id, text_hash, n_shingles, component_id, kept)`` of every row of ``docs`` (doc_id, text)."""
     made = as_table(features(docs, rule), "near-features")
     usable = made.filter("n_shingles > 0 and doc_id is not null")
     classes = as_table(
@@ -470,12 +470,19 @@ def dedup(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
         of = with_root.join(least, "root").select("a", "b", "component_id")
     else:
         of = of.select("a", "b", F.col("rep").alias("component_id"))
-    linked = usable.select("doc_id", "n_shingles", "a", "b").join(of, ["a", "b"]).select("doc_id", "n_shingles", "component_id")
-    alone = made.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    linked = usable.select("doc_id", "text_hash", "n_shingles", "a", "b").join(of, ["a", "b"]).drop("a", "b")
+    alone = made.filter("n_shingles = 0 or doc_id is null").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
     both = linked.unionByName(alone)
     return both.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def kept_documents(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
+    """The rows of ``docs`` that stay: of each component the document of least id, once."""
+    found = dedup(docs.select("doc_id", "text"), rule).filter("kept").select("doc_id", "text_hash")
+    same = docs["doc_id"].cast("long").eqNullSafe(found["doc_id"]) & (F.xxhash64(docs["text"]) == found["text_hash"])
+    return docs.join(found, same, "left_semi").dropDuplicates(["doc_id", "text"])
+
+
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup(docs, Rule(width=3, percent=85))
+    return dedup(docs, Rule(width=3, percent=85)).drop("text_hash")

@@ -6,15 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from maskwright.llm import chat, fingerprint, langid, mixing, packing, secrets, toxicity
+import corpus_pipeline
+from maskwright.llm import chat, fingerprint, html_text, langid, mixing, near_dedup, packing, secrets, toxicity, vptree
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_packing": packing.op1_packing,
         "op2_secrets": secrets.op2_secrets,
         "op3_language": langid.op3_language,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op5_html_text": html_text.op5_html_text,
+        "op6_nearest": vptree.op6_nearest,
+        "op7_near_dedup": near_dedup.op7_near_dedup,
         "op8_chat_format": chat.op8_chat_format,
         "op9_fingerprint": fingerprint.op9_fingerprint,
         "op10_mixing": mixing.op10_mixing,

@@ -314,7 +314,11 @@ ARROW_FOUND = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()),
 
 
 def scan(docs: DataFrame, scanner: Scanner, path: str | None = None, least: float = 0.5) -> DataFrame:
-    """The rows, ``_found`` (all candidates, with scores; values as digests) and ``_masked``, the text without its secrets."""
+    """The rows, ``_found`` (all candidates, with scores; values as digests) and ``_masked``, the text without its secrets.
+
+    The two replace columns of those names.
+    """
+    docs = docs.drop("_found", "_masked")
     shared = docs.sparkSession.sparkContext.broadcast(scanner)
     names = [*docs.columns]
 
@@ -350,6 +354,30 @@ def masked(text: str, found: list[Finding]) -> str:
     return "".join([*out, text[at:]])
 
 
+def redacted(docs: DataFrame, scanner: Scanner, path: str | None = None, least: float = 0.5) -> DataFrame:
+    """The rows with secrets masked in ``text``; a column ``n_chars`` follows the text."""
+    shared, at, by = docs.sparkSession.sparkContext.broadcast(scanner), docs.columns.index("text"), docs.columns.index(path) if path else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = shared.value
+        for b in batches:
+            column = b.column(at)
+            paths = b.column(by).to_pylist() if path else [""] * len(column)
+            found = list(find(column))
+            flat = [(i, f, p or "") for i, (own, p) in enumerate(zip(found, paths, strict=True)) for f in own]
+            bad: dict[int, list[Finding]] = {}
+            for (i, f, _), x in zip(flat, s.forest.score(features([x[1:] for x in flat], s.usage)) if flat else (), strict=True):
+                if x >= least:
+                    bad.setdefault(i, []).append(f)
+            texts = pa.array([masked(column[i].as_py(), bad[i]) if i in bad else None for i in range(len(column))], column.type)
+            yield b.set_column(at, b.schema.field(at), pc.coalesce(texts, column))
+
+    out = docs.mapInArrow(run, docs.schema)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out
+
+
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All candidates of all documents with their scores and verdicts; a document's source stands for its path."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")

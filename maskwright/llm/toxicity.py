@@ -159,7 +159,8 @@ def scores_of(m: Machine, column: pa.Array) -> np.ndarray:
 
 
 def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
-    """The rows and ``toxic_score``."""
+    """The rows and ``toxic_score``, which replaces a column of that name."""
+    docs = docs.drop("toxic_score")
     if machine is None:
         return docs.withColumn("toxic_score", F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(machine)
@@ -171,6 +172,19 @@ def score(docs: DataFrame, machine: Machine | None) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("toxic_score", T.DoubleType())]))
 
 
+def clean(docs: DataFrame, machine: Machine | None, least: float = 0.5) -> DataFrame:
+    """The rows that score below ``least``, as they are."""
+    if machine is None:
+        return docs
+    shared, at = docs.sparkSession.sparkContext.broadcast(machine), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(scores_of(shared.value, b.column(at)) < least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def learn(spark: SparkSession, sf_dir: str) -> Machine | None:
     """The machine of the labelled documents outside the held-out fold."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(samples.fold("doc_id", 5) != 0)
