@@ -7,6 +7,7 @@ letters are replaced by an underscore (same length, still a word character).
 from __future__ import annotations
 
 import re
+from types import SimpleNamespace
 
 from checks import standins as st
 from checks.queries import (
@@ -86,7 +87,7 @@ def found_rows(source: str, rules) -> str:
     )
 
 
-SYN = "MAP {" + ", ".join(f"{lit(a)}: {lit(b)}" for a, b in CATALOG.synonyms.items()) + "}"
+SYN = "MAP {" + ", ".join(f"{lit(n.upper())}: {lit(lab)}" for n, lab in {n.upper(): lab for lab, names in fixed.SYNONYMS.items() for n in [*names, lab]}.items()) + "}"
 
 
 def canonical(label: str) -> str:
@@ -289,23 +290,45 @@ _PSEUDO = "UNION ALL SELECT 'pseudo', 2, sent_id, tokens, labels FROM pseudo_cap
 _GEN = "SELECT {} AS {}, 'conll' AS corpus, sent_id, 0 AS copy, false AS augmented, false AS is_pii, tokens, labels FROM gen_capped"
 
 
+def damaged_ctes() -> dict[str, str]:
+    """The CTEs with recogniser spans damaged by document, and what is left of them."""
+    hurt = """SELECT CASE doc_id % 9 WHEN 7 THEN doc_id + 1000000000 ELSE doc_id END AS doc_id, text, score,
+      CAST(CASE doc_id % 9 WHEN 1 THEN -start - 1 WHEN 2 THEN NULL ELSE start END AS INT) AS start,
+      CAST(CASE doc_id % 9 WHEN 3 THEN start WHEN 4 THEN "end" + 100000 WHEN 5 THEN NULL ELSE "end" END AS INT) AS "end",
+      CASE doc_id % 9 WHEN 6 THEN NULL ELSE label END AS label FROM ner_found"""
+    judged = f"""SELECT h.*, CASE WHEN n.doc_id IS NULL THEN 'no such document' WHEN start IS NULL OR "end" IS NULL THEN 'no offset'
+      WHEN label IS NULL THEN 'no label' WHEN start < 0 THEN 'before the text' WHEN "end" <= start THEN 'empty'
+      WHEN "end" > length(n.text) THEN 'beyond the text' END AS reason FROM ({hurt}) h LEFT JOIN notes n ON h.doc_id = n.doc_id"""
+    return CTES | {"ner_found": CTES["ner"], "ner_damaged": judged, "ner": "SELECT * EXCLUDE (reason) FROM ner_damaged WHERE reason IS NULL"}
+
+
 def oracle_sql() -> dict[str, str]:
+    damaged = damaged_ctes()
     q = lambda final: with_(CTES, final=final)
     span = 'doc_id, start, "end", text, label, specificity'
     few = 'src, doc_id, start, "end", text, label, specificity'
     regex = {k: f"SELECT {few} FROM ({rule_rows('masked', 'src, doc_id', [r])})" for k, r in zip(REGEX_KEYS, rules_in_file_order())}
     by_label = {lab: [k for k in CATALOG.keys if k.label == lab] for lab in dict.fromkeys(k.label for k in CATALOG.keys)}
-    rules = ", ".join(f"({r.ord}, {lit(r.label)}, {lit(r.pattern)}, {r.specificity})" for r in CATALOG.rules)
-    keys = ", ".join(f"({k.ord}, {lit(k.key)}, {k.window}, {lit(k.label)}, {lit(k.pattern)})" for k in CATALOG.keys)
-    names = ", ".join(f"({lit(a)}, {lit(b)})" for a, b in CATALOG.synonyms.items())
+    # order, flattening and inversion of the catalogs are done in SQL, from the values in file order
+    in_file = [SimpleNamespace(ord=i, label=lab, pattern=p, specificity=n) for i, (lab, n, p) in enumerate(fixed.TEXT_RULES)]
+    rules = ", ".join(f"({r.ord}, {lit(r.label)}, {lit(r.pattern)}, {r.specificity})" for r in in_file)
+    ranked = f"SELECT *, CAST(row_number() OVER (ORDER BY specificity DESC, pos) - 1 AS INT) AS ord FROM (VALUES {rules}) v(pos, label, pattern, specificity)"
+    key_lists = ", ".join(f"({i}, {lit(lab)}, {win}, {lit(p)}, [{', '.join(map(lit, ks))}])" for i, (lab, win, ks, p) in enumerate(fixed.CONTEXT_RULES))
+    flat_keys = f"""SELECT CAST(100000 + row_number() OVER (ORDER BY pos, i) - 1 AS INT) AS ord, ks[i] AS key, win, label, value_regex FROM (
+      SELECT *, unnest(range(1, len(ks) + 1)) AS i FROM (VALUES {key_lists}) v(pos, label, win, value_regex, ks))"""
+    synonym_lists = ", ".join(f"({i}, {lit(lab)}, [{', '.join(map(lit, [*names, lab]))}])" for i, (lab, names) in enumerate(fixed.SYNONYMS.items()))
+    inverted = f"""SELECT upper(name) AS synonym, arg_max(label, pos) AS canonical FROM (
+      SELECT pos, label, unnest(names) AS name FROM (VALUES {synonym_lists}) v(pos, label, names)) GROUP BY 1"""
     vocab_tags = lambda col: f"SELECT sent_id, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY no) AS {col} FROM tagged JOIN pii_vocab ON tag = label GROUP BY 1"
     out = {
         "docs_valid": "SELECT doc_id, text FROM documents WHERE length(text) >= 1",
-        "rule_catalog": q(f"""SELECT v.ord, v.label, v.pattern, v.specificity, count(s.ord) AS n_spans FROM (VALUES {rules}) v(ord, label, pattern, specificity)
-          LEFT JOIN ({rule_rows('masked', 'src, doc_id', CATALOG.rules)}) s ON v.ord = s.ord GROUP BY ALL"""),
-        "context_catalog": q(f"""SELECT v.ord, v.key, v.win AS "window", v.label, v.value_regex, count(s.ord) AS n_spans FROM (VALUES {keys}) v(ord, key, win, label, value_regex)
+        "rule_catalog": q(f"""SELECT v.ord, v.label, v.pattern, v.specificity, count(s.ord) AS n_spans FROM ({ranked}) v
+          LEFT JOIN ({rule_rows('masked', 'src, doc_id', in_file)}) s ON v.pos = s.ord GROUP BY ALL"""),
+        "catalog_files": q(f"""SELECT v.ord, v.label, v.specificity, count(s.ord) AS n_spans FROM ({ranked}) v
+          LEFT JOIN ({rule_rows('masked', 'src, doc_id', in_file)}) s ON v.pos = s.ord GROUP BY v.ord, v.label, v.specificity, v.pattern"""),
+        "context_catalog": q(f"""SELECT v.ord, v.key, v.win AS "window", v.label, v.value_regex, count(s.ord) AS n_spans FROM ({flat_keys}) v
           LEFT JOIN ({key_rows('masked', 'src, doc_id', CATALOG.keys)}) s ON v.ord = s.ord GROUP BY ALL"""),
-        "label_synonyms": q(f"""SELECT v.synonym, v.canonical, count(s.label) AS n_spans FROM (VALUES {names}) v(synonym, canonical)
+        "label_synonyms": q(f"""SELECT v.synonym, v.canonical, count(s.label) AS n_spans FROM ({inverted}) v
           LEFT JOIN ner s ON v.synonym = upper(s.label) GROUP BY ALL"""),
         "tagged_corpus_load": q(f"SELECT tokens, labels FROM (SELECT sent_id, {TOKENS}, {TAGS} FROM ({sanitized('damaged')}) GROUP BY 1) WHERE sent_id % 11 <> 0"),
         "conll_load": q(f"""SELECT 'train' AS split, {TOKENS}, {TAGS} FROM damaged GROUP BY sent_id
@@ -315,6 +338,8 @@ def oracle_sql() -> dict[str, str]:
           SELECT doc_id, p, w, unnest(range(0, CAST(ceil(len(w) / {CHUNK_WORDS}) AS BIGINT))) AS c FROM (
             SELECT doc_id, p, regexp_extract_all(paras[p], {WORDS}) AS w FROM (
               SELECT doc_id, paras, unnest(range(1, len(paras) + 1)) AS p FROM (SELECT doc_id, string_split(text, chr(10) || chr(10)) AS paras FROM documents))))""",
+        "ner_spans_rejected": with_(damaged, final="SELECT doc_id, start, \"end\", label, reason FROM ner_damaged WHERE reason IS NOT NULL"),
+        "redact_damaged_spans": with_(damaged, final="SELECT doc_id, redacted_text FROM rewritten"),
         "ner_spans_in": q('SELECT doc_id, start, "end", label, score FROM ner'),
         "sink_labels": q("SELECT label, id FROM union_vocab"),
         "sink_metrics": q("SELECT * FROM report_rows"),

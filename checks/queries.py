@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +14,10 @@ from maskwright.functions import text as tx
 from maskwright.operators import adjudicate, detect, evaluate, labels, mixes, redact, splits
 from maskwright.plans.redaction import entity_totals, redact_documents
 from maskwright.sources import corpora, sinks
-from maskwright.sources.catalog import default_catalog
+from maskwright.sources import fixed_values as fixed
+from maskwright.sources.catalog import default_catalog, load_catalog
 from maskwright.sources.spans import ner_spans_in, valid_documents
+from maskwright.sources.spans import ner_spans_rejected as span_rejects
 from maskwright.streaming.redact_stream import start_text_sink
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,6 +118,38 @@ def ner_spans(spark, sf):
     return ner_spans_in(valid_documents(docs), st.ner_rows(docs)).select("doc_id", "start", "end", "label", "score")
 
 
+def damaged_spans(spark, sf):
+    """Recogniser spans of the notes with offsets and labels damaged by document."""
+    doc = F.col("doc_id")
+    start = F.when(doc % 9 == 1, -F.col("start") - 1).when(doc % 9 == 2, F.lit(None)).otherwise(F.col("start"))
+    end = F.when(doc % 9 == 3, F.col("start")).when(doc % 9 == 4, F.col("end") + 100_000).when(doc % 9 == 5, F.lit(None)).otherwise(F.col("end"))
+    label = F.when(doc % 9 == 6, F.lit(None)).otherwise(F.col("label"))
+    known = F.when(doc % 9 == 7, doc + 1_000_000_000).otherwise(doc)
+    return st.ner_rows(st.notes(spark, sf)).select(known.alias("doc_id"), start.alias("start"), end.alias("end"), label.alias("label"), "score")
+
+
+def ner_spans_rejected(spark, sf):
+    return span_rejects(st.notes(spark, sf), damaged_spans(spark, sf)).select("doc_id", "start", "end", "label", "reason")
+
+
+def redact_damaged_spans(spark, sf):
+    """Notes redacted with damaged recogniser spans: the good ones count, the others do no harm."""
+    docs = st.notes(spark, sf)
+    return redact_documents(docs, ner_spans=damaged_spans(spark, sf)).select("doc_id", "redacted_text")
+
+
+def catalog_files(spark, sf):
+    """The rules as JSON files, loaded, with the number of findings of each."""
+    path = sinks.scratch_path(spark, "catalog")
+    rules = [(lab, pat, spec) for lab, spec, pat in fixed.TEXT_RULES]
+    spark.createDataFrame([(json.dumps([{"label": a, "pattern": p, "specificity": n} for a, p, n in rules]),)], "v string").coalesce(1).write.text(path)
+    loaded = load_catalog(spark, rules_path=path).rules
+    table = spark.createDataFrame([(r.ord, r.label, r.specificity) for r in loaded], "ord int, label string, specificity int")
+    found = st.texts(spark, sf).transform(lambda df: tx.each(df, ord=detect.text_spans("text", loaded)["ord"]))
+    n = found.groupBy("ord").agg(F.count(F.lit(1)).alias("n_spans"))
+    return table.join(n, "ord", "left").select("ord", "label", "specificity", F.coalesce("n_spans", F.lit(0)).alias("n_spans"))
+
+
 def sink_redacted(spark, sf):
     """The three written tables, one below the other."""
     path = sinks.scratch_path(spark, "redaction")
@@ -304,7 +339,7 @@ def redaction_response(spark, sf):
 
 def entity_reveal(spark, sf):
     """Listing of the entities; the vault lacks the phone numbers, which fall back to their preview."""
-    result = _response(spark, sf)
+    result = sinks.as_table(_response(spark, sf).select("doc_id", "entities", "map"), "response")
     vault = redact.vault_rows(result, "doc_id").filter(~F.contains("placeholder", F.lit("PHONE_SG")))
     return redact.reveal(redact.entity_rows(result, "doc_id"), vault)
 
@@ -375,25 +410,23 @@ def pseudo_label_filter(spark, sf):
 
 
 def pseudo_label_limit(spark, sf):
-    kept = mixes.pseudo_limit(st.pseudo(spark, sf), PSEUDO_LIMIT, PSEUDO_TOKENS)
+    kept = mixes.pseudo_limit(sinks.as_table(st.pseudo(spark, sf), "pseudo"), PSEUDO_LIMIT, PSEUDO_TOKENS)
     return kept.select("sent_id", F.size("tokens").alias("n_tokens"))
 
 
 def pseudo_label_stats(spark, sf):
-    docs = st.conversation_docs(spark, sf)
+    docs = sinks.as_table(st.conversation_docs(spark, sf), "turns")
     rows = labels.spans_to_bio(docs, "spans").join(docs.select(F.col("doc_id").alias("sent_id"), "spans"), "sent_id")
-    return mixes.pseudo_stats(docs, mixes.pseudo_limit(rows, PSEUDO_LIMIT, PSEUDO_TOKENS))
+    return mixes.pseudo_stats(docs, mixes.pseudo_limit(sinks.as_table(rows, "pseudo"), PSEUDO_LIMIT, PSEUDO_TOKENS))
 
 
 def cap_by_ratio(spark, sf):
-    from maskwright.operators.prefix import row_count
-
-    capped = mixes.cap_by_ratio(st.general(spark, sf), CAP_RATIO, row_count(st.table(spark, sf, "conversations")))
+    capped = mixes.cap_by_ratio(sinks.as_table(st.general(spark, sf), "general"), CAP_RATIO, st.table(spark, sf, "conversations").count())
     return capped.select("sent_id", F.size("tokens").alias("n_tokens"))
 
 
 def oversample(spark, sf):
-    return mixes.oversample(st.tagged_notes(spark, sf), FACTOR).select("sent_id", "copy", *joined("tokens"))
+    return mixes.oversample(sinks.as_table(st.tagged_notes(spark, sf), "tagged"), FACTOR).select("sent_id", "copy", *joined("tokens"))
 
 
 def augment_swapcase(spark, sf):
@@ -489,7 +522,7 @@ def queries() -> dict[str, Query]:
         all_spans, span_order, overlap_groups, overlap_winner, false_positive_filter, merge_person, merge_address,
         final_spans, span_funnel, span_funnel_total, canonical_label, drop_ignore, placeholder_number,
         placeholder_format, redact_text, entity_rows, placeholder_map, redaction_response, entity_reveal,
-        entity_counts, entity_counts_by_source, size_class, redact_stream, sanitize_bio, label_order, label_vocab,
+        ner_spans_rejected, redact_damaged_spans, catalog_files, entity_counts, entity_counts_by_source, size_class, redact_stream, sanitize_bio, label_order, label_vocab,
         encode_labels, has_pii_flag, spans_to_bio, split_random, split_stratified, pseudo_label_filter,
         pseudo_label_limit, pseudo_label_stats, cap_by_ratio, oversample, augment_swapcase, joint_mix, sequential_mix,
         align_subwords, truncate_tokens, split_sizes, eval_sets, decode_predictions, bio_entities, ner_scores_overall,

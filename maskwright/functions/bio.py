@@ -30,7 +30,7 @@ def sanitize(labels: Column) -> Column:
     keeps the type and stays within {B, I}.
     """
     def repaired(tag: Column, i: Column) -> Column:
-        before = F.get(labels, i - 1)
+        before = tx.before(labels, i)
         continues = (before != "O") & prefix(before).isin("B", "I") & (entity_type(before) == entity_type(tag))
         kept = F.when((prefix(tag) == "I") & ~F.coalesce(continues, F.lit(False)), F.lit("B")).otherwise(prefix(tag))
         return F.when(tag == "O", tag).otherwise(F.concat(kept, F.lit("-"), entity_type(tag)))
@@ -57,7 +57,7 @@ def align(labels: Column, word_ids: Column, label_all: bool = False) -> Column:
     """Word labels -> sub-word labels: first piece of a word, others ignored (or all)."""
     def piece(w: Column, i: Column) -> Column:
         label = tx.item(labels, w)
-        first = (i == 0) | ~F.get(word_ids, i - 1).eqNullSafe(w)
+        first = (i == 0) | ~tx.before(word_ids, i).eqNullSafe(w)
         return F.when(w.isNull(), IGNORED).when(first | F.lit(label_all), label).otherwise(IGNORED)
 
     return F.transform(word_ids, piece)
@@ -78,7 +78,7 @@ def entities(tags: Column) -> Column:
 
     def collect(seq: Column) -> Column:
         p = lambda e: e["p"]
-        before = lambda i: F.when(i > 0, F.get(seq, i - 1)).otherwise(parsed(F.lit("O")))
+        before = lambda i: F.when(i > 0, tx.before(seq, i)).otherwise(parsed(F.lit("O")))
 
         def opens(b: Column, e: Column) -> Column:
             turned = ~p(e).isin("O", ".") & (b["t"] != e["t"])
@@ -100,8 +100,8 @@ def entities(tags: Column) -> Column:
                 lambda begun: F.transform(
                     v["ends"],
                     lambda e, j: F.struct(
-                        F.get(seq, e - 1)["t"].alias("type"),
-                        F.get(v["starts"], tx.item(begun, j) - 1).alias("start"),
+                        tx.before(seq, e)["t"].alias("type"),
+                        tx.before(v["starts"], tx.item(begun, j)).alias("start"),
                         (e - 1).alias("end"),
                     ),
                 ),
@@ -155,7 +155,7 @@ def tag_words(words: Column, spans: Column) -> Column:
     tagged = tx.let(
         tx.let(bounds, spread),
         lambda all_tags: F.transform(
-            F.filter(all_tags, lambda t, i: (i == 0) | (F.get(all_tags, i - 1)["word"] != t["word"])), lambda t: t["tag"]
+            F.filter(all_tags, lambda t, i: (i == 0) | (tx.before(all_tags, i)["word"] != t["word"])), lambda t: t["tag"]
         ),
     )
     return F.when(F.size(spans) > 0, tx.let(tagged, sanitize)).otherwise(F.transform(words, lambda w: F.lit("O")))

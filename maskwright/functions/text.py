@@ -6,6 +6,7 @@ the executors' JVM without Python workers. All offsets are 0-based code points.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -46,6 +47,11 @@ def item(array: Column, i: Column) -> Column:
     return F.try_element_at(array, i + 1)
 
 
+def before(array: Column, i: Column) -> Column:
+    """The element before 0-based ``i``; null before the first. 1-based, that is the element number ``i``."""
+    return F.try_element_at(array, F.nullif(i, F.lit(0)))
+
+
 def java_regex(pattern: str, native_boundary: bool = False) -> str:
     """Spell a Python ``re`` pattern for java.util.regex with equal meaning.
 
@@ -61,7 +67,9 @@ def java_regex(pattern: str, native_boundary: bool = False) -> str:
     if not native_boundary:
         outside["b"] = f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
         outside["B"] = f"(?:(?<=[{WORD}])(?=[{WORD}])|(?<![{WORD}])(?![{WORD}]))"
-    out, i, in_class = [], 0, False
+    out, i, in_class, lines = [], 0, False, False
+    # Java's group names have no underscore
+    named = {name: f"g{n}" for n, name in enumerate(re.findall(r"\(\?P<(\w+)>", pattern))}
     while i < len(pattern):
         c = pattern[i]
         if c == "\\":
@@ -83,16 +91,24 @@ def java_regex(pattern: str, native_boundary: bool = False) -> str:
                 i += 1
             continue
         elif c == "$":
-            out.append(r"(?=\n?\z)")
-        elif pattern.startswith("(?P<", i):
-            out.append("(?<")
-            i += 3
-            if pattern[i] == "<":
-                i += 1
+            out.append("$" if lines else r"(?=\n?\z)")
+        elif m := re.match(r"\(\?P<(\w+)>", pattern[i:]):
+            out.append(f"(?<{named[m[1]]}>")
+            i += m.end()
+            continue
+        elif m := re.match(r"\(\?P=(\w+)\)", pattern[i:]):
+            out.append(rf"\k<{named[m[1]]}>")
+            i += m.end()
+            continue
+        elif m := re.match(r"\(\?([imsux]+)([:)])", pattern[i:]):
+            # under (?m) a line's end is $ in both
+            lines = lines or "m" in m[1]
+            out.append(f"(?{m[1].replace('u', '').replace('i', 'iu')}{m[2]}")
+            i += m.end()
             continue
-        elif pattern.startswith("(?i)", i):
-            out.append("(?iu)")
-            i += 4
+        elif m := re.match(r"\{,(\d+)\}", pattern[i:]):
+            out.append(f"{{0,{m[1]}}}")
+            i += m.end()
             continue
         else:
             out.append(c)
@@ -248,6 +264,16 @@ def each(df: DataFrame, *keep: str, **arrays: Column) -> DataFrame:
     return df.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
 
 
+def once(df: DataFrame, name: str) -> DataFrame:
+    """The table with a costly column computed in one place.
+
+    The optimizer copies a column's expression into each later use and each pushed
+    filter, but not across an explode; here it explodes one element.
+    """
+    rest = [c for c in df.columns if c != name]
+    return df.select(*rest, F.explode_outer(F.array(F.struct(F.col(name).alias("v")))).alias("_once")).select(*rest, F.col("_once.v").alias(name))
+
+
 def is_ascii(text: Column) -> Column:
     return F.octet_length(text) == F.length(text)
 

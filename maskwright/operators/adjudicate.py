@@ -45,7 +45,7 @@ def overlap_groups(sorted_spans: Column) -> Column:
     return tx.let(
         ends,
         lambda e: tx.let(
-            _heads(sorted_spans, lambda s, i: (i == 0) | (F.get(e, i - 1) <= s["start"])),
+            _heads(sorted_spans, lambda s, i: (i == 0) | (tx.before(e, i) <= s["start"])),
             lambda heads: _runs(sorted_spans, heads),
         ),
     )
@@ -120,7 +120,7 @@ def merge_neighbours(spans: Column, text: Column, person: bool = True, address:
 
     def with_pieces(pieces: Column) -> Column:
         def opens(s: Column, i: Column) -> Column:
-            before = F.get(spans, i - 1)
+            before = tx.before(spans, i)
             mergeable = [*(["PERSON"] if person else []), *(fixed.ADDRESS_LABELS if address else [])]
             test = tx.let(
                 tx.cut(pieces, before["end"], s["start"] - before["end"]), lambda gap: ~joined(before, s, gap)

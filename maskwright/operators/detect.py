@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from maskwright.functions import text as tx
 from maskwright.sources import fixed_values as fixed
 from maskwright.sources.catalog import NER_ORD, Catalog, ContextKey, TextRule
+from maskwright.sources.spans import span_fault
 
 # Field order matters: spans sort by start, then longest first, then insertion order.
 SPAN = (
@@ -143,6 +144,7 @@ def context_spans(text: str, keys: list[ContextKey]) -> Column:
 def recogniser_spans(text: Column, found: Column, catalog: Catalog) -> Column:
     """Spans of an entity recogniser, ``array<struct<start, end, label, score>>``.
 
+    Spans without label or offset, empty ones and those not within the text are passed over.
     Labels become canonical; an ORG is more specific if a keyword stands in the
     ORG_KEYWORD_REACH characters before it or within it.
     """
@@ -167,7 +169,13 @@ def recogniser_spans(text: Column, found: Column, catalog: Catalog) -> Column:
             ),
         )
 
-    spans = tx.let(tx.chunks(text), lambda pieces: F.transform(found, lambda e, i: one(pieces, e, i)))
+    def fitting(length: Column) -> Column:
+        return F.filter(found, lambda e: e.isNotNull() & span_fault(e["start"], e["end"], e["label"], length).isNull())
+
+    spans = tx.let(
+        F.struct(tx.chunks(text).alias("pieces"), tx.let(F.length(text), fitting).alias("found")),
+        lambda v: F.transform(v["found"], lambda e, i: one(v["pieces"], e, i)),
+    )
     return F.when(F.size(found) > 0, spans).otherwise(no_spans())
 
 

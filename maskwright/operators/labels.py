@@ -14,43 +14,35 @@ from pyspark.sql import functions as F
 from maskwright.functions import bio
 from maskwright.functions import text as tx
 
-# A vocabulary up to this size becomes a map literal of the plan; a larger one is joined.
-MAP_LIMIT = 2_000
+# A vocabulary is a map literal of the plan; more labels than this are taken for a mistake in the data.
+LABELS = 10_000
 
 
 def label_vocab(*corpora: DataFrame) -> DataFrame:
-    """``(label, id)`` over all corpora: O first (always present), then by type, B before I."""
+    """``(label, id)`` over all corpora: O first (always present), then by type, B before I.
+
+    More than LABELS different labels are an error, so the one cell they are sorted in is bounded.
+    """
     seen = [tx.each(c, label=F.array_distinct("labels")) for c in corpora]
-    labels = reduce(DataFrame.unionByName, seen).distinct()
-    # the distinct labels only: a few dozen strings
-    gathered = labels.agg(F.array_union(F.array(F.lit("O")), F.collect_list("label")).alias("all"))
-    in_order = F.array_sort(F.transform("all", bio.order_key))
+    some = reduce(DataFrame.unionByName, seen).distinct().limit(LABELS + 1)
+    gathered = some.agg(F.array_union(F.array(F.lit("O")), F.collect_list("label")).alias("all"))
+    bounded = F.when(F.size("all") <= LABELS, F.col("all")).otherwise(F.raise_error(F.lit(f"more than {LABELS} labels")).cast("array<string>"))
+    in_order = F.array_sort(F.transform(bounded, bio.order_key))
     return gathered.select(F.posexplode(in_order).alias("id", "k")).select(F.col("k.label").alias("label"), "id")
 
 
-def encode_labels(df: DataFrame, vocab: DataFrame, map_limit: int = MAP_LIMIT) -> DataFrame:
-    """Add ``ner_tags``, the label ids; a label outside the vocabulary is an error."""
-    rows = vocab.limit(map_limit + 1).collect()
-    unknown = lambda tag: F.raise_error(F.concat(F.lit("unknown label "), tag)).cast("int")
-    if len(rows) <= map_limit:
-        ids = F.create_map(*[F.lit(x) for r in rows for x in (r.label, r.id)])
-        return df.withColumn(
-            "ner_tags", F.transform("labels", lambda t: F.coalesce(F.try_element_at(ids, t), unknown(t)))
-        )
-    # O is by far the most frequent label and always 0: it stays out of the join
-    words = df.select("sent_id", F.posexplode("labels").alias("pos", "label"))
-    outside = words.filter("label = 'O'").select("sent_id", "pos", F.lit(0).alias("id"))
-    inside = (
-        words.filter("label <> 'O'").join(vocab, "label", "left")
-        .select("sent_id", "pos", F.coalesce("id", unknown(F.col("label"))).alias("id"))
-    )
-    tags = (
-        outside.unionByName(inside).groupBy("sent_id")
-        .agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda e: e["id"]).alias("ner_tags"))
-    )
-    return df.join(tags, "sent_id", "left").withColumn(
-        "ner_tags", F.coalesce("ner_tags", F.array().cast("array<int>"))
-    )
+def encode_labels(df: DataFrame, vocab: DataFrame) -> DataFrame:
+    """Add ``ner_tags``, the label ids; a null label or one outside the vocabulary is an error."""
+    rows = vocab.limit(LABELS + 1).collect()
+    if len(rows) > LABELS:
+        raise ValueError(f"more than {LABELS} labels")
+    ids = F.create_map(*[F.lit(x) for r in rows for x in (r.label, r.id)]) if rows else F.create_map().cast("map<string,int>")
+
+    def code(t: Column, i: Column) -> Column:
+        said = F.concat(F.lit("unknown label "), F.coalesce(t, F.lit("<null>")), F.lit(" at position "), i.cast("string"))
+        return F.coalesce(F.try_element_at(ids, t), F.raise_error(said).cast("int"))
+
+    return df.withColumn("ner_tags", F.transform("labels", code))
 
 
 def sanitize_bio(df: DataFrame) -> DataFrame:

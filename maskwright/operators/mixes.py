@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.operators.labels import add_swapcase
-from maskwright.operators.prefix import last_kept, row_count
+from maskwright.operators.prefix import cut_at, head, row_count
 
 
 def allow_groups(found: Column, groups: list[str] | None) -> Column:
@@ -32,8 +32,7 @@ def pseudo_limit(df: DataFrame, limit: int | None = None, token_limit: int | Non
     below = lambda before: (
         (before["rows"] < limit if limit else F.lit(True)) & (before["tokens"] < token_limit if token_limit else F.lit(True))
     )
-    cut = last_kept(df, "sent_id", {"rows": F.lit(1), "tokens": F.size("tokens")}, below)
-    return df.filter(F.col("sent_id") <= cut.scalar())
+    return df.filter(F.col("sent_id") <= cut_at(df, "sent_id", {"rows": F.lit(1), "tokens": F.size("tokens")}, below))
 
 
 def pseudo_stats(docs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -51,23 +50,19 @@ def pseudo_stats(docs: DataFrame, rows: DataFrame) -> DataFrame:
     )
 
 
-def cap_by_ratio(df: DataFrame, max_ratio: float | None, base: Column | int, key: str = "sent_id") -> DataFrame:
+def cap_by_ratio(df: DataFrame, max_ratio: float | None, base: int, key: str = "sent_id") -> DataFrame:
     """The first int(base * max_ratio) rows; no cap for no ratio, no base, or a cap of 0."""
-    if max_ratio is None or max_ratio <= 0:
-        return df
-    base = F.lit(base) if isinstance(base, int) else base
-    cap = (base * F.lit(float(max_ratio))).cast("bigint")
-    cut = last_kept(df, key, {"rows": F.lit(1)}, lambda before: (cap <= 0) | (before["rows"] < cap))
-    return df.filter(F.col(key) <= cut.scalar())
+    cap = int(base * max_ratio) if max_ratio is not None and max_ratio > 0 else 0
+    return head(df, key, cap) if cap > 0 else df
 
 
-def copies(df: DataFrame, factor: float, take: Column | None = None, key: str = "sent_id") -> DataFrame:
+def copies(df: DataFrame, factor: float, take: int = 0, key: str = "sent_id") -> DataFrame:
     """int(factor) copies of each row and one more of the first ``take`` rows; adds ``copy``."""
     whole = max(1, int(factor))
     n = F.lit(whole)
-    if take is not None and factor > whole:
-        cut = last_kept(df, key, {"rows": F.lit(1)}, lambda before: before["rows"] < take)
-        n = n + F.coalesce((F.col(key) <= cut.scalar()).cast("int"), F.lit(0))
+    if take > 0 and factor > whole:
+        last = cut_at(df, key, {"rows": F.lit(1)}, lambda before: before["rows"] < take)
+        n = n + F.coalesce((F.col(key) <= last).cast("int"), F.lit(0))
     return df.withColumn("copy", F.explode(F.sequence(F.lit(0), n - 1)))
 
 
@@ -75,19 +70,17 @@ def oversample(df: DataFrame, factor: float | None) -> DataFrame:
     """Repeat rows ``factor`` times; the fraction repeats the first rows once more."""
     if not factor or factor <= 1.0:
         return df.withColumn("copy", F.lit(0))
-    return copies(df, factor, (row_count(df) * F.lit(factor - int(factor))).cast("bigint"))
+    return copies(df, factor, int(df.count() * (factor - int(factor))))
 
 
-def _pii_part(pii: DataFrame, pseudo: DataFrame | None, factor: float | None) -> DataFrame:
+def _pii_part(pii: DataFrame, n_pii: int, pseudo: DataFrame | None, factor: float | None) -> DataFrame:
     """PII rows, then pseudo rows, oversampled as one list."""
     name = lambda df, corpus: df.select("sent_id", "tokens", "labels").withColumn("corpus", F.lit(corpus))
     parts = [name(pii, "pii")] + ([name(pseudo, "pseudo")] if pseudo is not None else [])
     if factor and factor > 1.0:
-        n_pii = row_count(pii)
-        n_all = n_pii + (row_count(pseudo) if pseudo is not None else F.lit(0))
-        take = (n_all * F.lit(factor - int(factor))).cast("bigint")
-        takes = [take, take - n_pii]
-        parts = [copies(p, factor, t) for p, t in zip(parts, takes)]
+        n_all = n_pii + (pseudo.count() if pseudo is not None else 0)
+        take = int(n_all * (factor - int(factor)))
+        parts = [copies(p, factor, t) for p, t in zip(parts, (take, take - n_pii))]
     else:
         parts = [p.withColumn("copy", F.lit(0)) for p in parts]
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
@@ -113,22 +106,39 @@ def joint_mix(
     """
     if pii is None:
         raise ValueError("the PII train split is missing")
-    base = row_count(pii)
+    base = pii.count()
     pseudo = cap_by_ratio(pseudo, pseudo_ratio, base) if pseudo is not None else None
-    mix = _pii_part(pii, pseudo, factor)
+    general = cap_by_ratio(general, general_ratio, base) if general is not None else None
+    return _joint(pii, base, pseudo, general, factor, augment)
+
+
+def _joint(pii, n_pii: int, pseudo, general, factor, augment: bool) -> DataFrame:
+    """joint_mix() of corpora that are capped already."""
+    mix = _pii_part(pii, n_pii, pseudo, factor)
     if general is not None:
-        capped = cap_by_ratio(general, general_ratio, base).select(
+        plain = general.select(
             "sent_id", "tokens", "labels",
             F.lit("conll").alias("corpus"), F.lit(0).alias("copy"), F.lit(False).alias("is_pii"),
         )
-        mix = mix.unionByName(capped)
+        mix = mix.unionByName(plain)
     return _finish(mix, augment)
 
 
-def curriculum_mix(pii: DataFrame, pseudo: DataFrame | None, general: DataFrame | None, **options) -> DataFrame:
-    """Phase 1 without pseudo rows, phase 2 with them; ``phase`` tells them apart."""
-    first = joint_mix(pii, None, general, **options).withColumn("phase", F.lit(1))
-    return first.unionByName(joint_mix(pii, pseudo, general, **options).withColumn("phase", F.lit(2)))
+def curriculum_mix(
+    pii: DataFrame,
+    pseudo: DataFrame | None,
+    general: DataFrame | None,
+    pseudo_ratio: float | None = None,
+    general_ratio: float | None = None,
+    factor: float | None = 2.0,
+    augment: bool = False,
+) -> DataFrame:
+    """Phase 1 without pseudo rows, phase 2 with them; ``phase`` tells them apart. Both share the cuts."""
+    base = pii.count()
+    pseudo = cap_by_ratio(pseudo, pseudo_ratio, base) if pseudo is not None else None
+    general = cap_by_ratio(general, general_ratio, base) if general is not None else None
+    phases = [_joint(pii, base, p, general, factor, augment) for p in (None, pseudo)]
+    return phases[0].withColumn("phase", F.lit(1)).unionByName(phases[1].withColumn("phase", F.lit(2)))
 
 
 def sequential_mix(
@@ -143,11 +153,11 @@ def sequential_mix(
     """Stage 1: general rows, capped against PII. Stage 2: PII and pseudo rows."""
     if pii is None or general is None:
         raise ValueError("the sequential strategy needs a PII and a general train split")
-    base = row_count(pii)
+    base = pii.count()
     first = cap_by_ratio(general, general_ratio, base).select(
         "sent_id", "tokens", "labels", F.lit("conll").alias("corpus"), F.lit(0).alias("copy"),
         F.lit(False).alias("is_pii"), F.lit(False).alias("augmented"), F.lit(1).alias("stage"),
     )
     pseudo = cap_by_ratio(pseudo, pseudo_ratio, base) if pseudo is not None else None
-    second = _finish(_pii_part(pii, pseudo, factor), augment).withColumn("stage", F.lit(2))
+    second = _finish(_pii_part(pii, base, pseudo, factor), augment).withColumn("stage", F.lit(2))
     return first.unionByName(second)

@@ -5,6 +5,7 @@ of 2**16 neighbouring keys holds at most 65,536 rows. Totals per block are summe
 where the rows lie; the block where the limit is crossed is then found level by
 level, each level a window over at most 65,536 groups. The result is the last
 key to keep, and keeping is a plain filter: payload columns are never shuffled.
+The cut is found when it is asked for, one small job, so that plans which use it stay small.
 """
 
 from __future__ import annotations
@@ -56,11 +57,20 @@ def last_kept(
     return at.select(F.col("parent").alias("cut"))
 
 
+def cut_at(df: DataFrame, key: str, measures: dict[str, Column], keep: Callable[[dict[str, Column]], Column]) -> Column:
+    """The last key to keep as a literal. Keys must be integers, and the key at the cut must be one row's."""
+    if dict(df.dtypes)[key] not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{key} must be an integer to cut by it")
+    cut = last_kept(df, key, measures, keep).first()["cut"]
+    if cut is not None and df.filter(F.col(key) == cut).limit(2).count() > 1:
+        raise ValueError(f"{key} = {cut} is the key of several rows: no cut lies between them")
+    return F.lit(cut).cast("bigint")
+
+
 def head(df: DataFrame, key: str, n: Column | int) -> DataFrame:
     """The first ``n`` rows by ``key``."""
     n = F.lit(n) if isinstance(n, int) else n
-    cut = last_kept(df, key, {"rows": F.lit(1)}, lambda before: before["rows"] < n)
-    return df.filter(F.col(key) <= cut.scalar())
+    return df.filter(F.col(key) <= cut_at(df, key, {"rows": F.lit(1)}, lambda before: before["rows"] < n))
 
 
 def row_count(df: DataFrame) -> Column:

@@ -61,7 +61,7 @@ def rewrite(text: Column, marks: Column) -> Column:
     """The text with each marked span replaced by its placeholder."""
     def render(pieces: Column) -> Column:
         def part(m: Column, i: Column) -> Column:
-            begin = F.coalesce(F.get(marks, i - 1)["end"], F.lit(0))
+            begin = F.coalesce(tx.before(marks, i)["end"], F.lit(0))
             return F.concat(tx.cut(pieces, begin, m["start"] - begin), m["placeholder"])
 
         end = F.element_at(marks, -1)["end"]

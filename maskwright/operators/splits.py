@@ -61,10 +61,14 @@ def assign_splits(
 ) -> DataFrame:
     """Add ``split``: train, validation or test; ``stratify`` names a boolean column.
 
-    ``key`` must be unique. With one stratum only, the split is not stratified.
+    ``key`` must be unique. A row without a stratum is an error. With one stratum
+    only, the split is not stratified. One bucket of a cut is sorted in one task: rows / 65,536 of them.
     """
     check_ratios(val, test)
-    stratum = F.col(stratify).cast("int") if stratify else F.lit(0)
+    if stratify and dict(df.dtypes)[stratify] != "boolean":
+        raise TypeError(f"{stratify} must be boolean to stratify by it")
+    missing = F.raise_error(F.lit(f"a row without {stratify}")).cast("int")
+    stratum = F.coalesce(F.col(stratify).cast("int"), missing) if stratify else F.lit(0)
     slim = df.select(stratum.alias("stratum"), random_key(key, seed).alias("h"))
     bucket = F.substring("h", 1, BUCKET_DIGITS)
     histogram = slim.groupBy("stratum", bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))

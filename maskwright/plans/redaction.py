@@ -22,17 +22,18 @@ def redact_documents(
     text: str = "text",
     ner_spans: DataFrame | None = None,
     key: str = "doc_id",
+    ner: str | None = None,
 ) -> DataFrame:
     """Add ``redacted_text``, ``entities`` and ``map``; works on batch and streaming tables alike.
 
-    ``ner_spans`` are an optional table of recogniser spans (batch only).
+    ``ner_spans`` are an optional table of recogniser spans (batch only); ``ner`` names an
+    array column of them instead. Filters on the result do not run detection again.
     """
     catalog = catalog or default_catalog()
     if ner_spans is not None:
-        docs = attach_spans(docs, ner_spans, key, "_ner")
-    found = find(docs, catalog, text, "_ner" if ner_spans is not None else None)
-    out = redact.respond(redact.mark(found, catalog), text)
-    return out.drop("spans", "final", "marks", "_ner")
+        docs, ner = attach_spans(docs, ner_spans, key, "_ner"), "_ner"
+    marked = redact.mark(find(docs, catalog, text, ner), catalog).drop("spans", "final", "_ner")
+    return redact.respond(tx.once(marked, "marks"), text).drop("marks")
 
 
 def entity_totals(result: DataFrame, *by: str) -> DataFrame:

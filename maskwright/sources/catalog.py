@@ -11,11 +11,12 @@ import logging
 import re
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.functions.text import sql_literal
+from maskwright.functions.text import java_regex, sql_literal
 from maskwright.sources import fixed_values as fixed
 
 log = logging.getLogger(__name__)
@@ -63,7 +64,8 @@ class Catalog:
         return F.coalesce(F.try_element_at(names, up), up)
 
 
-def _usable(pattern: str, label: str) -> bool:
+def _usable(pattern: str, label: str, spark: SparkSession | None = None) -> bool:
+    """Whether a pattern compiles here and, asked of a session, in the executors' language too."""
     try:
         compiled = re.compile(pattern)
     except re.error as e:
@@ -72,19 +74,29 @@ def _usable(pattern: str, label: str) -> bool:
     if compiled.search("") or compiled.fullmatch(""):
         log.warning("pattern of %s skipped: it matches the empty text", label)
         return False
+    try:
+        for native in (True, False) if spark else ():
+            spark.range(1).select(F.col("id").cast("string").rlike(java_regex(pattern, native))).collect()
+    except (PySparkException, Py4JJavaError) as e:
+        log.warning("pattern of %s skipped: %s", label, str(e).splitlines()[0])
+        return False
     return True
 
 
-def order_rules(rows: list[tuple[str, int | None, str]]) -> list[TextRule]:
+def order_rules(rows: list[tuple[str, int | None, str]], spark: SparkSession | None = None) -> list[TextRule]:
     """Usable rules, most specific first; equal specificity keeps the file order."""
-    usable = [(lab, fixed.DEFAULT_SPECIFICITY if spec is None else spec, pat) for lab, spec, pat in rows if _usable(pat, lab)]
+    usable = [(lab, fixed.DEFAULT_SPECIFICITY if spec is None else spec, pat) for lab, spec, pat in rows if _usable(pat, lab, spark)]
+    if len(usable) > CONTEXT_ORD:
+        raise ValueError(f"more than {CONTEXT_ORD} rules")
     ranked = sorted(usable, key=lambda r: -r[1])
     return [TextRule(i, lab, pat, spec, tuple(fixed.NEEDS.get(pat, ()))) for i, (lab, spec, pat) in enumerate(ranked)]
 
 
-def flatten_keys(rows: list[tuple[str, int, list[str], str]]) -> list[ContextKey]:
+def flatten_keys(rows: list[tuple[str, int, list[str], str]], spark: SparkSession | None = None) -> list[ContextKey]:
     """One entry per keyword, in file order."""
-    flat = [(key, win, lab, pat) for lab, win, keys, pat in rows if _usable(pat, lab) for key in keys]
+    flat = [(key, win, lab, pat) for lab, win, keys, pat in rows if _usable(pat, lab, spark) for key in keys]
+    if len(flat) > NER_ORD - CONTEXT_ORD:
+        raise ValueError(f"more than {NER_ORD - CONTEXT_ORD} keywords")
     return [ContextKey(CONTEXT_ORD + i, key, win, lab, pat) for i, (key, win, lab, pat) in enumerate(flat)]
 
 
@@ -125,9 +137,9 @@ def load_catalog(
     base = default_catalog()
     rules, keys, synonyms = base.rules, base.keys, base.synonyms
     if rules_path and (rows := _read_json(spark, rules_path, TEXT_RULE_SCHEMA)) is not None:
-        rules = order_rules([(r.label, r.specificity, r.pattern) for r in rows])
+        rules = order_rules([(r.label, r.specificity, r.pattern) for r in rows], spark)
     if context_path and (rows := _read_json(spark, context_path, CONTEXT_RULE_SCHEMA)) is not None:
-        keys = flatten_keys([(r.label, r.window, r["keys"], r.value_regex) for r in rows])
+        keys = flatten_keys([(r.label, r.window, r["keys"], r.value_regex) for r in rows], spark)
     if synonyms_path:
         try:
             text = spark.read.text(synonyms_path, wholetext=True)

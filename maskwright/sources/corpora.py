@@ -7,47 +7,73 @@ numbers otherwise.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.functions import bio
 from maskwright.functions import text as tx
+from maskwright.sources.sinks import as_table
 
 CONLL_FILES = {"train": "train.txt", "validation": "valid.txt", "test": "test.txt"}
 CHUNK_WORDS = 128
 
 
+_STRING = r"""'(?:[^'\\]|\\.)*+'|"(?:[^"\\]|\\.)*+\""""
+
+
 def list_literal(text: Column) -> Column:
-    """A Python list literal of scalars -> ``array<string>``; null if it is none.
+    """A Python list literal of scalars -> ``array<string>``, as str() shows them; null if it is none.
 
-    Single and double quotes and backslash escapes as in ``repr()``; ``\\xHH``
-    becomes its JSON spelling, and an object or a bare word gives null.
+    Quotes and backslash escapes as in ``repr()``, numbers, None, True and False,
+    and a comma after the last item. Each item becomes JSON: a string stays, but
+    for ``\\xHH``; another word is quoted, so it is read as its own spelling.
     """
-    json = F.regexp_replace(text, r"(?<!\\)((?:\\\\)*)\\x([0-9a-fA-F]{2})", r"$1\\u00$2")
+    tokens = F.regexp_extract_all(text, F.lit(rf"(?s){_STRING}|[^\s\[\],'\"]++|\S"), F.lit(0))
+    hexed = lambda t: F.regexp_replace(t, r"(?<!\\)((?:\\\\)*)\\x([0-9a-fA-F]{2})", r"$1\\u00$2")
+    word = lambda t: F.when(t.rlike(r"\A(?:None|True|False|[+-]?\d+(?:\.\d+)?)\z"), F.concat(F.lit('"'), t, F.lit('"'))).otherwise(t)
+    spelled = F.transform(tokens, lambda t: F.when(t.rlike(r"\A['\"].+"), hexed(t)).otherwise(word(t)))
+    json = F.regexp_replace(F.array_join(spelled, " "), r",\s*\]\z", "]")
     options = {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"}
     return F.when(F.ltrim(text).startswith("["), F.from_json(json, "array<string>", options))
 
 
-def parse_tagged(df: DataFrame, tokens: str = "tokens", labels: str = "labels") -> DataFrame:
-    """List-literal columns -> token and label arrays with repaired tags.
-
-    Rows that do not parse, or whose lists differ in length, are dropped.
-    """
+def _parsed(df: DataFrame, tokens: str, labels: str) -> tuple[DataFrame, Column]:
     missing = {tokens, labels} - set(df.columns)
     if missing:
         raise ValueError(f"the corpus lacks the columns {sorted(missing)}")
     rest = [c for c in df.columns if c not in (tokens, labels)]
     parsed = df.select(*rest, list_literal(F.col(tokens)).alias("tokens"), list_literal(F.col(labels)).alias("_labels"))
-    usable = parsed.filter(
-        F.col("tokens").isNotNull() & F.col("_labels").isNotNull() & (F.size("tokens") == F.size("_labels"))
-    )
-    return usable.select(*rest, "tokens", bio.sanitize(F.col("_labels")).alias("labels"))
+    return parsed, F.col("tokens").isNotNull() & F.col("_labels").isNotNull() & (F.size("tokens") == F.size("_labels"))
+
+
+def parse_tagged(df: DataFrame, tokens: str = "tokens", labels: str = "labels") -> DataFrame:
+    """List-literal columns -> token and label arrays with repaired tags.
 
+    Rows that do not parse, or whose lists differ in length, are dropped; rejected_tagged() counts them.
+    """
+    parsed, usable = _parsed(df, tokens, labels)
+    rest = [c for c in parsed.columns if c not in ("tokens", "_labels")]
+    return parsed.filter(usable).select(*rest, "tokens", bio.sanitize(F.col("_labels")).alias("labels"))
+
+
+def rejected_tagged(df: DataFrame, tokens: str = "tokens", labels: str = "labels") -> DataFrame:
+    """``(reason, n)``: rows that parse_tagged() drops."""
+    parsed, usable = _parsed(df, tokens, labels)
+    both = F.col("tokens").isNotNull() & F.col("_labels").isNotNull()
+    reason = F.when(both, "lists of different length").otherwise("not a list literal")
+    return parsed.filter(~usable).groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
-def read_tagged_csv(spark: SparkSession, path: str, tokens: str = "tokens", labels: str = "labels") -> DataFrame:
-    """CSV with list-literal columns -> ``(sent_id, tokens, labels)``."""
-    raw = spark.read.csv(path, header=True, multiLine=True, escape='"')
+
+def read_tagged_csv(spark: SparkSession, path: str, tokens: str = "tokens", labels: str = "labels", multi_line: bool = False) -> DataFrame:
+    """CSV with list-literal columns -> ``(sent_id, tokens, labels)``.
+
+    List literals escape line breaks, so a record is a line and large files are split;
+    ``multi_line`` is for files with line breaks in other columns, each then one task.
+    """
+    raw = spark.read.csv(path, header=True, multiLine=multi_line, escape='"')
     missing = {tokens, labels} - set(raw.columns)
     if missing:
         raise ValueError(f"{path} lacks the columns {sorted(missing)}")
@@ -74,34 +100,37 @@ def conll_sentences(blocks: DataFrame, block: str = "value") -> DataFrame:
     )
 
 
-def read_conll(spark: SparkSession, directory: str, newline: str = "\n") -> DataFrame:
-    """CoNLL files -> ``(sent_id, split, tokens, labels)``; absent files are skipped.
+def line_end(spark: SparkSession, path: str) -> str:
+    """The line end of text files, seen at their first lines."""
+    first = spark.read.option("lineSep", "\n").text(path).limit(50)
+    return "\n" if first.filter(F.col("value").endswith("\r")).isEmpty() else "\r\n"
 
-    An empty line separates records, so large files are read in parallel by
-    sentence. ``newline`` is the line end of the files (``\\r\\n`` for such files).
-    """
+
+def _blocks(spark: SparkSession, path: str) -> DataFrame:
+    """Records between empty lines, with ``\n`` as their line ends; large files are read in parallel."""
+    raw = spark.read.option("lineSep", line_end(spark, path) * 2).text(path)
+    return raw.select(F.replace(F.col("value"), F.lit("\r\n"), F.lit("\n")).alias("value"))
+
+
+def read_conll(spark: SparkSession, directory: str) -> DataFrame:
+    """CoNLL files -> ``(sent_id, split, tokens, labels)``; absent files are skipped, ids are unique over all of them."""
     parts = []
     for split, name in CONLL_FILES.items():
         try:
-            raw = spark.read.option("lineSep", newline * 2).text(f"{directory.rstrip('/')}/{name}")
+            parts.append(_blocks(spark, f"{directory.rstrip('/')}/{name}").select(F.lit(split).alias("split"), "value"))
         except PySparkException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            continue
-        value = F.replace(F.col("value"), F.lit(newline), F.lit("\n"))
-        numbered = raw.select(F.monotonically_increasing_id().alias("sent_id"), F.lit(split).alias("split"), value.alias("value"))
-        parts.append(conll_sentences(numbered))
     if not parts:
         return spark.createDataFrame([], "sent_id bigint, split string, tokens array<string>, labels array<string>")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    numbered = reduce(DataFrame.unionByName, parts).select(F.monotonically_increasing_id().alias("sent_id"), "split", "value")
+    return conll_sentences(numbered)
 
 
 def paragraphs(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Paragraphs of each text: split at empty lines, stripped, empty ones dropped."""
-    parts = F.split(F.col(text), "\n\n", -1)
+    """Paragraphs of each text: split at empty lines (of any line end), stripped, empty ones dropped."""
+    lines = F.replace(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
+    parts = F.split(lines, "\n\n", -1)
     return (
         df.select(key, F.posexplode_outer(parts).alias("para_no", "_raw"))
         .select(key, "para_no", tx.strip(F.col("_raw")).alias("text")).filter("text <> ''")
@@ -120,7 +149,11 @@ def paragraph_chunks(df: DataFrame, text: str = "text", key: str = "doc_id", chu
     )
 
 
+def numbered_chunks(chunks: DataFrame) -> DataFrame:
+    """Chunks with ``sent_id``, a unique integer in the order of reading, as a stored table: ids are given once."""
+    return as_table(chunks.withColumn("sent_id", F.monotonically_increasing_id()), "chunks")
+
+
 def read_raw_text(spark: SparkSession, path: str) -> DataFrame:
     """Raw text file -> ``(doc_id, text)``, one row per paragraph block, read in parallel."""
-    raw = spark.read.option("lineSep", "\n\n").text(path)
-    return raw.select(F.monotonically_increasing_id().alias("doc_id"), F.col("value").alias("text"))
+    return _blocks(spark, path).select(F.monotonically_increasing_id().alias("doc_id"), F.col("value").alias("text"))

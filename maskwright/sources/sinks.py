@@ -6,10 +6,12 @@ holds the raw values and needs its own access rules.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,13 +20,21 @@ from maskwright.operators import redact
 TABLES = ("redacted", "entities", "vault")
 
 
+@cache
+def _local_base() -> str:
+    """One temporary folder for this process, removed when it ends."""
+    base = tempfile.mkdtemp(prefix="maskwright-")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return base
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one in ``spark.checkpoint.dir``; a temporary one only where all work is in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="maskwright-")
+        base = _local_base()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -35,29 +45,34 @@ def as_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tables_of(result: DataFrame, key: str, *by: str) -> dict[str, DataFrame]:
+    """The three tables of redact.respond()."""
+    return {
+        "redacted": result.select(key, *by, "redacted_text"),
+        "entities": redact.entity_rows(result, key, *by),
+        "vault": redact.vault_rows(result, key),
+    }
+
+
 def write_redaction(result: DataFrame, path: str, key: str = "doc_id", partition_by: list[str] | None = None, mode: str = "errorifexists") -> None:
-    """Write the three tables of redact.respond(); texts may be partitioned by document columns."""
+    """Write the three tables of redact.respond(); texts may be partitioned by document columns.
+
+    Detection runs once, into a table below the shared folder that the three are derived from.
+    It holds original values like the vault: restrict that folder likewise.
+    """
     by = partition_by or []
-    kept = result.select(key, *by, "redacted_text", "entities", "map").persist(StorageLevel.DISK_ONLY)
-    try:
-        outputs = {
-            "redacted": kept.select(key, *by, "redacted_text"),
-            "entities": redact.entity_rows(kept, key, *by),
-            "vault": redact.vault_rows(kept, key),
-        }
-        for table, df in outputs.items():
-            writer = df.write.mode(mode)
-            if by and table != "vault":
-                writer = writer.partitionBy(*by)
-            writer.parquet(f"{path.rstrip('/')}/{table}")
-    finally:
-        kept.unpersist()
+    wide = as_table(result.select(key, *by, "redacted_text", "entities", "map"), "redaction")
+    for table, df in tables_of(wide, key, *by).items():
+        writer = df.write.mode(mode)
+        if by and table != "vault":
+            writer = writer.partitionBy(*by)
+        writer.parquet(f"{path.rstrip('/')}/{table}")
 
 
 def write_labels(vocab: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """The vocabulary as an ordered list, and as maps label -> id and id -> label."""
     base = path.rstrip("/")
-    one = vocab.coalesce(1).sortWithinPartitions("id")
+    one = as_table(vocab, "vocabulary").coalesce(1).sortWithinPartitions("id")
     one.select(F.col("label").alias("value")).write.mode(mode).text(f"{base}/labels")
     one.select("label", "id").write.mode(mode).json(f"{base}/label2id")
     one.select("id", "label").write.mode(mode).json(f"{base}/id2label")

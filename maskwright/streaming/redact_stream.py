@@ -9,14 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.query import StreamingQuery
 
-from maskwright.operators import redact
 from maskwright.plans.redaction import redact_documents
 from maskwright.sources.catalog import Catalog
+from maskwright.sources.sinks import as_table, tables_of
 
 
-def redact_stream(docs: DataFrame, catalog: Catalog | None = None) -> DataFrame:
-    """A stream of documents -> a stream of responses."""
-    return redact_documents(docs, catalog)
+def redact_stream(docs: DataFrame, catalog: Catalog | None = None, ner: str | None = None) -> DataFrame:
+    """A stream of documents -> a stream of responses; ``ner`` names an array column of recogniser spans."""
+    return redact_documents(docs, catalog, ner=ner)
 
 
 def start_text_sink(docs: DataFrame, path: str, checkpoint: str, catalog: Catalog | None = None, **trigger) -> StreamingQuery:
@@ -34,16 +34,9 @@ def start_table_sink(docs: DataFrame, path: str, checkpoint: str, catalog: Catal
     A batch that is run again overwrites its own partition only.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        kept = batch.select("doc_id", "redacted_text", "entities", "map").persist()
-        try:
-            for table, df in (
-                ("redacted", kept.select("doc_id", "redacted_text")),
-                ("entities", redact.entity_rows(kept, "doc_id")),
-                ("vault", redact.vault_rows(kept, "doc_id")),
-            ):
-                df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{table}/batch_id={batch_id}")
-        finally:
-            kept.unpersist()
+        wide = as_table(batch.select("doc_id", "redacted_text", "entities", "map"), "redaction")
+        for table, df in tables_of(wide, "doc_id").items():
+            df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/{table}/batch_id={batch_id}")
 
     return (
         redact_stream(docs, catalog).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -1,12 +1,13 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from maskwright import default_catalog, load_catalog, redact_documents
-from maskwright.operators import labels
+from maskwright.operators import detect, labels
 from maskwright.sources import corpora, sinks
-from maskwright.sources.spans import ner_spans_in, valid_documents
+from maskwright.sources.spans import ner_spans_in, ner_spans_rejected, valid_documents
 
 
 def test_tagged_csv(spark, tmp_path):
@@ -15,6 +16,10 @@ def test_tagged_csv(spark, tmp_path):
     spark.createDataFrame(rows, "tokens string, labels string").coalesce(1).write.csv(f"{tmp_path}/c", header=True, escape='"')
     got = [(r.tokens, r.labels) for r in corpora.read_tagged_csv(spark, f"{tmp_path}/c").orderBy("sent_id").collect()]
     assert got == [(good[0], ["B-A", "I-A", "O", "B-B", "B-X", "O"]), (["1", "2.5"], ["O", "O"]), ([], [])]
+    odd = [("['a', None, True, -3,]", "['O', 'O', 'O', 'O', ]"), ("['None', 'b]']", "['O', 'O']"), ("[1 2]", "['O']"), ("['a']", "[]"), (None, "[]")]
+    raw = spark.createDataFrame(odd, "tokens string, labels string")
+    assert [r.tokens for r in corpora.parse_tagged(raw).collect()] == [["a", "None", "True", "-3"], ["None", "b]"]]
+    assert {r.reason: r.n for r in corpora.rejected_tagged(raw).collect()} == {"not a list literal": 2, "lists of different length": 1}
     with pytest.raises(ValueError):
         corpora.read_tagged_csv(spark, f"{tmp_path}/c", tokens="words")
 
@@ -26,8 +31,11 @@ CONLL = "-DOCSTART- -X- O O\n\nEU NNP B-NP B-ORG\nrejects VB x O\n \nshort line\
 def test_conll(spark, tmp_path, newline):
     (tmp_path / "train.txt").write_bytes(CONLL.replace("\n", newline).encode())
     (tmp_path / "test.txt").write_bytes(b"")
-    got = [(r.split, r.tokens, r.labels) for r in corpora.read_conll(spark, str(tmp_path), newline).orderBy("sent_id").collect()]
-    assert got == [("train", ["EU", "rejects", "German"], ["B-ORG", "O", "I-MISC"]), ("train", ["end"], ["O"])]
+    (tmp_path / "valid.txt").write_bytes(b"a b c O")
+    got = [(r.split, r.tokens, r.labels) for r in corpora.read_conll(spark, str(tmp_path)).orderBy("sent_id").collect()]
+    assert got == [("train", ["EU", "rejects", "German"], ["B-ORG", "O", "I-MISC"]), ("train", ["end"], ["O"]), ("validation", ["a"], ["O"])]
+    ids = [r.sent_id for r in corpora.read_conll(spark, str(tmp_path)).collect()]
+    assert len(set(ids)) == 3
     assert corpora.read_conll(spark, str(tmp_path / "none")).count() == 0
 
 
@@ -45,6 +53,38 @@ def test_documents_and_spans(spark):
     assert [r.doc_id for r in ner_spans_in(docs, spans).collect()] == [2]
 
 
+@pytest.mark.parametrize("newline", ["\n", "\r\n"])
+def test_raw_text(spark, tmp_path, newline):
+    (tmp_path / "raw.txt").write_bytes(f"one two{newline}three{newline}{newline}four five".encode())
+    docs = corpora.read_raw_text(spark, str(tmp_path / "raw.txt"))
+    assert [r.text for r in docs.orderBy("doc_id").collect()] == ["one two\nthree", "four five"]
+    one = spark.createDataFrame([(1, f"a b{newline}{newline}c")], "doc_id bigint, text string")
+    assert [r.text for r in corpora.paragraph_chunks(one).orderBy("para_no").collect()] == ["a b", "c"]
+
+
+def test_bad_spans(spark):
+    docs = spark.createDataFrame([(1, "Mr Ong was here")], "doc_id bigint, text string")
+    bad = [(-3, 2, "X"), (None, 4, "X"), (3, None, "X"), (4, 4, "X"), (6, 2, "X"), (3, 99, "X"), (50, 60, "X"), (0, 2, None), (2**40, 2**41, "X")]
+    spans = spark.createDataFrame([(1, s, e, lab, 0.9) for s, e, lab in [*bad, (7, 10, "Z")]], "doc_id bigint, start bigint, end bigint, label string, score double")
+    out = redact_documents(docs, ner_spans=spans).first()
+    assert out.redacted_text == "***[PERSON#1]*** ***[Z#1]*** here"
+    reasons = sorted(r.reason for r in ner_spans_rejected(docs, spans).collect())
+    assert reasons == sorted(["before the text", "no offset", "no offset", "empty", "empty", "beyond the text", "beyond the text", "no label", "beyond the text"])
+    assert [r.label for r in ner_spans_in(docs, spans).collect()] == ["Z"]
+
+
+def test_pattern_dialect(spark, tmp_path):
+    rules = {"A": r"(?P<my_id>ab)-(?P=my_id)", "B": r"x{,2}y", "C": r"(?m)end$", "D": r"(a)?(?(1)b|c)", "E": r"(?i:straße)z"}
+    path = tmp_path / "rules.json"
+    path.write_text(json.dumps([{"label": k, "pattern": p} for k, p in rules.items()]))
+    catalog = load_catalog(spark, str(path))
+    assert [r.label for r in catalog.rules] == ["A", "B", "C", "E"]
+    text = "ab-ab xxxy end\nSTRAßEz end"
+    found = spark.createDataFrame([(text,)], "text string").select(detect.text_spans("text", catalog.rules).alias("s")).first().s
+    want = [(r.label, m.span()) for r in catalog.rules for m in re.finditer(r.pattern, text)]
+    assert sorted((s.label, (s.start, s.end)) for s in found) == sorted(want) and len(want) == 5
+
+
 def test_catalogs(spark, tmp_path):
     base = default_catalog()
     assert [r.specificity for r in base.rules] == sorted((r.specificity for r in base.rules), reverse=True)

@@ -42,11 +42,60 @@ def test_vocabulary_and_encoding(spark):
     df = spark.createDataFrame([(1, ["a", "b"], ["I-B", "O"]), (2, [], []), (3, ["c"], ["B-A"])], CORPUS)
     vocab = labels.label_vocab(df)
     assert [(r.label, r.id) for r in vocab.collect()] == [("O", 0), ("B-A", 1), ("I-B", 2)]
-    for limit in (100, 1):
-        coded = {r.sent_id: r.ner_tags for r in labels.encode_labels(df, vocab, limit).collect()}
-        assert coded == {1: [2, 0], 2: [], 3: [1]}
-        with pytest.raises(Exception, match="unknown label"):
-            labels.encode_labels(df, vocab.filter("id < 2"), limit).collect()
+    coded = {r.sent_id: r.ner_tags for r in labels.encode_labels(df, vocab).collect()}
+    assert coded == {1: [2, 0], 2: [], 3: [1]}
+    with pytest.raises(Exception, match="unknown label I-B at position 0"):
+        labels.encode_labels(df, vocab.filter("id < 2")).collect()
+    with pytest.raises(Exception, match="unknown label <null> at position 1"):
+        labels.encode_labels(spark.createDataFrame([(1, ["a", "b"], ["O", None])], CORPUS), vocab).collect()
+    twice = spark.createDataFrame([(7, ["a"], ["B-A"]), (7, ["b", "c"], ["O", "I-B"])], CORPUS)
+    assert sorted(r.ner_tags for r in labels.encode_labels(twice, vocab).collect()) == [[0, 2], [1]]
+
+
+def test_repair_by_hand(spark):
+    rows = [(["I-A", "I-A"], ["B-A", "I-A"]), (["A", "I-A"], ["B-A", "I-A"]), (["B-A", "O", "I-A"], ["B-A", "O", "B-A"]), (["B-A", "I-B", "I-B"], ["B-A", "B-B", "I-B"])]
+    df = spark.createDataFrame([(a, b) for a, b in rows], "l array<string>, want array<string>")
+    assert all(r.s == r.want for r in df.select("want", bio.sanitize(F.col("l")).alias("s")).collect())
+
+
+def test_repeated_or_odd_keys_are_no_cut(spark):
+    df = spark.createDataFrame([(5, ["a"], ["O"])] * 10 + [(1, ["a"], ["O"])], CORPUS)
+    with pytest.raises(ValueError, match="several rows"):
+        mixes.cap_by_ratio(df, 0.2, 10)
+    assert mixes.cap_by_ratio(df, 0.1, 10).count() == 1
+    with pytest.raises(TypeError):
+        head(df.withColumn("sent_id", F.col("sent_id").cast("string")), "sent_id", 2)
+
+
+def test_strata_must_be_known(spark):
+    flags = spark.createDataFrame([(i, None if i == 3 else i % 2 == 0) for i in range(20)], "sent_id bigint, has_pii boolean")
+    with pytest.raises(Exception, match="a row without has_pii"):
+        splits.assign_splits(flags, stratify="has_pii").collect()
+    with pytest.raises(TypeError):
+        splits.assign_splits(flags.withColumn("has_pii", F.lit("x")), stratify="has_pii")
+
+
+def test_training_plan(spark, tmp_path):
+    from maskwright.plans import training
+
+    pii = spark.range(60).select(
+        F.col("id").alias("sent_id"), F.array(F.lit("Ann"), F.lit("x")).alias("tokens"),
+        F.when(F.col("id") % 3 > 0, F.array(F.lit("B-PERSON"), F.lit("O"))).otherwise(F.array(F.lit("O"), F.lit("O"))).alias("labels"),
+    )
+    docs = spark.createDataFrame([(9, "Ann b\r\n\r\nc d"), (4, "Ann"), (5, None)], "doc_id bigint, text string")
+    span = F.struct(F.lit(0).alias("start"), F.lit(3).alias("end"), F.lit("PERSON").alias("label"))
+    pseudo = training.pseudo_corpus(docs, lambda t: F.when(t.startswith("Ann"), F.array(span)).otherwise(F.array().cast("array<struct<start:int,end:int,label:string>>")))
+    rows = pseudo.collect()
+    assert len({r.sent_id for r in rows}) == 3 and sorted((r.tokens, r.labels) for r in rows)[0] == (["Ann"], ["B-PERSON"])
+    for strategy in ("joint", "curriculum", "sequential"):
+        mix, held_out, vocab = training.training_mix(pii, pii, pseudo, training.Options(strategy, stratify=True, factor=1.5, general_ratio=0.5, pseudo_ratio=1.0))
+        assert held_out.count() == 12 and [r.label for r in vocab.orderBy("id").collect()] == ["O", "B-PERSON"]
+        plan = mix._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") < 50
+        training.write_training(mix, held_out, vocab, str(tmp_path / strategy))
+        assert spark.read.parquet(f"{tmp_path}/{strategy}/train").count() == mix.count()
+    with pytest.raises(ValueError):
+        training.training_mix(pii, options=training.Options("none"))
 
 
 def test_align_truncate_and_swapcase(spark):

@@ -94,3 +94,52 @@ def test_reveal_and_size_class(spark):
     assert redact.reveal(entities, redact.vault_rows(out, "doc_id").limit(0)).first().shown == "bob.the.bu..."
     sizes = spark.createDataFrame([("a" * 9000,), ("a" * 9001,), ("😀" * 5001,)], "t string").select(redact.size_class(F.col("t")).alias("c"))
     assert [r.c for r in sizes.collect()] == ["ok", "near-limit", "over-limit"]
+
+
+EDGE_TEXTS = [
+    "Contact: john.doe@example.com", "Masked email j***@example.com", "Call +1-202-555-0199 now", "Masked phone +1 (202) ***-****",
+    "Card 4242 4242 4242 4242", "SSN 078-05-1120", "IBAN GB82 WEST 1234 5698 7654 32", "Visit https://example.com today", "Ping me @handle",
+    "Date 2024-09-01 and 01/09/2024", "Plate ABC-1234", "Initials J.D.", "ID A1234567 and 123456789", "Address 97 Lincoln Street, Springfield, IL 62704",
+    "ACCT-0098776 open", "employee ID # 11207", "IP 192.168.0.101", "Main line (202) 555-0000 ext. 4521",
+    "Reach me at john (dot) doe (at) example (dot) co (dot) uk", "Server IP 10.0.0.1 not a phone 10.0.0.1", "Address 221B Baker Street, London",
+    "Duplicate email a@b.com and a@b.com",
+]
+KEYED = {
+    "Her ic number is S1234567A": "NRIC_SG", "passport no E1234567X": "PASSPORT_ID", "passport: E7654321": "PASSPORT_ID",
+    "handphone no 91234567": "PHONE_SG", "acct no 123456789012345": "BANK_ACCOUNT_SG",
+}
+
+
+def test_edge_texts_and_rare_keywords(spark):
+    texts = [*EDGE_TEXTS, *KEYED]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in redact_documents(docs).collect()}
+    for i, text in enumerate(texts):
+        want, vault = model.rendered(text, model.adjudicated(text, model.candidates(text, CATALOG)), CATALOG)
+        assert (got[i].redacted_text, got[i].map) == (want, vault), text
+    assert got[0].redacted_text == "Contact: ***[EMAIL#1]***" and got[5].redacted_text == "SSN 078-05-1120"
+    assert got[21].redacted_text == "Duplicate email ***[EMAIL#1]*** and ***[EMAIL#2]***"
+    found = {t: [s[2] for s in model.candidates(t, CATALOG) if s[3] == 85] for t in KEYED}
+    assert all(label in found[t] for t, label in KEYED.items())
+    assert all(got[len(EDGE_TEXTS) + i].entities[0].type == label for i, label in enumerate(KEYED.values()))
+
+
+def test_filters_do_not_repeat_detection(spark):
+    docs = spark.range(10).select(F.col("id").alias("doc_id"), F.lit("a@b.example.com").alias("text"))
+    out = redact_documents(docs)
+    count = lambda df: df._jdf.queryExecution().executedPlan().toString().count("[STFG]")
+    plain = count(out.select("redacted_text"))
+    for df in (out.filter(F.size("entities") > 0), out.filter("redacted_text <> text").select("doc_id", "entities"), out.groupBy("redacted_text").count()):
+        assert count(df) == plain
+
+
+def test_streamed_tables_hold_the_values(spark, tmp_path):
+    from maskwright.streaming.redact_stream import start_table_sink
+
+    docs = spark.createDataFrame([(1, "mail bob@mail.example.com"), (2, "plain")], "doc_id bigint, text string")
+    docs.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(docs.schema).parquet(f"{tmp_path}/in")
+    start_table_sink(stream, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    read = {t: spark.read.parquet(f"{tmp_path}/out/{t}").drop("batch_id").collect() for t in ("redacted", "entities", "vault")}
+    assert sorted((r.doc_id, r.redacted_text) for r in read["redacted"]) == [(1, "mail ***[EMAIL#1]***"), (2, "plain")]
+    assert [(r.doc_id, r.type) for r in read["entities"]] == [(1, "EMAIL")] and read["vault"][0].original == "bob@mail.example.com"
