@@ -60,6 +60,16 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.mark = self.tokenizer.encode("\x1f", add_special_tokens=False).ids
+
+    def _made(self, words: list[str]) -> list[bytes]:
+        """Ids of each word, made in one text with a mark between them; words that may hold the mark singly."""
+        if len(self.mark) != 1 or any("\x1f" in w for w in words):
+            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        ids = self.tokenizer.encode_batch_fast([" \x1f ".join(words)], add_special_tokens=False)[0].ids
+        raw = array("I", ids).tobytes()
+        ends = (4 * np.flatnonzero(np.frombuffer(raw, "<u4") == self.mark[0])).tolist()
+        return [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(raw)], strict=True)]
 
     def of(self, texts: list[str]) -> Iterator[bytes]:
         split = [GAPS.split(t) if ODD.search(t) else (t if CASED.search(t) else t.lower()).split() for t in texts]
@@ -71,8 +81,7 @@ class Ids:
         todo = list((new.difference(marked) | {w[:-1] for w in marked} | {w[-1] for w in marked}) - self.known.keys())
         for at in range(0, len(todo), 4096):
             part = todo[at : at + 4096]
-            made = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.known.update(zip(part, (array("I", e.ids).tobytes() for e in made), strict=True))
+            self.known.update(zip(part, self._made(part), strict=True))
         self.known.update([(w, self.known[w[:-1]] + self.known[w[-1]]) for w in marked])
         get = self.known.__getitem__
         for ws in split:
