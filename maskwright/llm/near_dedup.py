@@ -11,10 +11,10 @@ Comparing goes in two passes. The first takes, by signatures, a spanning forest
 of each small node's likely pairs, and stars in large nodes: at most one pair per
 member and node. Pairs are confirmed on full sets of whole texts, and
 confirmed ones joined into components. The second pass takes the nodes that
-still hold several components and compares their members across components on
-full sets until none is left to join; members of one component need no comparison. A
-large node is done so in blocks, its few members outside the largest component
-against all, or branched further if they are many. Nothing is capped.
+still hold several components, branches large ones until few members are outside
+their largest component, and compares members across components on full sets
+until none is left to join; members of one component need no comparison. A large
+node is compared in blocks, its few other members against all. Nothing is capped.
 
 No group of rows is gathered beyond LIMIT members; texts move only for classes
 that have a likely partner; links stay distributed.
@@ -32,6 +32,7 @@ import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +44,9 @@ from maskwright.llm.components import components
 from maskwright.sources.sinks import as_table
 
 SIGNATURE, LIMIT, DEPTH, RECALL = 96, 192, 6, 0.9999
+BRANCHES, TRIED = 3, 24
+#: Rows on either side of a block of a large node, and shingles compared at a time.
+BLOCK, COLUMNS = 2048, 4096
 ROOT = 2
 #: Standard errors below the threshold down to which a signature makes a pair likely.
 SLACK = 4.5
@@ -273,7 +277,8 @@ def stars(members: DataFrame, least: float) -> DataFrame:
 
 def texts_of(docs: DataFrame, wanted: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """``(u, text)`` of the wanted classes: a text of a document of the class that has its set."""
-    of = classes.join(wanted, "u").select("u", F.col("rep").alias("doc_id"), "a", "b")
+    # stored, so that the planner knows its size: where few are wanted, the documents do not move
+    of = as_table(classes.join(wanted, "u").select("u", F.col("rep").alias("doc_id"), "a", "b"), "near-wanted")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(of, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,8 +319,8 @@ def split_nodes(members: DataFrame) -> DataFrame:
 
 
 def blocked(nodes: DataFrame) -> DataFrame:
-    """Nodes in blocks of members and slices of minor members, LIMIT rows each: every block meets every slice."""
-    blocks, slices = F.ceil(F.col("c") / LIMIT).cast("int"), F.ceil(F.col("r") / LIMIT).cast("int")
+    """Nodes in blocks of members and slices of minor members, about BLOCK rows each: every block meets every slice."""
+    blocks, slices = F.ceil(F.col("c") / BLOCK).cast("int"), F.ceil(F.col("r") / BLOCK).cast("int")
     each = nodes.withColumns({"_nb": blocks, "_ns": slices, "_h": F.xxhash64("u", "node")})
     keep = [c for c in nodes.columns if c != "minor"]
     as_member = each.select(
@@ -359,99 +364,155 @@ def candidates(groups: DataFrame, least: float) -> DataFrame:
     return _sorted(groups.select(*names), *GROUP).mapInArrow(run, schema)
 
 
-def exhaust(groups: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
-    """Links found by comparing on full sets, in each group, likely pairs whose labels are not joined yet."""
-    least = rule.likely()
+def linked_pairs(minor: list[np.ndarray], member: list[np.ndarray], rule: Rule) -> np.ndarray:
+    """Which sets of the one list are linked with which of the other, by exact counts of shared shingles."""
+    every = np.concatenate([*minor, *member])
+    sizes = np.array([*map(len, minor), *map(len, member)])
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    column, seen = np.unique(every, return_inverse=True, return_counts=True)[1:]
+    # a shingle of one set is in no intersection
+    shared = np.flatnonzero(seen > 1)
+    place = np.full(len(seen), -1)
+    place[shared] = np.arange(len(shared))
+    at = place[column]
+    rows, at = rows[at >= 0], at[at >= 0]
+    order = np.argsort(at, kind="stable")
+    rows, at = rows[order], at[order]
+    both = np.zeros((len(minor), len(member)), np.float32)
+    for low in range(0, len(shared), COLUMNS):
+        part = slice(*np.searchsorted(at, (low, low + COLUMNS)))
+        has = np.zeros((len(sizes), min(COLUMNS, len(shared) - low)), np.float32)
+        has[rows[part], at[part] - low] = 1
+        both += has[: len(minor)] @ has[len(minor) :].T
+    both = both.astype(np.int64)
+    return 100 * both >= rule.percent * (sizes[: len(minor), None] + sizes[None, len(minor) :] - both)
+
 
+def exhaust(groups: DataFrame, texts: DataFrame, rule: Rule) -> DataFrame:
+    """Links that join the labels of each group, all its minor members compared with all its members on full sets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, starts in by_group(batches, GROUP):
-            sig, u, label = _matrix(table), table.column("u").to_numpy(), table.column("label").to_numpy()
-            text, pairs = table.column("text").combine_chunks(), []
+            text = table.column("text").combine_chunks()
+            minor, label, u = (table.column(c).to_numpy() for c in ("minor", "label", "u"))
+            pairs = []
             for lo, hi in zip(starts[:-1], starts[1:], strict=True):
                 sets = list(sets_of(text.slice(lo, hi - lo), rule.width))
+                i, j = lo + np.flatnonzero(minor[lo:hi]), lo + np.flatnonzero(~minor[lo:hi])
+                if not len(i) or not len(j):
+                    continue
+                hit = linked_pairs([sets[k - lo] for k in i], [sets[k - lo] for k in j], rule) & (label[i][:, None] != label[j][None])
                 known = Union(label[lo:hi].tolist())
-                for i, j in zip(*_cross(table, sig, lo, hi, least), strict=True):
-                    if known.find(label[i]) != known.find(label[j]) and rule.linked(sets[i - lo], sets[j - lo]):
-                        known.join(label[i], label[j])
-                        pairs.append((min(u[i], u[j]), max(u[i], u[j])))
+                for a, b in zip(*np.nonzero(hit), strict=True):
+                    x, y = i[a], j[b]
+                    if known.join(label[x], label[y]):
+                        pairs.append((min(u[x], u[y]), max(u[x], u[y])))
             yield _pairs(pairs)
 
-    return _sorted(groups.join(texts, "u"), *GROUP).mapInArrow(run, "x long, y long")
+    rows = groups.drop("sig").join(texts, "u").select(*GROUP, "u", "label", "minor", "text")
+    return _sorted(rows, *GROUP).mapInArrow(run, "x long, y long")
+
+
+def parted(nodes: DataFrame, depth: int) -> DataFrame:
+    """Add ``picks``, the BRANCHES coordinates that part a node's members best, and ``dense``, whether they hardly do.
+
+    Members of a large node often share a passage, and with it many minwise tokens;
+    of TRIED coordinates those with the most different tokens are taken. Where most members agree even there, they are near copies.
+    """
+    tried = [(depth * TRIED + c) % SIGNATURE for c in range(TRIED)]
+    token = lambda c: F.substring("sig", 4 * c + 1, 4)
+    kinds = F.array(*[F.struct(F.negative(F.approx_count_distinct(token(c), 0.1)).alias("n"), F.lit(c).alias("c")) for c in tried])
+    best = F.slice(F.array_sort("k"), 1, BRANCHES)
+    picks = nodes.groupBy("node").agg(kinds.alias("k"), F.count("*").alias("m")).select(
+        "node", F.transform(best, lambda e: e["c"]).alias("picks"), (F.negative(F.element_at(best, -1)["n"]) < F.col("m") / 2).alias("dense")
+    )
+    return nodes.join(picks, "node")
 
 
 def children(nodes: DataFrame) -> DataFrame:
-    """The nodes two branches further down."""
+    """The nodes below parted() ones."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             t = pa.Table.from_batches([b])
-            sig, node = _matrix(t), t.column("node").to_numpy().view(np.uint64)
-            both = [_child(words.mix(node + np.uint64(k)), _pick(node, k + 1), sig).view(np.int64) for k in range(2)]
-            u = t.column("u").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(both)), pa.array(np.concatenate((u, u)))], ["node", "u"])
+            sig, node, u = _matrix(t), t.column("node").to_numpy().view(np.uint64), t.column("u").to_numpy()
+            picked = b.column("picks").flatten().to_numpy().astype(np.int64).reshape(-1, BRANCHES)
+            below = [_child(words.mix(node + np.uint64(k)), picked[:, k], sig).view(np.int64) for k in range(BRANCHES)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(below)), pa.array(np.concatenate([u] * BRANCHES))], ["node", "u"])
+
+    return nodes.select("node", "u", "sig", "picks").mapInArrow(run, "node long, u long")
 
-    return nodes.select("node", "u", "sig").mapInArrow(run, "node long, u long")
+
+def _merged(roots: DataFrame | None, found: DataFrame) -> DataFrame:
+    """Components of earlier ``roots`` (u, root) and newly found links, which are drawn between the roots."""
+    if roots is None:
+        return components(found)
+    of = lambda c: roots.select(F.col("u").alias(c), F.col("root").alias(f"{c}_root"))
+    lifted = found.join(of("x"), "x", "left").join(of("y"), "y", "left")
+    more = components(lifted.select(F.coalesce("x_root", "x").alias("x"), F.coalesce("y_root", "y").alias("y")))
+    up = more.select(F.col("u").alias("root"), F.col("root").alias("_up"))
+    moved = roots.join(up, "root", "left").select("u", F.coalesce("_up", "root").alias("root"))
+    return as_table(moved.unionByName(more.join(roots, "u", "left_anti").select("u", "root")), "near-roots")
+
+
+def _members(nodes: DataFrame, signed: DataFrame) -> tuple[DataFrame, int]:
+    """Nodes of two members or more, with signatures, stored; and the size of the largest."""
+    counts = nodes.groupBy("node").agg(F.count("*").alias("c")).filter("c > 1")
+    members = as_table(nodes.join(counts, "node").join(signed, "u"), "near-members")
+    return members, members.agg(F.max("c")).first()[0] or 0
 
 
 def links(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame | None:
     """``(u, root)`` of the classes that are linked with another; null if none are."""
     least = rule.likely()
     signed = classes.select("u", "sig")
-    found: list[DataFrame] = []
+    members, largest = _members(classes.select("u", F.explode("nodes").alias("node")), signed)
+    if not largest:
+        return None
+
+    # first pass: a forest or a star of likely pairs in each node
+    alone = members.withColumn("label", F.col("u"))
+    pairs = forest(alone.filter(F.col("c") <= LIMIT), least)
+    if largest > LIMIT:
+        pairs = pairs.union(stars(alone.filter(F.col("c") > LIMIT), least))
+    pairs = as_table(pairs.distinct(), "near-pairs")
     roots, texts = None, None
+    if not pairs.isEmpty():
+        texts = texts_of(docs, pairs.select(F.col("x").alias("u")).union(pairs.select("y")).distinct(), classes, rule)
+        sure = as_table(confirm(pairs, texts, rule), "near-links")
+        roots = None if sure.isEmpty() else components(sure)
 
-    def labelled(nodes: DataFrame) -> DataFrame:
+    # second pass: nodes of several components, large ones branched until their minor members are few
+    groups: list[DataFrame] = []
+    for depth in range(DEPTH):
         if roots is None:
-            return nodes.withColumn("label", F.col("u"))
-        return nodes.join(roots, "u", "left").withColumn("label", F.coalesce("root", "u")).drop("root")
-
-    def add(pairs: DataFrame) -> bool:
-        nonlocal roots
-        if pairs.isEmpty():
-            return False
-        found.append(pairs)
-        every = found[0]
-        for f in found[1:]:
-            every = every.union(f)
-        roots = components(every)
-        return True
-
-    def fetched(wanted: DataFrame) -> DataFrame:
-        nonlocal texts
-        if texts is None:
-            texts = texts_of(docs, wanted, classes, rule)
+            known = members.withColumn("label", F.col("u"))
         else:
-            missing = as_table(wanted.join(texts, "u", "left_anti"), "near-missing")
-            if not missing.isEmpty():
-                texts = texts.union(texts_of(docs, missing, classes, rule))
-        return texts
-
-    nodes = classes.select("u", F.explode("nodes").alias("node"))
-    for depth in range(DEPTH):
-        counts = nodes.groupBy("node").agg(F.count("*").alias("c")).filter("c > 1")
-        members = as_table(nodes.join(counts, "node").join(signed, "u"), "near-members")
-        largest = members.agg(F.max("c")).first()[0]
-        if not largest:
-            break
-        known = labelled(members)
-        pairs = forest(known.filter(F.col("c") <= LIMIT), least)
+            known = members.join(roots, "u", "left").withColumn("label", F.coalesce("root", "u")).drop("root")
+        mixed = split_nodes(known)
         if largest > LIMIT:
-            pairs = pairs.union(stars(known.filter(F.col("c") > LIMIT), least))
-        pairs = as_table(pairs.distinct(), "near-pairs")
-        if not pairs.isEmpty():
-            ends = pairs.select(F.col("x").alias("u")).union(pairs.select("y")).distinct()
-            add(as_table(confirm(pairs, fetched(ends), rule), "near-links"))
-        mixed = split_nodes(labelled(members))
-        if depth < DEPTH - 1:
-            groups = candidates(blocked(mixed.filter(F.col("r") <= LIMIT)), least)
+            mixed = as_table(mixed, "near-mixed")
+            groups.append(mixed.filter(F.col("r") <= LIMIT))
+            large = as_table(parted(mixed.filter(F.col("r") > LIMIT), depth), "near-large")
+            last = depth == DEPTH - 1
+            groups.append((large if last else large.filter("dense")).drop("picks", "dense"))
+            if not last:
+                members, largest = _members(children(large.filter("not dense")), signed)
         else:
-            groups = candidates(blocked(mixed), least)
-        groups = as_table(groups, "near-groups")
-        if not groups.isEmpty():
-            add(as_table(exhaust(groups, fetched(groups.select("u").distinct()), rule).distinct(), "near-links"))
-        if largest <= LIMIT:
+            groups.append(mixed)
+            last = True
+        if last or not largest:
             break
-        nodes = as_table(children(mixed.filter(F.col("r") > LIMIT)), "near-nodes")
-    return roots
+    groups = [candidates(blocked(g), least) for g in groups]
+    likely = as_table(reduce(DataFrame.unionByName, groups), "near-groups")
+    if likely.isEmpty():
+        return roots
+    wanted = likely.select("u").distinct()
+    if texts is not None:
+        wanted = as_table(wanted.join(texts, "u", "left_anti"), "near-missing")
+    if texts is None or not wanted.isEmpty():
+        others = texts_of(docs, wanted, classes, rule)
+        texts = others if texts is None else texts.unionByName(others)
+    found = as_table(exhaust(likely, texts, rule).distinct(), "near-links")
+    return roots if found.isEmpty() else _merged(roots, found)
 
 
 def dedup(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
