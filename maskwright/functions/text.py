@@ -52,19 +52,24 @@ def before(array: Column, i: Column) -> Column:
     return F.try_element_at(array, F.nullif(i, F.lit(0)))
 
 
-def java_regex(pattern: str, native_boundary: bool = False) -> str:
+def java_regex(pattern: str, native_boundary: bool = False, ascii_only: bool = False) -> str:
     """Spell a Python ``re`` pattern for java.util.regex with equal meaning.
 
     Python's classes follow Unicode and ``.``/``$`` know only ``\\n`` as a line
     end; Java needs both said explicitly. ``native_boundary`` keeps Java's ``\\b``:
     about three times faster, and equal on texts for which same_words() holds.
+    ``ascii_only`` is for texts of ASCII characters, where Java's plain classes do; faster again.
     """
     inside = {"w": WORD, "s": SPACE, "d": DIGIT, "W": f"[^{WORD}]", "S": f"[^{SPACE}]", "D": f"[^{DIGIT}]"}
     outside = {
         "w": f"[{WORD}]", "W": f"[^{WORD}]", "s": f"[{SPACE}]", "S": f"[^{SPACE}]",
         "d": f"[{DIGIT}]", "D": f"[^{DIGIT}]", "Z": r"\z",
     }
-    if not native_boundary:
+    if ascii_only:
+        plain = {"w": r"\w", "s": r"\t-\r\x1c-\x20", "d": r"\d"}
+        inside = plain | {c.upper(): f"[^{x}]" for c, x in plain.items()}
+        outside = plain | {"s": r"[\t-\r\x1c-\x20]", "S": r"[^\t-\r\x1c-\x20]", "W": r"\W", "D": r"\D", "Z": r"\z"}
+    elif not native_boundary:
         outside["b"] = f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))"
         outside["B"] = f"(?:(?<=[{WORD}])(?=[{WORD}])|(?<![{WORD}])(?![{WORD}]))"
     out, i, in_class, lines = [], 0, False, False
@@ -113,7 +118,7 @@ def java_regex(pattern: str, native_boundary: bool = False) -> str:
         else:
             out.append(c)
         i += 1
-    return ("(?dU)" if native_boundary else "(?d)") + "".join(out)
+    return ("(?dU)" if native_boundary and not ascii_only else "(?d)") + "".join(out)
 
 
 def same_words(text: Column) -> Column:
