@@ -18,10 +18,11 @@ def per_class(rows: DataFrame, label: str, key: str, most: int, seed: int = 5) -
     """About ``most`` rows of each class at most, chosen by a hash of the key, and the sizes of the classes.
 
     The sizes come from one aggregate; each class then has its own hash
-    threshold, so no class is gathered or sorted. Rows with equal keys stay together.
+    threshold, so no class is gathered or sorted. The row number is hashed too, so that
+    a key of many rows counts by its share only.
     """
     sizes = {r[0]: r[1] for r in rows.filter(F.col(label).isNotNull()).groupBy(label).count().collect()}
-    place = F.xxhash64(F.col(key).cast("string"), F.lit(seed)).bitwiseAND(F.lit((1 << 63) - 1)) / F.lit(RANGE)
+    place = F.xxhash64(F.col(key).cast("string"), F.monotonically_increasing_id(), F.lit(seed)).bitwiseAND(F.lit((1 << 63) - 1)) / F.lit(RANGE)
     chosen = F.lit(False)
     for value, n in sizes.items():
         chosen = chosen | ((F.col(label) == F.lit(value)) & (place < F.lit(min(1.0, most / n))))
