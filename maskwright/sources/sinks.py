@@ -7,6 +7,7 @@ holds the raw values and needs its own access rules.
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -32,7 +33,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared one in ``spark.checkpoint.dir``; a temporary one only where all work is in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = _local_base()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
