@@ -16,8 +16,9 @@ their largest component, and compares members across components on full sets
 until none is left to join; members of one component need no comparison. A large
 node is compared in blocks, its few other members against all. Nothing is capped.
 
-No group of rows is gathered beyond LIMIT members; texts move only for classes
-that have a likely partner; links stay distributed.
+No group of rows is gathered beyond LIMIT members, or BLOCK on either side of a
+block; texts move only for classes that have a likely partner, and few others that a
+filter of bounded size lets pass; links stay distributed.
 
 Defined cases: null, empty and blank texts have no shingles, are linked with
 nothing and kept; texts with fewer words than ``width`` have one shingle, the
@@ -30,13 +31,14 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.llm import words
@@ -46,7 +48,9 @@ from maskwright.sources.sinks import as_table
 SIGNATURE, LIMIT, DEPTH, RECALL = 96, 192, 6, 0.9999
 BRANCHES, TRIED = 3, 24
 #: Rows on either side of a block of a large node, and shingles compared at a time.
-BLOCK, COLUMNS = 2048, 4096
+BLOCK, COLUMNS = 1024, 2048
+#: Bits of the filter that keeps unwanted texts from being shuffled: 16 MB at most, and useless rather than wrong when it is full.
+FILTER_BITS = 1 << 27
 ROOT = 2
 #: Standard errors below the threshold down to which a signature makes a pair likely.
 SLACK = 4.5
@@ -275,11 +279,32 @@ def stars(members: DataFrame, least: float) -> DataFrame:
     return meet.select("u", "sig", "y", "head").mapInArrow(run, "x long, y long")
 
 
+def maybe_in(wanted: DataFrame) -> Callable[[Column], Column]:
+    """A test of ids that is true for all of ``wanted`` (doc_id) and few others: a Bloom filter of three bits an id."""
+    n = wanted.count()
+    bits = min(FILTER_BITS, 1 << max(10, math.ceil(math.log2(16 * n + 1))))
+    at = lambda c: [F.pmod(F.xxhash64(c, F.lit(i)), F.lit(bits)) for i in range(3)]
+    places = wanted.select(F.explode(F.array(*at(F.col("doc_id")))).alias("p"))
+    set_bits = places.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("b"))
+    got = set_bits.toPandas()
+    table = np.zeros(bits >> 6, np.int64)
+    table[got.w.to_numpy(np.int64)] = got.b.to_numpy(np.int64)
+    shared = wanted.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def test(a: pd.Series, b: pd.Series, c: pd.Series) -> pd.Series:
+        hit = [(shared.value[x >> 6] >> (x & 63)) & 1 for x in (a.to_numpy(), b.to_numpy(), c.to_numpy())]
+        return pd.Series((hit[0] & hit[1] & hit[2]).astype(bool))
+
+    return lambda c: test(*at(c))
+
+
 def texts_of(docs: DataFrame, wanted: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     """``(u, text)`` of the wanted classes: a text of a document of the class that has its set."""
-    # stored, so that the planner knows its size: where few are wanted, the documents do not move
+    # stored, so that the planner knows its size
     of = as_table(classes.join(wanted, "u").select("u", F.col("rep").alias("doc_id"), "a", "b"), "near-wanted")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(of, "doc_id")
+    likely = maybe_in(of.select("doc_id"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(likely(F.col("doc_id"))).join(of, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -335,17 +360,19 @@ def blocked(nodes: DataFrame) -> DataFrame:
 GROUP = ["node", "block", "slice"]
 
 
-def _cross(table: pa.Table, sig: np.ndarray, lo: int, hi: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Likely pairs (minor member, member) of different labels in rows lo .. hi."""
-    minor, label, u = (table.column(c).to_numpy(zero_copy_only=False)[lo:hi] for c in ("minor", "label", "u"))
-    i, j = np.meshgrid(np.flatnonzero(minor), np.flatnonzero(~minor), indexing="ij")
-    i, j = i.ravel(), j.ravel()
-    go = label[i] != label[j]
-    i, j = i[go], j[go]
-    near = alike(sig[lo:hi], sig[lo:hi], i, j) >= least
-    i, j = i[near], j[near]
-    order = np.lexsort((u[j], u[i]))
-    return i[order] + lo, j[order] + lo
+def _in_likely_pair(table: pa.Table, sig: np.ndarray, lo: int, hi: int, least: float) -> np.ndarray:
+    """Rows lo .. hi that are in a likely pair of a minor member and a member of another label."""
+    minor, label = (table.column(c).to_numpy(zero_copy_only=False)[lo:hi] for c in ("minor", "label"))
+    ours, theirs = np.flatnonzero(minor), np.flatnonzero(~minor)
+    keep = np.zeros(hi - lo, bool)
+    for at in range(0, len(ours), 64):
+        i, j = np.meshgrid(ours[at : at + 64], theirs, indexing="ij")
+        i, j = i.ravel(), j.ravel()
+        go = label[i] != label[j]
+        i, j = i[go], j[go]
+        near = alike(sig[lo:hi], sig[lo:hi], i, j) >= least
+        keep[i[near]] = keep[j[near]] = True
+    return keep
 
 
 def candidates(groups: DataFrame, least: float) -> DataFrame:
@@ -356,8 +383,7 @@ def candidates(groups: DataFrame, least: float) -> DataFrame:
         for table, starts in by_group(batches, GROUP):
             sig, keep = _matrix(table), np.zeros(table.num_rows, bool)
             for lo, hi in zip(starts[:-1], starts[1:], strict=True):
-                i, j = _cross(table, sig, lo, hi, least)
-                keep[i] = keep[j] = True
+                keep[lo:hi] = _in_likely_pair(table, sig, lo, hi, least)
             yield from table.filter(pa.array(keep)).to_batches()
 
     schema = "node long, block int, slice int, u long, label long, minor boolean, sig binary"
@@ -501,8 +527,7 @@ def links(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame | None:
             last = True
         if last or not largest:
             break
-    groups = [candidates(blocked(g), least) for g in groups]
-    likely = as_table(reduce(DataFrame.unionByName, groups), "near-groups")
+    likely = as_table(candidates(blocked(reduce(DataFrame.unionByName, groups)), least), "near-groups")
     if likely.isEmpty():
         return roots
     wanted = likely.select("u").distinct()
