@@ -39,7 +39,7 @@ from maskwright.sources.sinks import as_table
 LENGTH, GRID, END = 2048, 32, 1
 BLOCKS = 512
 # words whose ids a task remembers, and the longest of them
-REMEMBERED, WORD = 600_000, 64
+REMEMBERED, WORD = 400_000, 64
 # White_Space of Unicode, which the tokenizer splits at; str.split() also splits at \x1c-\x1f
 GAPS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 ODD = re.compile("[\x1c-\x1f]")

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 # bytes of text handled at a time; a longer text is handled alone
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 1 << 64)
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
