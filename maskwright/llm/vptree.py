@@ -1,21 +1,23 @@
 """Approximate nearest neighbours by inner product: vantage-point trees per shard.
 
 Inner products become distances by one more coordinate that gives all candidates
-one length. A top tree over a bounded sample routes the vectors to leaves; a
-leaf's rows are a shard, or several of SHARD rows at most. Within its shard each
-search uses a tree built there. A subtree is left out if the triangle inequality
-puts it further off than FACTOR times the distance of the K-th neighbour so far:
-factor one is exact, a smaller one visits less. At 0.8 the
-recall was 0.98 or more for plain, clustered and unit vectors of 16 to 64 numbers
-(0.2: from 0.37 to 0.99). A query searches its own leaf
-first, for a good distance to prune by, and then the leaves that the inequality
-leaves open.
+of a band one length; a band is the vectors whose squared norms lie between two
+powers of two, and a query is scaled to its band's length, so one long vector
+changes nothing for the others. A top tree a band over a bounded sample routes the
+vectors to leaves; a leaf's rows are a shard, or several of SHARD rows at most.
+Within its shard each search uses a tree built there. The triangle inequality and
+the longest norm of a subtree bound its inner products from above. It is left out
+if that bound is below the K-th inner product so far, raised by 1 - FACTOR^2 of the
+gap to the subtree's shortest norm: factor one is exact, a smaller one visits less.
+The gap holds no common offset: for unit vectors the rule is a distance bound
+beyond FACTOR times the K-th distance. A query searches its best leaf in each band
+first, for a good inner product to prune by, and then the leaves left open.
 
 Equal vectors are one entry with its K + 1 least ids, so masses of copies cost
 nothing and cannot fill a shard; equal queries are searched once. Shards are
 bounded on both sides: many queries of a leaf meet it in slices of QUERIES. The
-driver holds the top tree, ranges of its leaves (LEAVES at most) and no rows
-beyond the sample.
+driver holds the top trees, ranges of their leaves (LEAVES and one a band at most)
+and no rows beyond the sample.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite
 numbers take no part, nor do those of another length than most; ties go to the
@@ -113,17 +115,40 @@ def lifted(x: np.ndarray, square: float) -> np.ndarray:
     return np.hstack((x, np.sqrt(np.maximum(0.0, square - (x**2).sum(1)))[:, None]))
 
 
-def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, reach: np.ndarray, square: float, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-    """The ``k`` best rows of a shard for each query, as ids (-1: none) and inner products; ``reach``: distance to prune by at first."""
+def norms(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x**2).sum(1))
+
+
+def scaled(q: np.ndarray, square: float) -> np.ndarray:
+    """Queries at the squared length ``square``, with a zero for the candidates' last coordinate."""
+    return np.hstack((q * (math.sqrt(square) / norms(q))[:, None], np.zeros((len(q), 1))))
+
+
+def tops(least: np.ndarray, square: float, longest: np.ndarray) -> np.ndarray:
+    """Largest inner product with a query of length one that distances of ``least`` and norms of ``longest`` leave, with room for rounding."""
+    s = math.sqrt(square)
+    return np.minimum(s - least**2 / (2 * s), longest) + 1e-7 * s if s else np.zeros_like(least)
+
+
+def left_open(top: np.ndarray, kth: np.ndarray, shortest: np.ndarray | float, factor: float) -> np.ndarray:
+    """Whether to visit leaves; ``kth``: the K-th inner product so far, for queries of length one."""
+    gap = np.where(np.isfinite(kth), np.maximum(shortest - kth, 0.0), 0.0)
+    return top >= kth + (1 - factor**2) * gap
+
+
+def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, kth: np.ndarray, square: float, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` best rows of a shard for each query, as ids (-1: none) and inner products; ``kth``: inner product to prune by at first."""
     rng = np.random.default_rng(0)
-    up, qx = lifted(x, square), np.hstack((q, np.zeros((len(q), 1))))
+    up, qx, size = lifted(x, square), scaled(q, square), norms(x)
     tree, members = grow(up, BUCKET, rng)
     d, own = distances(qx, tree.points) if len(tree.points) else np.zeros((len(q), 0)), distances(up, tree.points) if len(tree.points) else None
     low = [own[rows][:, above].min(0) if above else None for rows, above in zip(members, tree.paths, strict=True)]
     high = [own[rows][:, above].max(0) if above else None for rows, above in zip(members, tree.paths, strict=True)]
-    least = bounds(d, tree.paths, low, high)
+    shortest = [size[rows].min() for rows in members]
+    top = tops(bounds(d, tree.paths, low, high), square, np.array([size[rows].max() for rows in members]))
     best, score = np.full((len(q), k), -1, np.int64), np.full((len(q), k), -np.inf)
-    length = (q**2).sum(1) + square
+    length = norms(q)
+    kth = kth / length
 
     def visit(queries: np.ndarray, leaf: int) -> None:
         rows = members[leaf]
@@ -131,14 +156,13 @@ def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, reach: np.ndarray, squ
         i = np.hstack((best[queries], np.broadcast_to(ids[rows], (len(queries), len(rows)))))
         order = np.lexsort((i, -s), axis=1)[:, :k]
         score[queries], best[queries] = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-        far = np.where(np.isfinite(score[queries, -1]), np.sqrt(np.maximum(0.0, length[queries] - 2 * score[queries, -1])), np.inf)
-        reach[queries] = np.minimum(reach[queries], far)
+        kth[queries] = np.maximum(kth[queries], score[queries, -1] / length[queries])
 
-    first = least.argmin(1)
+    first = top.argmax(1)
     for leaf in np.unique(first):
         visit(np.flatnonzero(first == leaf), leaf)
-    for leaf in np.argsort(least.min(0)):
-        queries = np.flatnonzero((least[:, leaf] <= factor * reach) & (first != leaf))
+    for leaf in np.argsort(-top.max(0)):
+        queries = np.flatnonzero(left_open(top[:, leaf], kth, shortest[leaf], factor) & (first != leaf))
         if len(queries):
             visit(queries, leaf)
     return best, score
@@ -160,14 +184,31 @@ def entries(rows: DataFrame, k: int) -> DataFrame:
 
 
 @dataclass
-class Index:
-    tree: Tree
+class Band:
+    """Vectors of similar norm: their largest squared norm, tree, and the number of its first leaf."""
+
     square: float
+    tree: Tree
+    base: int
+
+
+@dataclass
+class Index:
+    """``low``, ``high``: ranges of the distances to the vantage points above each leaf; ``shortest``, ``longest``: of its norms."""
+
+    bands: dict[int, Band]
     low: list[np.ndarray]
     high: list[np.ndarray]
+    shortest: np.ndarray
+    longest: np.ndarray
     counts: list[int]
     rows: DataFrame  # leaf, block, cid, vec
 
+    @property
+    def squares(self) -> list[float]:
+        """Of each leaf."""
+        return [band.square for band in self.bands.values() for _ in band.tree.paths]
+
 
 def matrix(column: pa.Array | pd.Series, width: int) -> np.ndarray:
     if isinstance(column, pd.Series):
@@ -175,38 +216,62 @@ def matrix(column: pa.Array | pd.Series, width: int) -> np.ndarray:
     return column.flatten().to_numpy().reshape(-1, width)
 
 
-def build(vectors: DataFrame, n: int, width: int, square: float) -> Index:
-    """Route all stored ``vectors`` (ids, vec) to the leaves of a top tree, and gather the leaves' ranges."""
-    leaves = min(LEAVES, max(1, math.ceil(n / SHARD)))
-    part = min(1.0, 2 * leaves * PER_LEAF / n)
+def build(vectors: DataFrame, width: int) -> Index:
+    """Route all stored ``vectors`` (ids, vec) to the leaves of their band's top tree, and gather the leaves' ranges."""
+    norm = F.aggregate("vec", F.lit(0.0), lambda s, e: s + e * e)
+    # squares below the smallest number are one band
+    vectors = vectors.withColumn("norm", norm).withColumn("band", F.coalesce(F.floor(F.log2("norm")), F.lit(-2000)).cast("int"))
+    sizes = vectors.groupBy("band").agg(F.count("*").alias("n"), F.max("norm").alias("square")).orderBy("band").collect()
+    n = sum(r.n for r in sizes)
+    leaves = {r.band: max(1, min(math.ceil(r.n / SHARD), LEAVES * r.n // n)) for r in sizes}
+    parts = {r.band: min(1.0, 2 * leaves[r.band] * PER_LEAF / r.n) for r in sizes if leaves[r.band] > 1}
     place = F.xxhash64("vec", F.lit(9)).bitwiseAND(F.lit((1 << 62) - 1)) / F.lit(float(1 << 62))
-    sample = vectors.filter(place < F.lit(part)).select("vec").limit(4 * leaves * PER_LEAF).toPandas()
-    x = lifted(matrix(sample.vec, width), square)
-    tree, _ = grow(x, max(1, math.ceil(len(x) / leaves)), np.random.default_rng(4)) if len(x) else (Tree(np.zeros((0, width + 1)), [], [[]]), [])
-    shared = vectors.sparkSession.sparkContext.broadcast(tree)
+    samples = {}
+    if parts:
+        part = F.element_at(F.create_map(*[F.lit(v) for item in parts.items() for v in item]), F.col("band"))
+        sample = vectors.filter(F.col("band").isin(*parts) & (place < part)).select("band", "vec").limit(4 * sum(leaves[i] for i in parts) * PER_LEAF).toPandas()
+        samples = {i: matrix(own.vec, width) for i, own in sample.groupby("band")}
+    bands, base, rng = {}, 0, np.random.default_rng(4)
+    for r in sizes:
+        tree = Tree(np.zeros((0, width + 1)), [], [[]])
+        if len(own := samples.get(r.band, ())):
+            tree, _ = grow(lifted(own, r.square), max(1, math.ceil(len(own) / leaves[r.band])), rng)
+        bands[r.band] = Band(r.square, tree, base)
+        base += len(tree.paths)
+    shared = vectors.sparkSession.sparkContext.broadcast(bands)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = shared.value
         for b in batches:
-            leaf, d = route(t, lifted(matrix(b.column("vec"), width), square))
-            far = [d[i, t.paths[j]].tolist() for i, j in enumerate(leaf)]
+            band, x = b.column("band").to_numpy(), matrix(b.column("vec"), width)
+            leaf, far = np.zeros(len(x), np.int32), [[]] * len(x)
+            for own in np.unique(band):
+                at, t = np.flatnonzero(band == own), shared.value[own]
+                local, d = route(t.tree, lifted(x[at], t.square))
+                leaf[at] = t.base + local
+                for i, row, j in zip(at, d, local, strict=True):
+                    far[i] = row[t.tree.paths[j]].tolist()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(leaf.astype(np.int32)), b.column("cid"), b.column("vec"), pa.array(far, pa.list_(pa.float64()))], ["leaf", "cid", "vec", "far"]
+                [pa.array(leaf), b.column("cid"), b.column("vec"), b.column("norm"), pa.array(far, pa.list_(pa.float64()))], ["leaf", "cid", "vec", "norm", "far"]
             )
 
-    routed = as_table(vectors.select(F.col("ids")[0].alias("cid"), "vec").mapInArrow(run, "leaf int, cid long, vec array<double>, far array<double>"), "ann")
-    deep = max((len(p) for p in tree.paths), default=0)
+    named = vectors.select(F.col("ids")[0].alias("cid"), "vec", "norm", "band")
+    routed = as_table(named.mapInArrow(run, "leaf int, cid long, vec array<double>, norm double, far array<double>"), "ann")
+    paths = [p for band in bands.values() for p in band.tree.paths]
+    deep = max((len(p) for p in paths), default=0)
     ends = [f(F.try_element_at("far", F.lit(i + 1))).alias(f"{n}{i}") for i in range(deep) for n, f in (("l", F.min), ("h", F.max))]
-    got = {r.leaf: r for r in routed.groupBy("leaf").agg(F.count("*").alias("n"), *ends).collect()}
-    low, high, counts = [], [], []
-    for leaf, above in enumerate(tree.paths):
+    ranges = routed.groupBy("leaf").agg(F.count("*").alias("n"), F.min("norm").alias("shortest"), F.max("norm").alias("longest"), *ends)
+    got = {r.leaf: r for r in ranges.collect()}
+    low, high, counts, shortest, longest = [], [], [], np.zeros(len(paths)), np.zeros(len(paths))
+    for leaf, above in enumerate(paths):
         r = got.get(leaf)
         low.append(np.array([r[f"l{i}"] for i in range(len(above))]) if r else np.full(len(above), np.inf))
         high.append(np.array([r[f"h{i}"] for i in range(len(above))]) if r else np.full(len(above), -np.inf))
         counts.append(r.n if r else 0)
+        if r:
+            shortest[leaf], longest[leaf] = math.sqrt(r.shortest), math.sqrt(r.longest)
     blocks = _by_leaf([max(1, math.ceil(c / SHARD)) for c in counts])
     rows = routed.select("leaf", F.pmod(F.xxhash64("cid"), blocks(F.col("leaf"))).cast("int").alias("block"), "cid", "vec")
-    return Index(tree, square, low, high, counts, rows)
+    return Index(bands, low, high, shortest, longest, counts, rows)
 
 
 def _by_leaf(values: list[int]):
@@ -215,32 +280,39 @@ def _by_leaf(values: list[int]):
 
 
 def visits(index: Index, queries: DataFrame, width: int, first: bool, factor: float) -> DataFrame:
-    """``(leaf, a, b, vec, reach)``: queries with the leaves to search, their own ones or those still open."""
-    shared = queries.sparkSession.sparkContext.broadcast((index.tree, index.low, index.high, index.counts))
+    """Stored ``queries`` (a, b, vec) with ``homes``, their best leaf of each band; or ``(leaf, a, b, vec, kth)``, those with ``homes`` and ``kth`` with the leaves still open."""
+    shared = queries.sparkSession.sparkContext.broadcast((index.bands, index.low, index.high, index.shortest, index.longest, index.counts))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, low, high, counts = shared.value
+        bands, low, high, shortest, longest, counts = shared.value
         filled = np.array(counts) > 0
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 b = batch.slice(at, 1024)
                 q = matrix(b.column("vec"), width)
-                _, d = route(tree, np.hstack((q, np.zeros((len(q), 1)))))
-                least = np.where(filled, bounds(d, tree.paths, low, high), np.inf)
-                reach = b.column("reach").to_numpy(zero_copy_only=False)
-                home = least.argmin(1)
+                top, homes = np.zeros((len(q), len(counts))), []
+                for band in bands.values():
+                    own = slice(band.base, band.base + len(band.tree.paths))
+                    d = distances(scaled(q, band.square), band.tree.points) if len(band.tree.points) else np.zeros((len(q), 0))
+                    top[:, own] = np.where(filled[own], tops(bounds(d, band.tree.paths, low[own], high[own]), band.square, longest[own]), -np.inf)
+                    homes.append(band.base + top[:, own].argmax(1))
                 if first:
-                    i, leaf = np.arange(len(q)), home
-                else:
-                    go = filled & (least <= factor * reach[:, None])
-                    go[np.arange(len(q)), home] = False
-                    i, leaf = np.nonzero(go)
+                    found = pa.array(np.stack(homes, 1).astype(np.int32).tolist(), pa.list_(pa.int32()))
+                    yield pa.RecordBatch.from_arrays([*[b.column(c) for c in ("a", "b", "vec")], found], ["a", "b", "vec", "homes"])
+                    continue
+                kth = b.column("kth").to_numpy(zero_copy_only=False)
+                go = filled & left_open(top, (kth / norms(q))[:, None], shortest, factor)
+                seen = b.column("homes").flatten().to_numpy().reshape(len(q), -1)
+                go[np.arange(len(q))[:, None], seen] = False
+                i, leaf = np.nonzero(go)
                 take = pa.array(i, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(leaf.astype(np.int32)), *[b.column(c).take(take) for c in ("a", "b", "vec", "reach")]], ["leaf", "a", "b", "vec", "reach"]
+                    [pa.array(leaf.astype(np.int32)), *[b.column(c).take(take) for c in ("a", "b", "vec", "kth")]], ["leaf", "a", "b", "vec", "kth"]
                 )
 
-    return queries.select("a", "b", "vec", "reach").mapInArrow(run, "leaf int, a long, b long, vec array<double>, reach double")
+    if first:
+        return queries.select("a", "b", "vec").mapInArrow(run, "a long, b long, vec array<double>, homes array<int>")
+    return queries.select("a", "b", "vec", "homes", "kth").mapInArrow(run, "leaf int, a long, b long, vec array<double>, kth double")
 
 
 def searched(index: Index, going: DataFrame, width: int, k: int, factor: float) -> DataFrame:
@@ -253,13 +325,13 @@ def searched(index: Index, going: DataFrame, width: int, k: int, factor: float)
     x = x.filter(F.array_contains(F.array(*[F.lit(i) for i in sorted(slices)]), F.col("leaf"))) if slices else x.limit(0)
     q = going.withColumn("piece", (F.pmod(F.xxhash64("a", "b"), per_leaf(F.col("leaf"))) + 1).cast("int"))
     q = q.withColumn("block", F.explode(F.sequence(F.lit(0), blocks(F.col("leaf")) - 1)))
-    square = index.square
+    squares = index.squares
 
     def run(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(q):
             return pd.DataFrame({"a": [], "b": [], "cid": [], "score": []}).astype({"a": "int64", "b": "int64", "cid": "int64"})
         found, score = search(
-            matrix(x.vec, width), x.cid.to_numpy(), matrix(q.vec, width), q.reach.to_numpy(float).copy(), square, k, factor
+            matrix(x.vec, width), x.cid.to_numpy(), matrix(q.vec, width), q.kth.to_numpy(float), squares[q.leaf.iloc[0]], k, factor
         )
         i, j = np.nonzero(np.isfinite(score))
         return pd.DataFrame({"a": q.a.to_numpy()[i], "b": q.b.to_numpy()[i], "cid": found[i, j], "score": score[i, j]})
@@ -278,24 +350,21 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = K, factor: float = FAC
         return none
     width = width[0].w
     vectors = as_table(entries(rows.filter(F.size("embedding") == width), k + 1), "ann-entries")
-    norm = F.aggregate("vec", F.lit(0.0), lambda s, e: s + e * e)
-    n, square = vectors.agg(F.count("*"), F.max(norm)).first()
-    index = build(vectors, n, width, float(square))
+    index = build(vectors, width)
 
     asked = usable(queries.select(F.col("vec_id").cast("long"), "embedding")).filter(F.size("embedding") == width)
     asked = asked.select("vec_id", F.col("embedding").cast("array<double>").alias("vec")).withColumns({"a": F.xxhash64("vec"), "b": F.xxhash64("vec", F.lit(1))})
-    once = as_table(asked.groupBy("a", "b").agg(F.first("vec").alias("vec")).withColumn("reach", F.lit(float("inf"))), "ann-queries")
-    near = as_table(searched(index, visits(index, once, width, True, factor), width, k + 1, factor), "ann-near")
-
-    kth = Window.partitionBy("a", "b").orderBy(F.desc("score"), "cid")
-    length = norm + F.lit(float(square))
-    reach = near.withColumn("r", F.row_number().over(kth)).filter(F.col("r") == k + 1).select("a", "b", F.col("score").alias("kth"))
-    closer = once.drop("reach").join(reach, ["a", "b"], "left").withColumn(
-        "reach", F.coalesce(F.sqrt(F.greatest(F.lit(0.0), length - 2 * F.col("kth"))), F.lit(float("inf")))
-    )
+    once = as_table(visits(index, asked.groupBy("a", "b").agg(F.first("vec").alias("vec")), width, True, factor), "ann-queries")
+    none_yet = F.lit(float("-inf"))
+    home = as_table(once.select(F.explode("homes").alias("leaf"), "a", "b", "vec", none_yet.alias("kth")), "ann-homes")
+    near = as_table(searched(index, home, width, k + 1, factor), "ann-near")
+
+    best_first = Window.partitionBy("a", "b").orderBy(F.desc("score"), "cid")
+    kth = near.withColumn("r", F.row_number().over(best_first)).filter(F.col("r") == k + 1).select("a", "b", F.col("score").alias("kth"))
+    closer = once.join(kth, ["a", "b"], "left").withColumn("kth", F.coalesce("kth", none_yet))
     going = as_table(visits(index, closer, width, False, factor), "ann-going")
     both = near.unionByName(searched(index, going, width, k + 1, factor))
-    best = both.withColumn("r", F.row_number().over(kth)).filter(F.col("r") <= k + 1)
+    best = both.withColumn("r", F.row_number().over(best_first)).filter(F.col("r") <= k + 1)
 
     one = vectors.select(F.col("ids")[0].alias("cid"), "ids")
     each = best.select("a", "b", "cid", "score").join(one, "cid").select("a", "b", "score", F.explode("ids").alias("near_id"))

@@ -58,6 +58,27 @@ def test_recall_of_the_default_factor(spark, kind):
     assert np.mean([len({j for j, _ in got[q]} & {j for j, _ in want[q]}) / 20 for q in want]) >= 0.9
 
 
+def recall(spark, vectors, queries, column):
+    want = brute(vectors, queries, 20)
+    got = found(spark, vectors, column, 20, vptree.FACTOR)
+    return np.mean([len({j for j, _ in got[q]} & {j for j, _ in want[q]}) / 20 for q in want])
+
+
+@pytest.mark.parametrize("kind", ["outlier", "near outlier", "heavy tail", "long query"])
+def test_recall_does_not_depend_on_the_largest_norm(spark, monkeypatch, kind):
+    monkeypatch.setattr(vptree, "SHARD", 1000)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(4000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if kind in ("outlier", "near outlier"):
+        x[1] *= 20 if kind == "outlier" else 1.4
+    elif kind == "heavy tail":
+        x *= rng.pareto(1.5, size=4000)[:, None] + 0.1
+    else:
+        x[::50] *= 30
+    assert recall(spark, list(enumerate(x.tolist())), lambda i: i % 50 == 0, F.col("vec_id") % 50 == 0) >= 0.95
+
+
 def test_odd_vectors_take_no_part(spark):
     good = [(i, [float(i + 1), *[0.0] * 14, 1.0]) for i in range(4)]
     odd = [(10, None), (20, [0.0] * 16), (40, [float("nan"), *[1.0] * 15]), (60, [float("inf"), *[1.0] * 15]), (80, [None, *[1.0] * 15]), (100, []), (120, [1.0, 2.0])]
