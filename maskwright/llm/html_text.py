@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 from maskwright.sources.sinks import as_table
 
-# a subtree is template on so many pages of different content of a host, and this part of them
-PAGES, PART = 5, 0.02
+# a subtree is template on so many pages of different content of a host, however large the host
+PAGES = 5
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|<[!?/][^>]*+>", re.S
@@ -210,22 +210,20 @@ def parsed(pages: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, PARSED)
 
 
-def template_hashes(pages: DataFrame, least: int = PAGES, part: float = PART) -> DataFrame:
+def template_hashes(pages: DataFrame, least: int = PAGES) -> DataFrame:
     """``(host, hash)`` of the subtrees that recur on many pages of their host."""
-    named = pages.filter("host <> ''")
-    sizes = named.select("host", "content").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    each = named.filter("n_hashes > 0").select("host", "content", F.explode(F.array_distinct(F.flatten("blocks.around"))).alias("hash"))
-    counts = each.distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    return counts.join(sizes, "host").filter(F.col("n") >= F.col("pages") * part).select("host", "hash")
+    named = pages.filter("host <> '' and n_hashes > 0")
+    each = named.select("host", "content", F.explode(F.array_distinct(F.flatten("blocks.around"))).alias("hash"))
+    return each.distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("host", "hash")
 
 
-def extract(pages: DataFrame, least: int = PAGES, part: float = PART) -> DataFrame:
+def extract(pages: DataFrame, least: int = PAGES) -> DataFrame:
     """``(page_id, url, text)`` of ``pages`` (page_id, url, html)."""
     stored = as_table(parsed(pages), "pages")
     plain = stored.filter("n_hashes = 0 or coalesce(host, '') = ''").select("page_id", "url", F.col("blocks.text").alias("kept"))
     others = stored.filter("n_hashes > 0 and host <> ''")
     each = others.select("rid", "host", F.explode(F.array_distinct(F.flatten("blocks.around"))).alias("hash"))
-    gone = each.join(template_hashes(stored, least, part), ["host", "hash"]).groupBy("rid").agg(F.collect_set("hash").alias("gone"))
+    gone = each.join(template_hashes(stored, least), ["host", "hash"]).groupBy("rid").agg(F.collect_set("hash").alias("gone"))
     left = F.filter("blocks", lambda b: ~F.coalesce(F.arrays_overlap(b["around"], F.col("gone")), F.lit(False)))
     judged = others.join(gone, "rid", "left").select("page_id", "url", F.transform(left, lambda b: b["text"]).alias("kept"))
     return plain.unionByName(judged).select("page_id", "url", F.array_join("kept", "\n").alias("text"))

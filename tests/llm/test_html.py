@@ -40,6 +40,12 @@ def test_copies_of_a_page_are_no_template(spark):
     assert dict(texts(spark, rows))[5].startswith("Share this with friends\nThe same page 0")
 
 
+def test_rotating_template_on_a_large_host(spark):
+    # each of 100 banners is on one page in a hundred
+    rows = [(i, f"https://a.example.com/{i}", f"<div><p>Body of page {i}</p></div><div><p>Rotation {i % 100}</p></div>") for i in range(1000)]
+    assert {t for _, t in texts(spark, rows)} == {f"Body of page {i}" for i in range(1000)}
+
+
 def test_messy_pages(spark):
     long = "<p>" + "word &amp; " * 100_000 + "</p>" + "<div>" * 3000 + "deep"
     rows = [(1, None, "<p>x</p>"), (1, None, "<p>x</p>"), (2, "no url", None), (None, "http://h", ""), (3, "http://h", long), (4, "HTTP://User@H:80/x", "<p>y")]
