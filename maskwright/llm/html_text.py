@@ -1,14 +1,20 @@
 """HTML extraction: the main text of pages, by site template removal.
 
-A page is read into blocks of text and the elements around them. Elements that
-say what they are (menus, footers, adverts, scripts, forms, comments ...) go at
-once. Of the others, each container's subtree is hashed; hashes are counted per
-host over pages of different content, and a subtree that recurs on many pages of
-its host is template and is deleted. Inside an article only containers are
-deleted so, never a paragraph of its own: texts repeat phrases, too.
+A page is read into blocks of text and the elements around them; only what is not
+shown (scripts, hidden elements, ...) goes at once. Each block element's subtree is
+hashed, in menus and articles too; hashes are counted per host over pages of
+different content, and a subtree that recurs on many pages of its host is template
+and is deleted first. Inside an article containers and elements that say what they
+are (menus, adverts, comments ...) are hashed, never a paragraph of its own: texts
+repeat phrases, too.
+
+Tags and class words are a complement for what is left: elements that say they are
+not the text go, unless they hold the article, that is most of the text left and
+either its article or first heading, or no article stands elsewhere. Of the rest,
+the blocks of articles alone are taken if they are most of the text.
 
 Pages are parsed once and stored; the count moves hashes only, aggregated before
-the shuffle, and pages without undecided containers do not move at all.
+the shuffle.
 
 Defined cases: a null html is empty; a null url or one without a host has no
 site, and nothing recurs for it; repeated rows are separate pages, but pages of
@@ -22,7 +28,9 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,10 +51,9 @@ INLINE = {
     "a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q",
     "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "br", "wbr", "img",
 }
-DROPPED = {
-    "head", "nav", "footer", "aside", "form", "noscript", "template", "svg", "canvas", "object", "button", "select", "dialog", "menu",
-    "audio", "video", "math", *RAW,
-}
+# never shown as text
+DROPPED = {"head", "noscript", "template", "svg", "canvas", "object", "button", "select", "audio", "video", "math", *RAW}
+BESIDES = {"nav", "footer", "aside", "form", "dialog", "menu"}
 MAIN = {"article", "main"}
 CONTAINERS = {"div", "section", "ul", "ol", "dl", "table", "figure", "header", "center", "fieldset", "details"}
 WORDS = re.compile(r"[a-z]+|[A-Z][a-z]*")
@@ -64,24 +71,43 @@ SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td":
 
 
 class Element:
-    __slots__ = ("inside", "number", "out", "parts", "tag")
+    __slots__ = ("inside", "number", "out", "parts", "said", "tag")
+
+    def __init__(self, tag: str, out: bool, inside: bool, number: int, said: bool = False):
+        self.tag, self.out, self.inside, self.number, self.said, self.parts = tag, out, inside, number, said, []
+
+
+class Block(NamedTuple):
+    """A text; the subtree hashes around it; the numbers of elements around it that say they are not the text; whether it is in an article, and leads one."""
 
-    def __init__(self, tag: str, out: bool, inside: bool, number: int):
-        self.tag, self.out, self.inside, self.number, self.parts = tag, out, inside, number, []
+    text: str
+    around: list[int]
+    said: list[int]
+    inside: bool
+    leads: bool
+
+
+def unseen(tag: str, attributes: str) -> bool:
+    """Whether an element is not shown as text."""
+    if tag in DROPPED:
+        return True
+    for name, value in ATTRIBUTE.findall(attributes or ""):
+        name, value = name.lower(), value.strip("\"'")
+        if name == "hidden" or (name == "aria-hidden" and value == "true"):
+            return tag not in ("html", "body", *MAIN)
+        if name == "style" and re.search(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden", value):
+            return tag not in ("html", "body", *MAIN)
+    return False
 
 
 def says_no(tag: str, attributes: str, inside: bool) -> bool:
     """Whether an element's tag or attributes say that it is not the page's text."""
-    if tag in DROPPED or (tag == "header" and not inside):
+    if tag in BESIDES or (tag == "header" and not inside):
         return True
     if not attributes or tag in ("html", "body", *MAIN):
         return False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        if name == "style" and re.search(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
         if name == "role" and value.lower() in ROLES:
             return True
         if name in ("class", "id"):
@@ -95,10 +121,10 @@ def digest(*parts: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(b"\0".join(parts), digest_size=8).digest(), "little", signed=True)
 
 
-def parse(html: str) -> list[tuple[str, list[int]]]:
-    """Blocks in page order, each with the subtree hashes of the undecided elements around it."""
+def read(html: str) -> list[Block]:
+    """All shown blocks in page order."""
     stack: list[Element] = [Element("", False, False, -1)]
-    blocks: list[tuple[str, bool, list[int]]] = []
+    blocks: list[tuple[str, list[int], list[int], bool, bool]] = []
     hashes: dict[int, int] = {}
     pending: list[str] = []
     numbers = 0
@@ -108,7 +134,8 @@ def parse(html: str) -> list[tuple[str, list[int]]]:
             text = " ".join(entities.unescape("".join(pending)).split())
             pending.clear()
             if text:
-                blocks.append((text, stack[-1].inside, [e.number for e in stack if e.number >= 0]))
+                around, said = [e.number for e in stack if e.number >= 0], [e.number for e in stack if e.said]
+                blocks.append((text, around, said, stack[-1].inside, stack[-1].inside or any(e.tag == "h1" for e in stack)))
                 for e in reversed(stack):
                     if e.number >= 0:
                         e.parts.append(text.encode("utf-8", "surrogatepass"))
@@ -171,34 +198,55 @@ def parse(html: str) -> list[tuple[str, list[int]]]:
             if tag in ENDS:
                 close_to(ENDS[tag], SCOPE[tag])
         top = stack[-1]
-        inside = top.inside or (tag in MAIN and not top.out)
-        out = top.out or says_no(tag, attributes, top.inside)
-        undecided = not out and tag not in INLINE and tag not in ("html", "body", *MAIN) and (tag in CONTAINERS or not inside)
-        if undecided:
+        inside = top.inside or tag in MAIN
+        said = says_no(tag, attributes, top.inside)
+        out = top.out or unseen(tag, attributes) or (said and tag in INLINE)
+        hashed = not out and tag not in INLINE and tag not in ("html", "body") and (said or tag in CONTAINERS or tag in MAIN or not inside)
+        if hashed:
             numbers += 1
-        stack.append(Element(tag, out, inside, numbers if undecided else -1))
+        stack.append(Element(tag, out, inside, numbers if hashed else -1, said and hashed))
     while len(stack) > 1:
         close()
     flush()
-    main = any(inside for _, inside, _ in blocks)
-    return [(text, [hashes[n] for n in around]) for text, inside, around in blocks if inside or not main]
+    return [Block(text, [hashes[n] for n in around], *rest) for text, around, *rest in blocks]
+
+
+def kept(blocks: list[Block], gone: set[int] | frozenset[int] = frozenset()) -> list[Block]:
+    """The page's text: blocks without ``gone`` subtrees, and of those what tags and class words leave."""
+    left = [b for b in blocks if gone.isdisjoint(b.around)] if gone else blocks
+    size, held, leads = sum(len(b.text) for b in left), Counter(), set()
+    for b in left:
+        for e in b.said:
+            held[e] += len(b.text)
+            if b.leads:
+                leads.add(e)
+    elsewhere = any(b.inside and not b.said for b in left)
+    article = {e for e, n in held.items() if 2 * n > size and (e in leads or not elsewhere)}
+    left = [b for b in left if article.issuperset(b.said)]
+    inner = [b for b in left if b.inside]
+    return inner if 2 * sum(len(b.text) for b in inner) > sum(len(b.text) for b in left) else left
+
+
+def parse(html: str) -> list[tuple[str, list[int]]]:
+    """A page's text without its host's templates, as blocks with the subtree hashes around them."""
+    return [(b.text, b.around) for b in kept(read(html))]
 
 
-PARSED = "rid long, page_id long, url string, host string, content long, n_hashes int, blocks array<struct<text:string, around:array<long>>>"
+PARSED = "rid long, page_id long, url string, host string, content long, n_hashes int, blocks array<struct<text:string, around:array<long>, said:array<int>, inside:boolean, leads:boolean>>"
 
 
 def parsed(pages: DataFrame) -> DataFrame:
     """Pages as PARSED."""
-    ab = pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64()))]))
+    ab = pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64())), ("said", pa.list_(pa.int32())), ("inside", pa.bool_()), ("leads", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             content, counts, blocks = [], [], []
             for page in b.column("html"):
-                found = parse(page.as_py() or "")
-                blocks.append([{"text": t, "around": a} for t, a in found])
-                content.append(digest(*(t.encode("utf-8", "surrogatepass") for t, _ in found)))
-                counts.append(len({h for _, a in found for h in a}))
+                found = read(page.as_py() or "")
+                blocks.append([f._asdict() for f in found])
+                content.append(digest(*(f.text.encode("utf-8", "surrogatepass") for f in kept(found))))
+                counts.append(len({h for f in found for h in f.around}))
             own = [b.column(c) for c in ("rid", "page_id", "url", "host")]
             yield pa.RecordBatch.from_arrays(
                 [*own, pa.array(content, pa.int64()), pa.array(counts, pa.int32()), pa.array(blocks, ab)],
@@ -220,13 +268,19 @@ def template_hashes(pages: DataFrame, least: int = PAGES) -> DataFrame:
 def extract(pages: DataFrame, least: int = PAGES) -> DataFrame:
     """``(page_id, url, text)`` of ``pages`` (page_id, url, html)."""
     stored = as_table(parsed(pages), "pages")
-    plain = stored.filter("n_hashes = 0 or coalesce(host, '') = ''").select("page_id", "url", F.col("blocks.text").alias("kept"))
     others = stored.filter("n_hashes > 0 and host <> ''")
     each = others.select("rid", "host", F.explode(F.array_distinct(F.flatten("blocks.around"))).alias("hash"))
     gone = each.join(template_hashes(stored, least), ["host", "hash"]).groupBy("rid").agg(F.collect_set("hash").alias("gone"))
-    left = F.filter("blocks", lambda b: ~F.coalesce(F.arrays_overlap(b["around"], F.col("gone")), F.lit(False)))
-    judged = others.join(gone, "rid", "left").select("page_id", "url", F.transform(left, lambda b: b["text"]).alias("kept"))
-    return plain.unionByName(judged).select("page_id", "url", F.array_join("kept", "\n").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for blocks, hashes in zip(b.column("blocks"), b.column("gone"), strict=True):
+                left = kept([Block(**x) for x in blocks.as_py()], frozenset(hashes.as_py() or ()))
+                found.append("\n".join(x.text for x in left))
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(found, pa.string())], ["page_id", "url", "text"])
+
+    return stored.join(gone, "rid", "left").select("page_id", "url", "blocks", "gone").mapInArrow(run, "page_id long, url string, text string")
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

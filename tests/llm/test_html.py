@@ -35,6 +35,22 @@ def test_template_subtrees_go_per_host(spark):
     assert dict(texts(spark, article))[2] == "Start 2\nOften said"
 
 
+def test_templates_are_counted_on_pages_with_articles(spark):
+    # recurring promos, unnamed boxes and an article teaser go, besides and within articles
+    body = "<article><p>Story {0} is long enough to be the text of its page</p><div>Box</div></article><article><p>Teaser</p></article><div><p>Promo</p></div>"
+    rows = [(i, f"http://a.example.com/{i}", body.format(i)) for i in range(8)]
+    assert dict(texts(spark, rows))[3] == "Story 3 is long enough to be the text of its page"
+    assert any(b.around for b in html_text.read("<article><p>x</p></article>")) and html_text.read("<nav>x</nav>")[0].around
+
+
+def test_rules_never_take_the_article():
+    only = lambda h: [t for t, _ in parse(h)]
+    assert only("<div><p>The whole text of the page</p></div><article>Teaser</article>") == ["The whole text of the page", "Teaser"]
+    assert only("<div class='has-sidebar'><div class=sidebar>s</div><article><p>Text</p></article></div>") == ["Text"]
+    assert only("<form><div class='with-banner'><h1>T</h1><p>Text</p></div></form><footer>f</footer>") == ["T", "Text"]
+    assert only("<div class=ad>A long advert without a heading</div><article><p>Short</p></article>") == ["Short"]
+
+
 def test_copies_of_a_page_are_no_template(spark):
     rows = [(i, f"https://a.example.com/{i}", page(0, "The same page")) for i in range(20)]
     assert dict(texts(spark, rows))[5].startswith("Share this with friends\nThe same page 0")
