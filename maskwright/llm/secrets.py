@@ -1,7 +1,7 @@
 """Secret scans: wide candidates, and a random forest that removes false positives.
 
 Candidates are assigned values after a credential word, long runs with digits,
-and key blocks. The forest sees a candidate's length and classes of characters,
+and key blocks; a value hides no other one beside it. The forest sees a candidate's length and classes of characters,
 how usual its character transitions are, how much of it dictionary words cover,
 its path, and neighbouring words. It is trained from labelled findings; where
 none are given, from those of a bounded sample of documents (SAMPLE), labelled by
@@ -19,6 +19,7 @@ values alone; an empty table gives an empty result; other columns pass through.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections import Counter
@@ -41,7 +42,12 @@ MASK = "[SECRET]"
 CREDENTIAL = r"secret|token|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth[_-]?key|client[_-]?id"
 KEYED = re.compile(rf"(?i)(?:{CREDENTIAL})[\w-]*[\"']?\s*(?::=|=>|=|:)\s*[\"'`]?([^\s\"'`<>#,;&|]{{6,}})")
 BARE = re.compile(r"[A-Za-z0-9][A-Za-z0-9+/_=.@:~-]*[A-Za-z0-9=]")
-BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[^-]*(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?")
+KEY = r"(?:[A-Z0-9]{1,12} ){0,3}PRIVATE KEY(?: BLOCK)?-----"
+# up to the END line; without one, header lines and long runs
+BLOCK = re.compile(
+    rf"-----BEGIN {KEY}(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END {KEY}"
+    r"|(?:\s+[A-Z][\w-]*: [^\n]*+)*+(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{16,}+)*+(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]+={1,2})?)"
+)
 NEAR_CREDENTIAL = re.compile(rf"(?i)(?:{CREDENTIAL})")
 NEAR_DIGEST = re.compile(r"(?i)\b(?:commit|sha\d*|md5|checksum|digest|hash|etag|uuid|guid|revision|build)\b")
 MADE_UP = re.compile(r"(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxxx|1234567|abcdef|redacted|fake|test")
@@ -81,25 +87,48 @@ def find(column: pa.Array) -> Iterator[list[Finding]]:
             yield _of_text(data, starts, ends, points, own, first[i], first[i + 1], offsets[i]) if len(own) else []
 
 
+def _keyed(region: str) -> Iterator[tuple[int, int]]:
+    """Assigned values; a value may be another one's credential word."""
+    m = KEYED.search(region)
+    while m:
+        yield m.span(1)
+        m = KEYED.search(region, m.start(1))
+
+
+def _long_runs(text: str, low: int, high: int) -> Iterator[tuple[int, int]]:
+    for m in BARE.finditer(text, low, high):
+        if len(m[0]) >= LONG and any(c.isdigit() for c in m[0]):
+            yield m.span()
+
+
 def _of_text(data, starts, ends, points, own, low, high, begin) -> list[Finding]:
-    spans: set[tuple[int, int]] = set()
+    text = data[begin : ends[high - 1]].tobytes().decode()
+    place = lambda at: int(points[at] - points[begin])
+    spans = {m.span() for m in BLOCK.finditer(text)} if "-----BEGIN" in text else set()
     for w in own:
         # the word with what stands before it and the two words after it
-        a, b = starts[max(low, w - 1)], ends[min(high - 1, w + 2)]
-        if data[starts[w]] == 45:
-            b = ends[min(high - 1, w + 64)]
-        region = data[a:b].tobytes().decode()
-        found = [m.span(1) for m in KEYED.finditer(region)] + [m.span() for m in BLOCK.finditer(region)]
-        if not found and ends[w] - starts[w] >= LONG:
-            skip = len(data[a : starts[w]].tobytes().decode())
-            word = region[skip:].split(maxsplit=1)[0]
-            found = [
-                (skip + m.start(), skip + m.end()) for m in BARE.finditer(word) if len(m[0]) >= LONG and any(c.isdigit() for c in m[0])
-            ]
-        spans |= {(int(points[a] - points[begin]) + s, int(points[a] - points[begin]) + e) for s, e in found}
+        a, b = place(starts[max(low, w - 1)]), place(ends[min(high - 1, w + 2)])
+        spans |= {(a + s, a + e) for s, e in _keyed(text[a:b])}
+    # long runs in what those leave of each word
+    taken, last, bare = [], 0, set()
+    for s, e in sorted(spans):
+        if e > last:
+            taken.append((max(s, last), e))
+            last = e
+    until = [e for _, e in taken]
+    for w in own:
+        if ends[w] - starts[w] < LONG:
+            continue
+        at, end = place(starts[w]), place(ends[w])
+        for s, e in taken[bisect.bisect_right(until, at) :]:
+            if s >= end:
+                break
+            bare.update(_long_runs(text, at, s))
+            at = max(at, e)
+        bare.update(_long_runs(text, at, end))
+    spans |= bare
     if not spans:
         return []
-    text = data[begin : ends[high - 1]].tobytes().decode()
     out, reached = [], -1
     for s, e in sorted(spans, key=lambda x: (x[0], -x[1])):
         if s >= reached:
