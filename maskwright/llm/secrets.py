@@ -6,8 +6,8 @@ how usual its character transitions are, how much of it dictionary words cover,
 its path, and neighbouring words. It is trained from labelled findings; where
 none are given, from those of a bounded sample of documents (SAMPLE), labelled by
 rule where a rule is sure, and varied: random and made-up values put into
-found contexts. Dictionary and transitions are features of the classifier and
-come from the same sample.
+found contexts. Dictionary and transitions are counted over all documents, with a
+cut by frequency within each source.
 
 Finding, scoring and masking run in one pass over whole texts, without a shuffle.
 
@@ -34,8 +34,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskwright.llm import words
+from maskwright.sources.sinks import as_table
 
-SAMPLE, DICTIONARY, VARIANTS = 6_000, 20_000, 1_500
+SAMPLE, VARIANTS = 6_000, 1_500
+# longest dictionary word, and its least part of its group's words
+WORD, PART = 24, 1e-6
 TREES, DEPTH, LEAF, TRIED = 25, 8, 3, 5
 LONG = 16
 MASK = "[SECRET]"
@@ -158,7 +161,7 @@ def covered(value: str, usage: Usage) -> float:
         total += len(run)
         i = 0
         while i < len(run):
-            size = next((k for k in range(min(12, len(run) - i), 3, -1) if run[i : i + k] in usage.words), 0)
+            size = next((k for k in range(min(WORD, len(run) - i), 3, -1) if run[i : i + k] in usage.words), 0)
             letters += size
             i += size or 1
     return letters / max(1, len(value)) if total else 0.0
@@ -175,7 +178,7 @@ def features(found: list[tuple[Finding, str]], usage: Usage) -> np.ndarray:
         row[:] = (
             min(n, 200), sum(c.isdigit() for c in v) / n, sum(c.isupper() for c in v) / n, sum(c.islower() for c in v) / n,
             sum(not c.isalnum() for c in v) / n, -(p * np.log2(p)).sum(), usage.pairs[pairs].mean() if len(pairs) else 0.0,
-            covered(v[:200], usage), bool(HEX.match(v)), bool(KNOWN.match(v)), bool(SHAPES.match(v)), bool(MADE_UP.search(v)),
+            covered(v, usage), bool(HEX.match(v)), bool(KNOWN.match(v)), bool(SHAPES.match(v)), bool(MADE_UP.search(v)),
             bool(NEAR_CREDENTIAL.search(f.before)), bool(NEAR_DIGEST.search(f.before)),
             bool(MADE_UP.search(f.before + " " + f.after)), bool(TEST_PATH.search(path)), bool(CONFIG_PATH.search(path)),
         )
@@ -247,15 +250,38 @@ def sampled(docs: DataFrame, most: int = SAMPLE) -> DataFrame:
     return docs.filter(F.col("text").isNotNull() & (place < F.lit(part)))
 
 
-def usage_of(sample: DataFrame) -> Usage:
-    """Words and character pairs of a bounded sample, counted in Spark."""
-    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,12}"), F.lit(0))).alias("word")
-    counts = sample.select(word).groupBy("word").count().filter("count > 2")
-    top = [(r.word, r["count"]) for r in counts.orderBy(F.desc("count"), "word").limit(DICTIONARY).collect()]
-    seen = np.ones(38 * 38)
-    for w, n in top:
-        np.add.at(seen, _pair_codes(f" {w} "), n)
-    return Usage(np.log(seen / seen.sum() * len(seen)), frozenset(w for w, _ in top))
+def usage_of(docs: DataFrame, group: str | None = None) -> Usage:
+    """Words and character pairs of all documents, counted in Spark once.
+
+    A word counts if it is seen three times and has the part PART of the words of
+    some ``group`` (a language, a source); in the pairs, all groups weigh the same.
+    """
+    by = F.coalesce(F.col(group).cast("string"), F.lit("")) if group else F.lit("")
+    word = F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{1,64}"), F.lit(0))).alias("word")
+    counts = as_table(docs.select(by.alias("g"), word).groupBy("g", "word").agg(F.count("*").alias("n")), "usage")
+    totals = counts.groupBy("g").agg(F.sum("n").alias("total"))
+    often = counts.filter((F.col("n") > 2) & F.length("word").between(4, WORD)).join(totals, "g").filter(F.col("n") >= F.col("total") * PART)
+    top = [r.word for r in often.select("word").distinct().collect()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(38 * 38)
+        for b in batches:
+            total = b.column("total").to_numpy()
+            for t in np.unique(total):
+                own = b.filter(pa.array(total == t))
+                codes = [_pair_codes(f" {w} ") for w in own.column("word").to_pylist()]
+                n = np.repeat(own.column("n").to_numpy() / t, [len(c) for c in codes])
+                seen += np.bincount(np.concatenate(codes), n, 38 * 38)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["code", "part"])
+
+    pairs = counts.join(totals, "g").select("word", "n", "total").mapInArrow(run, "code long, part double")
+    seen = np.zeros(38 * 38)
+    for r in pairs.groupBy("code").agg(F.sum("part").alias("part")).collect():
+        seen[r.code] = r.part
+    size = (totals.agg(F.sum("total")).first()[0] or 0) / max(1, totals.count())
+    seen = seen * size + 1
+    return Usage(np.log(seen / seen.sum() * len(seen)), frozenset(top))
 
 
 def found_in(sample: DataFrame, path: str | None = None) -> list[tuple[Finding, str]]:
@@ -324,14 +350,13 @@ def labelled_findings(found: list[tuple[Finding, str]], usage: Usage, seed: int
     return rows, np.array(labels, float)
 
 
-def fit(docs: DataFrame, path: str | None = None, labelled: list[tuple[Finding, str, int]] | None = None) -> Scanner:
-    """Train on ``labelled`` findings (finding, path, 0 or 1), or on those of a sample of ``docs``."""
-    sample = sampled(docs)
-    usage = usage_of(sample)
+def fit(docs: DataFrame, path: str | None = None, labelled: list[tuple[Finding, str, int]] | None = None, group: str | None = None) -> Scanner:
+    """Train on ``labelled`` findings (finding, path, 0 or 1), or on those of a sample of ``docs``; ``group``: see usage_of()."""
+    usage = usage_of(docs, group)
     if labelled:
         rows, y = [(f, p) for f, p, _ in labelled], np.array([float(x) for *_, x in labelled])
     else:
-        rows, y = labelled_findings(found_in(sample, path), usage)
+        rows, y = labelled_findings(found_in(sampled(docs), path), usage)
     return Scanner(usage, Forest(features(rows, usage), y))
 
 
@@ -410,5 +435,5 @@ def redacted(docs: DataFrame, scanner: Scanner, path: str | None = None, least:
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All candidates of all documents with their scores and verdicts; a document's source stands for its path."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    found = scan(docs, fit(docs, "source"), "source").select("doc_id", F.explode("_found").alias("f"))
+    found = scan(docs, fit(docs, "source", group="source"), "source").select("doc_id", F.explode("_found").alias("f"))
     return found.select("doc_id", "f.*")

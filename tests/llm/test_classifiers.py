@@ -188,6 +188,17 @@ def test_findings_do_not_hide_their_neighbours():
         assert all(text[f.start : f.start + len(f.value)] == f.value for f in next(secrets.find(pa.array([text]))))
 
 
+def test_words_of_small_sources_count(spark):
+    rare = F.col("id") % 5000 == 0
+    docs = spark.range(30_000).select(
+        F.col("id").alias("doc_id"), F.when(rare, "zimbrovak kelto").otherwise("usual words").alias("text"), F.when(rare, "b").otherwise("a").alias("source")
+    )
+    usage = secrets.fit(docs, "source", group="source").usage
+    assert usage.words == {"zimbrovak", "kelto", "usual", "words"}
+    odd = usage.pairs[secrets._pair_codes("qxqx")].mean()
+    assert usage.pairs[secrets._pair_codes("zimbrovak")].mean() > odd + 2
+
+
 def test_secrets_in_messy_tables(spark):
     scanner = secrets.fit(messy.documents(spark), "source")
     odd = messy.documents(spark)
