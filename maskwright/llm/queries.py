@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from maskwright.llm import chat, fingerprint, html_text, langid, mixing, near_dedup, packing, secrets, toxicity, vptree
+from maskwright.llm import chat, filter_audit, fingerprint, html_text, langid, mixing, near_dedup, packing, secrets, toxicity, vptree
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,8 +23,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": chat.op8_chat_format,
         "op9_fingerprint": fingerprint.op9_fingerprint,
         "op10_mixing": mixing.op10_mixing,
+        "op12_filter_audit": filter_audit.op12_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_format": chat.ORACLE_SQL}
+    return {"op8_chat_format": chat.ORACLE_SQL, "op12_filter_audit": filter_audit.ORACLE_SQL}

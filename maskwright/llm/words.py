@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 # bytes of text handled at a time; a longer text is handled alone
@@ -47,8 +48,8 @@ def powers(n: int, base: int) -> np.ndarray:
     return have[:n]
 
 
-def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Slices ``(first row, rows, bytes, offsets)`` of a string column of about CHUNK bytes; null is empty."""
+def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Slices ``(first row, rows, bytes, offsets)`` of a string column of about ``size`` bytes; null is empty."""
     column = column.cast(pa.large_string()).fill_null("")
     if not len(column):
         return
@@ -57,7 +58,7 @@ def chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
     all_bytes = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     first = 0
     while first < len(column):
-        last = max(first + 1, int(np.searchsorted(at, at[first] + CHUNK, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(at, at[first] + size, "right")) - 1)
         last = min(last, len(column))
         yield first, last - first, all_bytes[at[first] : at[last]], at[first : last + 1] - at[first]
         first = last
@@ -90,3 +91,53 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE)
     """Hashes of all words in order, and for each text where its words begin (with the end of the last)."""
     starts, ends, first = word_spans(data, offsets, gap)
     return hash_of(prefix_hash(data), starts, ends), first
+
+
+def gather(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The spans one after the other, and their offsets there; ``data`` may hold values of any type."""
+    offsets = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(lengths, out=offsets[1:])
+    return data[np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], lengths)], offsets
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """For each byte, it and the seven after it as one little-endian number; behind the end come zeros."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ascontiguousarray(np.ndarray(len(data) + 1, "<u8", padded, 0, (1,)))
+
+
+def unlike(left: np.ndarray, start: np.ndarray, length: np.ndarray, right: np.ndarray, other: np.ndarray, other_length: np.ndarray) -> np.ndarray:
+    """Whether two spans differ, eight bytes at a time; ``left`` and ``right`` come from eights()."""
+    out = length != other_length
+    rest, at = np.flatnonzero(~out & (length > 0)), 0
+    while len(rest):
+        bits = np.uint64(8) * np.minimum(8, length[rest] - at).astype(np.uint64)
+        out[rest] |= ((left[start[rest] + at] ^ right[other[rest] + at]) << (np.uint64(64) - bits)) != 0
+        at += 8
+        rest = rest[length[rest] > at]
+    return out
+
+
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal spans found by hash and compared byte by byte: the place of each distinct one's first case, and each span's number.
+
+    Spans that share a hash but not their bytes get numbers of their own.
+    """
+    code, _ = pd.factorize(hashes)
+    code = code.astype(np.int64)
+    first = np.zeros(int(code.max()) + 1 if len(code) else 0, np.int64)
+    first[code[::-1]] = np.arange(len(code))[::-1]
+    length, view = ends - starts, eights(data)
+    same = first[code]
+    others = np.flatnonzero(unlike(view, starts, length, view, starts[same], length[same]))
+    if len(others):
+        own: dict[tuple[int, bytes], int] = {}
+        more = list(first)
+        for i in others.tolist():
+            key = (int(code[i]), data[starts[i] : ends[i]].tobytes())
+            if key not in own:
+                own[key] = len(more)
+                more.append(i)
+            code[i] = own[key]
+        first = np.array(more, np.int64)
+    return first, code
