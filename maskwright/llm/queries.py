@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from maskwright.llm import chat, filter_audit, fingerprint, html_text, langid, mixing, near_dedup, packing, secrets, toxicity, vptree
+from maskwright.llm import bpe, chat, filter_audit, fingerprint, html_text, langid, mixing, near_dedup, packing, secrets, toxicity, vptree
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -24,6 +24,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_fingerprint": fingerprint.op9_fingerprint,
         "op10_mixing": mixing.op10_mixing,
         "op12_filter_audit": filter_audit.op12_filter_audit,
+        "op13_bpe": bpe.op13_bpe,
     }
 
 
