@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from maskwright.llm import bpe, chat, filter_audit, fingerprint, html_text, langid, mixing, near_dedup, packing, secrets, toxicity, vptree
+from maskwright.llm import bpe, chat, filter_audit, fingerprint, html_text, langid, mixing, near_dedup, packing, repair, secrets, toxicity, vptree
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,10 +23,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": chat.op8_chat_format,
         "op9_fingerprint": fingerprint.op9_fingerprint,
         "op10_mixing": mixing.op10_mixing,
+        "op11_repair": repair.op11_repair,
         "op12_filter_audit": filter_audit.op12_filter_audit,
         "op13_bpe": bpe.op13_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_format": chat.ORACLE_SQL, "op12_filter_audit": filter_audit.ORACLE_SQL}
+    return {"op8_chat_format": chat.ORACLE_SQL, "op11_repair": repair.ORACLE_SQL, "op12_filter_audit": filter_audit.ORACLE_SQL}
