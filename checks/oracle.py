@@ -11,7 +11,7 @@ from types import SimpleNamespace
 
 from checks import standins as st
 from checks.queries import (
-    CAP_RATIO, CHUNK_WORDS, FACTOR, MIX, PIECE, PSEUDO_LIMIT, PSEUDO_TOKENS, REGEX_KEYS, TOKENS_KEPT, rules_in_file_order,
+    CAP_RATIO, CHUNK_WORDS, FACTOR, MIX, PIECE, PSEUDO_LIMIT, PSEUDO_TOKENS, READABLE, REGEX_KEYS, TOKENS_KEPT, rules_in_file_order,
 )
 from maskwright.functions.text import SPACE
 from maskwright.plans.notes import NOTES_SQL
@@ -416,6 +416,16 @@ def oracle_sql() -> dict[str, str]:
     out["entity_counts_by_source"] = with_(on_docs, final="SELECT d.lang, d.source, m.label AS entity_type, count(*) AS n_entities FROM marks m JOIN documents d USING (doc_id) GROUP BY 1, 2, 3")
     out["sink_redacted"] = with_(plain, final="""SELECT doc_id, 'redacted' AS sink, NULL::VARCHAR AS name, redacted_text AS value FROM rewritten
       UNION ALL SELECT doc_id, 'entities', placeholder, value_preview FROM entities UNION ALL SELECT doc_id, 'vault', placeholder, text FROM marks""")
+    out["restore_text"] = q("""SELECT 'notes' AS src, doc_id, CASE WHEN doc_id % 3 = 0 THEN '***[EMAIL#1]*** ' || text || ' ***[DATE#2]******[PERSON#1]***' ELSE text END AS restored_text
+      FROM notes UNION ALL SELECT 'documents', doc_id, text FROM documents""")
+    readable = ", ".join(map(lit, READABLE))
+    shown = plain["marks"].replace("SELECT *, '***['", f"SELECT * EXCLUDE (text), text, CASE WHEN label IN ({readable}) THEN text ELSE '***['", 1).replace("']***' AS placeholder", "']***' END AS placeholder", 1)
+    out["restore_labels"] = with_({**plain, "marks": shown}, final="SELECT doc_id, redacted_text AS restored_text FROM rewritten")
+    seats = """SELECT doc_id, placeholder, CAST(start + coalesce(sum(length(placeholder) - length(text)) OVER (
+      PARTITION BY doc_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS seat FROM marks"""
+    out["unrestored"] = with_(plain, final=f"""SELECT doc_id, seat + 1 AS "at", placeholder, 'not in the text' AS reason FROM ({seats}) WHERE doc_id % 5 = 1
+      UNION ALL SELECT -doc_id - 1, seat, placeholder, 'no such document' FROM ({seats}) WHERE doc_id % 5 = 2
+      UNION ALL SELECT doc_id, seat, placeholder, 'two originals' FROM ({seats}), range(2) WHERE doc_id % 5 = 3""")
     flagged = {**CTES, "flagged": "SELECT sent_id, bool_or(tag <> 'O') AS has_pii FROM tagged GROUP BY 1"}
     flagged["flag_split"] = splits("flagged", 0.15, 0.2, "CAST(has_pii AS INT)")
     out["split_stratified"] = with_(flagged, final="SELECT sent_id, has_pii, split FROM flag_split")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from checks import standins as st
 from maskwright.functions import bio
 from maskwright.functions import text as tx
-from maskwright.operators import adjudicate, detect, evaluate, labels, mixes, redact, splits
+from maskwright.operators import adjudicate, detect, evaluate, labels, mixes, redact, restore, splits
 from maskwright.plans.redaction import entity_totals, redact_documents
 from maskwright.sources import corpora, sinks
 from maskwright.sources import fixed_values as fixed
@@ -30,6 +30,7 @@ CAP_RATIO = 0.5
 FACTOR = 2.5
 MIX = {"pseudo_ratio": 0.02, "general_ratio": 0.05, "factor": 1.5, "augment": True}
 TOKENS_KEPT = 8
+READABLE = ["EMAIL", "PERSON"]
 PIECE = 4  # letters per sub-word piece
 REGEX_KEYS = [
     "nric_sg", "passport_id", "email", "phone_sg", "bank_account_sg", "date", "account_id", "address_line",
@@ -320,6 +321,40 @@ def redact_documents_text(spark, sf):
     return redact_documents(st.table(spark, sf, "documents")).select("doc_id", "redacted_text")
 
 
+def _marked_notes(spark, sf) -> DataFrame:
+    """Notes, every third one between strings that look like placeholders."""
+    false = F.concat(F.lit("***[EMAIL#1]*** "), F.col("text"), F.lit(" ***[DATE#2]******[PERSON#1]***"))
+    return st.notes(spark, sf).select("doc_id", F.when(F.col("doc_id") % 3 == 0, false).otherwise(F.col("text")).alias("text"))
+
+
+def restore_text(spark, sf):
+    """Notes and documents redacted, and restored from the written tables."""
+    def there_and_back(docs: DataFrame, name: str) -> DataFrame:
+        path = sinks.scratch_path(spark, f"restore-{name}")
+        sinks.write_redaction(redact_documents(docs, seats=True), path)
+        read = {t: spark.read.parquet(f"{path}/{t}") for t in ("redacted", "vault")}
+        return restore.restore(read["redacted"], read["vault"]).select(F.lit(name).alias("src"), "doc_id", "restored_text")
+
+    return there_and_back(_marked_notes(spark, sf), "notes").unionByName(there_and_back(st.table(spark, sf, "documents"), "documents"))
+
+
+def restore_labels(spark, sf):
+    """Notes restored for a reader who may see some labels only."""
+    result = sinks.as_table(redact_documents(st.notes(spark, sf), seats=True).select("doc_id", "redacted_text", "seats"), "seats")
+    vault = restore.vault_rows(result, "doc_id")
+    return restore.restore(result.drop("seats"), vault, labels=READABLE).select("doc_id", "restored_text")
+
+
+def unrestored(spark, sf):
+    """Vault rows damaged by document: shifted, doubled, or of no document."""
+    result = sinks.as_table(redact_documents(st.notes(spark, sf), seats=True).select("doc_id", "redacted_text", "seats"), "seats")
+    doc = F.col("doc_id")
+    vault = restore.vault_rows(result, "doc_id")
+    hurt = vault.withColumn("at", F.when(doc % 5 == 1, F.col("at") + 1).otherwise(F.col("at"))).withColumn("doc_id", F.when(doc % 5 == 2, -doc - 1).otherwise(doc))
+    double = hurt.filter("doc_id % 5 = 3").withColumn("original", F.lit("?"))
+    return restore.unrestored(result.drop("seats"), hurt.unionByName(double))
+
+
 def entity_rows(spark, sf):
     return redact.entity_rows(_response(spark, sf), "doc_id")
 
@@ -521,7 +556,7 @@ def queries() -> dict[str, Query]:
         sink_redacted, sink_labels, sink_metrics, regex_spans, context_spans, ner_label_normalise, org_context_boost,
         all_spans, span_order, overlap_groups, overlap_winner, false_positive_filter, merge_person, merge_address,
         final_spans, span_funnel, span_funnel_total, canonical_label, drop_ignore, placeholder_number,
-        placeholder_format, redact_text, entity_rows, placeholder_map, redaction_response, entity_reveal,
+        placeholder_format, redact_text, restore_text, restore_labels, unrestored, entity_rows, placeholder_map, redaction_response, entity_reveal,
         ner_spans_rejected, redact_damaged_spans, catalog_files, entity_counts, entity_counts_by_source, size_class, redact_stream, sanitize_bio, label_order, label_vocab,
         encode_labels, has_pii_flag, spans_to_bio, split_random, split_stratified, pseudo_label_filter,
         pseudo_label_limit, pseudo_label_stats, cap_by_ratio, oversample, augment_swapcase, joint_mix, sequential_mix,

@@ -71,6 +71,21 @@ def rewrite(text: Column, marks: Column) -> Column:
     return F.when(F.size(marks) > 0, tx.let(tx.chunks(text), render)).otherwise(text)
 
 
+def seats(marks: Column) -> Column:
+    """Where each placeholder stands in the rewritten text, with its label and the original."""
+    longer = F.transform(marks, lambda m: F.length(m["placeholder"]) - (m["end"] - m["start"]))
+
+    def all_of(shift: Column) -> Column:
+        return F.transform(
+            marks,
+            lambda m, i: F.struct(
+                (m["start"] + tx.item(shift, i)).alias("at"), m["placeholder"].alias("placeholder"), m["label"].alias("label"), m["text"].alias("original")
+            ),
+        )
+
+    return tx.let(tx.running_totals(longer), all_of)
+
+
 def preview(value: Column) -> Column:
     n = fixed.PREVIEW_LENGTH
     return F.when(F.length(value) > n, F.concat(F.substring(value, 1, n), F.lit(fixed.PREVIEW_TAIL))).otherwise(value)

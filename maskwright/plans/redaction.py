@@ -23,9 +23,12 @@ def redact_documents(
     ner_spans: DataFrame | None = None,
     key: str = "doc_id",
     ner: str | None = None,
+    seats: bool = False,
 ) -> DataFrame:
     """Add ``redacted_text``, ``entities`` and ``map``; works on batch and streaming tables alike.
 
+    ``seats`` adds a column of that name: what restoration needs, see operators/restore.py.
+
     ``ner_spans`` are an optional table of recogniser spans (batch only); ``ner`` names an
     array column of them instead. Filters on the result do not run detection again.
     """
@@ -33,7 +36,8 @@ def redact_documents(
     if ner_spans is not None:
         docs, ner = attach_spans(docs, ner_spans, key, "_ner"), "_ner"
     marked = redact.mark(find(docs, catalog, text, ner), catalog).drop("spans", "final", "_ner")
-    return redact.respond(tx.once(marked, "marks"), text).drop("marks")
+    out = redact.respond(tx.once(marked, "marks"), text)
+    return (out.withColumn("seats", redact.seats(F.col("marks"))) if seats else out).drop("marks")
 
 
 def entity_totals(result: DataFrame, *by: str) -> DataFrame:

@@ -16,7 +16,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.operators import redact
+from maskwright.operators import redact, restore
 
 TABLES = ("redacted", "entities", "vault")
 
@@ -51,18 +51,19 @@ def tables_of(result: DataFrame, key: str, *by: str) -> dict[str, DataFrame]:
     return {
         "redacted": result.select(key, *by, "redacted_text"),
         "entities": redact.entity_rows(result, key, *by),
-        "vault": redact.vault_rows(result, key),
+        "vault": restore.vault_rows(result, key) if "seats" in result.columns else redact.vault_rows(result, key),
     }
 
 
 def write_redaction(result: DataFrame, path: str, key: str = "doc_id", partition_by: list[str] | None = None, mode: str = "errorifexists") -> None:
     """Write the three tables of redact.respond(); texts may be partitioned by document columns.
 
+    With ``seats`` (redact_documents) the vault can restore the texts.
     Detection runs once, into a table below the shared folder that the three are derived from.
     It holds original values like the vault: restrict that folder likewise.
     """
     by = partition_by or []
-    wide = as_table(result.select(key, *by, "redacted_text", "entities", "map"), "redaction")
+    wide = as_table(result.select(key, *by, "redacted_text", "entities", "map", *[c for c in ("seats",) if c in result.columns]), "redaction")
     for table, df in tables_of(wide, key, *by).items():
         writer = df.write.mode(mode)
         if by and table != "vault":
