@@ -381,6 +381,7 @@ def oracle_sql() -> dict[str, str]:
         "split_random": q("SELECT sent_id, split FROM pii_split"),
         "pseudo_label_filter": q("SELECT sent_id, tokens, labels FROM pseudo_sents"),
         "pseudo_label_limit": q("SELECT sent_id, CAST(n_tokens AS INT) AS n_tokens FROM limited"),
+        "pseudo_label_rows": q(f"SELECT sent_id, tokens, labels FROM pseudo_sents ORDER BY sent_id LIMIT {PSEUDO_LIMIT}"),
         "pseudo_label_stats": q("""SELECT (SELECT count(*) FROM turns) AS processed_docs, count(*) AS emitted_rows,
           CAST(sum(CASE WHEN sent_id IN (SELECT doc_id FROM turn_spans) THEN 0 ELSE 1 END) AS BIGINT) AS empty_entities, CAST(sum(n_tokens) AS BIGINT) AS total_tokens FROM limited"""),
         "cap_by_ratio": q(f"""SELECT d.sent_id, CAST(CASE WHEN tokens = '' THEN 0 ELSE len(string_split(tokens, ' ')) END AS INT) AS n_tokens

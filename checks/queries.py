@@ -445,10 +445,18 @@ def pseudo_label_filter(spark, sf):
 
 
 def pseudo_label_limit(spark, sf):
-    kept = mixes.pseudo_limit(sinks.as_table(st.pseudo(spark, sf), "pseudo"), PSEUDO_LIMIT, PSEUDO_TOKENS)
+    """Turns labelled in growing ranges of keys until a limit is met."""
+    label = lambda docs: labels.spans_to_bio(st.with_groups(docs), "spans")
+    kept = mixes.labelled_until(st.turns(spark, sf), label, PSEUDO_LIMIT, PSEUDO_TOKENS)
     return kept.select("sent_id", F.size("tokens").alias("n_tokens"))
 
 
+def pseudo_label_rows(spark, sf):
+    """The same for a limit of rows alone, with the labels."""
+    label = lambda docs: labels.spans_to_bio(st.with_groups(docs), "spans")
+    return mixes.labelled_until(st.turns(spark, sf), label, PSEUDO_LIMIT).select("sent_id", *joined("tokens", "labels"))
+
+
 def pseudo_label_stats(spark, sf):
     docs = sinks.as_table(st.conversation_docs(spark, sf), "turns")
     rows = labels.spans_to_bio(docs, "spans").join(docs.select(F.col("doc_id").alias("sent_id"), "spans"), "sent_id")
@@ -559,7 +567,7 @@ def queries() -> dict[str, Query]:
         placeholder_format, redact_text, restore_text, restore_labels, unrestored, entity_rows, placeholder_map, redaction_response, entity_reveal,
         ner_spans_rejected, redact_damaged_spans, catalog_files, entity_counts, entity_counts_by_source, size_class, redact_stream, sanitize_bio, label_order, label_vocab,
         encode_labels, has_pii_flag, spans_to_bio, split_random, split_stratified, pseudo_label_filter,
-        pseudo_label_limit, pseudo_label_stats, cap_by_ratio, oversample, augment_swapcase, joint_mix, sequential_mix,
+        pseudo_label_limit, pseudo_label_rows, pseudo_label_stats, cap_by_ratio, oversample, augment_swapcase, joint_mix, sequential_mix,
         align_subwords, truncate_tokens, split_sizes, eval_sets, decode_predictions, bio_entities, ner_scores_overall,
         ner_scores_by_type, ner_macro_f1, ner_report,
     ]

@@ -110,13 +110,21 @@ def general(spark: SparkSession, sf: str) -> DataFrame:
     return docs.select("sent_id", "tokens", F.transform("tokens", tag).alias("labels"))
 
 
-def conversation_docs(spark: SparkSession, sf: str) -> DataFrame:
-    """Turns of conversations with the spans of the allowed groups."""
-    turns = table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
-    found = turns.withColumn("found", _found("text", PSEUDO_RULES))
+def turns(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns of conversations as documents."""
+    return table(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+
+
+def with_groups(docs: DataFrame) -> DataFrame:
+    """Documents with the spans of the allowed groups."""
+    found = docs.withColumn("found", _found("text", PSEUDO_RULES))
     return found.select("doc_id", "text", mixes.allow_groups(F.col("found"), PSEUDO_GROUPS).alias("spans"))
 
 
+def conversation_docs(spark: SparkSession, sf: str) -> DataFrame:
+    return with_groups(turns(spark, sf))
+
+
 def pseudo(spark: SparkSession, sf: str) -> DataFrame:
     """The pseudo-labelled corpus, one sentence per turn."""
     return mixes.emitted(labels.spans_to_bio(conversation_docs(spark, sf), "spans"))

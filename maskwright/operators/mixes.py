@@ -7,11 +7,18 @@ scans: no row is shuffled. Write the corpora to tables before mixing them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.operators.labels import add_swapcase
-from maskwright.operators.prefix import cut_at, head, row_count
+from maskwright.operators.prefix import cut_at, head, last_key, row_count
+from maskwright.sources.sinks import as_table
+
+# documents that a labelling run begins with
+FIRST = 256
 
 
 def allow_groups(found: Column, groups: list[str] | None) -> Column:
@@ -35,6 +42,41 @@ def pseudo_limit(df: DataFrame, limit: int | None = None, token_limit: int | Non
     return df.filter(F.col("sent_id") <= cut_at(df, "sent_id", {"rows": F.lit(1), "tokens": F.size("tokens")}, below))
 
 
+def labelled_until(
+    docs: DataFrame,
+    label: Callable[[DataFrame], DataFrame],
+    limit: int | None = None,
+    token_limit: int | None = None,
+    key: str = "doc_id",
+    first: int = FIRST,
+) -> DataFrame:
+    """pseudo_limit() of ``label(docs)``, labelling little more than it keeps.
+
+    Documents are labelled in ranges of growing keys, each stored once, until the
+    limits are met; only then is the cut found among the stored rows. A range is
+    as large as what the rows so far say is still needed, and never larger than
+    all ranges before it, so that at most twice the kept documents (or ``first``) are labelled.
+    Ranges are found from the key column alone. ``label`` maps documents to rows with
+    ``sent_id`` (their key) and ``tokens``. Keys are unique integers; a document with a null key has no place in the order and is left out.
+    Without limits all documents are labelled at once.
+    """
+    if not limit and not token_limit:
+        return emitted(label(docs))
+    rest, size, seen, rows, tokens, done = docs.filter(F.col(key).isNotNull()), first, 0, 0, 0, []
+    while True:
+        last = last_key(rest, key, {"rows": F.lit(1)}, lambda before: before["rows"] < size)
+        part = as_table(emitted(label(rest.filter(F.col(key) <= F.lit(last)))), "labelled")
+        done.append(part)
+        got = part.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("tokens")), F.lit(0))).first()
+        seen, rows, tokens = seen + size, rows + got[0], tokens + got[1]
+        # the share of the nearer limit that is met, read as a share of the documents needed
+        share = max(rows / limit if limit else 0.0, tokens / token_limit if token_limit else 0.0)
+        if last is None or share >= 1:
+            return pseudo_limit(reduce(DataFrame.unionByName, done), limit, token_limit)
+        size = max(1, min(seen, int(seen / share * 1.05) - seen + 1)) if share else seen
+        rest = rest.filter(F.col(key) > last)
+
+
 def pseudo_stats(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """Counts of one labelling run: ``rows`` is what pseudo_limit() kept of ``docs``.
 

@@ -57,11 +57,16 @@ def last_kept(
     return at.select(F.col("parent").alias("cut"))
 
 
-def cut_at(df: DataFrame, key: str, measures: dict[str, Column], keep: Callable[[dict[str, Column]], Column]) -> Column:
-    """The last key to keep as a literal. Keys must be integers, and the key at the cut must be one row's."""
+def last_key(df: DataFrame, key: str, measures: dict[str, Column], keep: Callable[[dict[str, Column]], Column]) -> int | None:
+    """The last key to keep, found now. Keys must be integers."""
     if dict(df.dtypes)[key] not in ("tinyint", "smallint", "int", "bigint"):
         raise TypeError(f"{key} must be an integer to cut by it")
-    cut = last_kept(df, key, measures, keep).first()["cut"]
+    return last_kept(df, key, measures, keep).first()["cut"]
+
+
+def cut_at(df: DataFrame, key: str, measures: dict[str, Column], keep: Callable[[dict[str, Column]], Column]) -> Column:
+    """last_key() as a literal; the key at the cut must be one row's."""
+    cut = last_key(df, key, measures, keep)
     if cut is not None and df.filter(F.col(key) == cut).limit(2).count() > 1:
         raise ValueError(f"{key} = {cut} is the key of several rows: no cut lies between them")
     return F.lit(cut).cast("bigint")

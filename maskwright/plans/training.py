@@ -35,13 +35,14 @@ class Options:
 def pseudo_corpus(docs: DataFrame, recognise, groups: list[str] | None = None, limit: int | None = None, token_limit: int | None = None) -> DataFrame:
     """Raw documents (doc_id, text) -> tagged sentences with unique ``sent_id``, one per chunk of a paragraph.
 
-    ``recognise`` maps the text column to an array column of spans (start, end, label).
+    ``recognise`` maps the text column to an array column of spans (start, end, label); it
+    runs over the first chunks only, as far as the limits need.
     """
-    chunks = numbered_chunks(paragraph_chunks(docs))
-    spans = mixes.allow_groups(recognise(F.col("text")), groups)
-    found = chunks.select(F.col("sent_id").alias("doc_id"), "text", spans.alias("spans"))
-    tagged = as_table(labels.spans_to_bio(found, "spans"), "pseudo")
-    return mixes.pseudo_limit(tagged, limit, token_limit)
+    def label(chunks: DataFrame) -> DataFrame:
+        spans = mixes.allow_groups(recognise(F.col("text")), groups)
+        return labels.spans_to_bio(chunks.select(F.col("sent_id").alias("doc_id"), "text", spans.alias("spans")), "spans")
+
+    return mixes.labelled_until(numbered_chunks(paragraph_chunks(docs)), label, limit, token_limit, key="sent_id")
 
 
 def training_mix(pii: DataFrame, general: DataFrame | None = None, pseudo: DataFrame | None = None, options: Options = Options()) -> tuple[DataFrame, DataFrame, DataFrame]:
