@@ -99,14 +99,16 @@ def tagged_corpus_load(spark, sf):
 
 
 def conll_load(spark, sf):
-    """Notes and documents written as CoNLL files, and read back."""
+    """Notes and documents written as CoNLL files, one with either line end in turn, and read back."""
     def block(df: DataFrame) -> DataFrame:
         lines = F.zip_with("tokens", "labels", lambda t, l: F.concat_ws(" ", t, F.lit("X"), F.lit("Y"), l))
         return df.select(F.concat(F.lit("-DOCSTART- -X- -X- O\n"), F.array_join(lines, "\n")).alias("value"))
 
     path = sinks.scratch_path(spark, "conll")
-    for name, df in (("train.txt", st.damaged_notes(spark, sf)), ("valid.txt", st.general(spark, sf))):
-        block(df).write.option("lineSep", "\n\n").text(f"{path}/{name}")
+    notes = block(st.damaged_notes(spark, sf))
+    ends = F.when(F.contains("value", F.lit("nric")), F.replace(F.col("value"), F.lit("\n"), F.lit("\r\n"))).otherwise(F.col("value"))
+    notes.select(ends.alias("value")).write.option("lineSep", "\r\n\r\n").text(f"{path}/train.txt")
+    block(st.general(spark, sf)).write.option("lineSep", "\n\n").text(f"{path}/valid.txt")
     return corpora.read_conll(spark, path).select("split", *joined("tokens", "labels"))
 
 

@@ -1,8 +1,7 @@
 """Readers of tagged corpora and raw text.
 
 Each returns ``sent_id`` (or ``doc_id``) with token and label arrays. Ids from
-files are in file order where a corpus is one file, Spark's own unique row
-numbers otherwise.
+files are unique over all files of a corpus, and in file order within a file.
 """
 
 from __future__ import annotations
@@ -10,7 +9,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from maskwright.functions import bio
@@ -100,16 +99,39 @@ def conll_sentences(blocks: DataFrame, block: str = "value") -> DataFrame:
     )
 
 
-def line_end(spark: SparkSession, path: str) -> str:
-    """The line end of text files, seen at their first lines."""
-    first = spark.read.option("lineSep", "\n").text(path).limit(50)
-    return "\n" if first.filter(F.col("value").endswith("\r")).isEmpty() else "\r\n"
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files (ended by ``\n``, ``\r\n`` or ``\r``, also mixed), with their file and the split they were read in."""
+    return spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
+    )
+
 
+def blocks(lines: DataFrame, *keep: str) -> DataFrame:
+    """Runs of lines between empty ones -> one row each: ``first`` (a unique number, in file order within a file), the kept columns, ``value``.
 
-def _blocks(spark: SparkSession, path: str) -> DataFrame:
-    """Records between empty lines, with ``\n`` as their line ends; large files are read in parallel."""
-    raw = spark.read.option("lineSep", line_end(spark, path) * 2).text(path)
-    return raw.select(F.replace(F.col("value"), F.lit("\r\n"), F.lit("\n")).alias("value"))
+    Lines are numbered where they are read and dealt by file split, where a running
+    count of empty lines tells the runs apart. Only the first and last run of a split
+    can belong to a neighbour: they are dealt again, by the number of empty lines in the whole
+    file before them. So a file is read by as many tasks as it has splits, and no run is
+    larger than its lines.
+    """
+    numbered = lines.withColumn("line", F.monotonically_increasing_id())
+    here = Window.partitionBy("file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    counted = numbered.repartition("file", "block").withColumn("run", F.sum((F.col("value") == "").cast("long")).over(here))
+    spot = ["file", "block", "run", *keep]
+    parts = counted.filter("value <> ''").groupBy(*spot).agg(F.array_sort(F.collect_list(F.struct("line", "value"))).alias("_l"))
+    # splits of a file with the empty lines before them: one slim row a split
+    totals = counted.groupBy("file", "block").agg(F.max("run").alias("empty"))
+    ahead = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.withColumn("before", F.coalesce(F.sum("empty").over(ahead), F.lit(0)))
+    placed = parts.join(before, ["file", "block"])
+    edge = (F.col("run") == 0) | (F.col("run") == F.col("empty"))
+    whole = lambda df: df.select(F.col("_l")[0]["line"].alias("first"), *keep, F.array_join("_l.value", "\n").alias("value"))
+    stitched = (
+        placed.filter(edge).groupBy("file", (F.col("before") + F.col("run")).alias("run"), *keep)
+        .agg(F.array_sort(F.flatten(F.collect_list("_l"))).alias("_l"))
+    )
+    return whole(placed.filter(~edge)).unionByName(whole(stitched))
 
 
 def read_conll(spark: SparkSession, directory: str) -> DataFrame:
@@ -117,14 +139,14 @@ def read_conll(spark: SparkSession, directory: str) -> DataFrame:
     parts = []
     for split, name in CONLL_FILES.items():
         try:
-            parts.append(_blocks(spark, f"{directory.rstrip('/')}/{name}").select(F.lit(split).alias("split"), "value"))
+            parts.append(_lines(spark, f"{directory.rstrip('/')}/{name}").withColumn("split", F.lit(split)))
         except PySparkException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
     if not parts:
         return spark.createDataFrame([], "sent_id bigint, split string, tokens array<string>, labels array<string>")
-    numbered = reduce(DataFrame.unionByName, parts).select(F.monotonically_increasing_id().alias("sent_id"), "split", "value")
-    return conll_sentences(numbered)
+    found = blocks(reduce(DataFrame.unionByName, parts), "split")
+    return conll_sentences(found.withColumnRenamed("first", "sent_id").select("sent_id", "split", "value"))
 
 
 def paragraphs(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -149,11 +171,12 @@ def paragraph_chunks(df: DataFrame, text: str = "text", key: str = "doc_id", chu
     )
 
 
-def numbered_chunks(chunks: DataFrame) -> DataFrame:
-    """Chunks with ``sent_id``, a unique integer in the order of reading, as a stored table: ids are given once."""
-    return as_table(chunks.withColumn("sent_id", F.monotonically_increasing_id()), "chunks")
+def numbered_chunks(chunks: DataFrame, *order: str) -> DataFrame:
+    """Chunks with ``sent_id``, a unique integer that grows in the given order (document, paragraph, chunk), as a stored table: ids are given once."""
+    by = order or [c for c in ("doc_id", "para_no", "chunk_no") if c in chunks.columns]
+    return as_table(chunks.orderBy(*by).withColumn("sent_id", F.monotonically_increasing_id()), "chunks")
 
 
 def read_raw_text(spark: SparkSession, path: str) -> DataFrame:
-    """Raw text file -> ``(doc_id, text)``, one row per paragraph block, read in parallel."""
-    return _blocks(spark, path).select(F.monotonically_increasing_id().alias("doc_id"), F.col("value").alias("text"))
+    """Raw text files -> ``(doc_id, text)``, one row per run of lines between empty ones, read in parallel."""
+    return blocks(_lines(spark, path)).select(F.col("first").alias("doc_id"), F.col("value").alias("text"))

@@ -1,4 +1,5 @@
 import json
+import random
 import re
 
 import pytest
@@ -39,6 +40,56 @@ def test_conll(spark, tmp_path, newline):
     assert corpora.read_conll(spark, str(tmp_path / "none")).count() == 0
 
 
+def plain_blocks(data):
+    """Runs of non-empty lines, as a reader in text mode sees them."""
+    return [b.strip("\n") for b in re.split(r"\n\n+", re.sub("\r\n|\r", "\n", data.decode())) if b.strip("\n")]
+
+
+def test_mixed_line_ends(spark, tmp_path):
+    sentence = lambda i, end: end.join([f"w{i} X Y B-A", f"v{i} X Y O"]) + end + end
+    both = "".join(sentence(i, "\n") for i in range(40)) + "".join(sentence(i, "\r\n") for i in range(40, 80)) + "".join(sentence(i, "\r") for i in range(80, 90))
+    (tmp_path / "train.txt").write_bytes(both.encode())
+    got = corpora.read_conll(spark, str(tmp_path)).orderBy("sent_id").collect()
+    assert [r.tokens for r in got] == [[f"w{i}", f"v{i}"] for i in range(90)]
+    # a folder of part files of either kind
+    (tmp_path / "valid.txt").mkdir()
+    for i, end in enumerate(["\n", "\r\n", "\r"]):
+        (tmp_path / "valid.txt" / f"part-{i}").write_bytes((end * i + sentence(i, end)).encode())
+    parts = corpora.read_conll(spark, str(tmp_path)).filter("split = 'validation'").collect()
+    assert sorted(r.tokens[0] for r in parts) == ["w0", "w1", "w2"]
+
+
+@pytest.mark.parametrize("size", [40, 97, 1000])
+def test_runs_over_the_splits_of_a_file(spark, tmp_path, size):
+    rng = random.Random(size)
+    ends, lines = ["\n", "\r\n", "\r"], ["", "", "a b c O", " ", "x" * 150, "é 😀 y B-Z"]
+    for name in ("one.txt", "two.txt"):
+        (tmp_path / name).write_bytes("".join(rng.choice(lines) + rng.choice(ends) for _ in range(400)).encode())
+    (tmp_path / "none.txt").write_bytes(b"")
+    (tmp_path / "blank.txt").write_bytes(b"\n\r\n\r\r")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", 1)
+        docs = corpora.read_raw_text(spark, str(tmp_path))
+        assert size == 1000 or corpora._lines(spark, str(tmp_path)).rdd.getNumPartitions() > 50
+        rows = [(r.doc_id, r.text) for r in docs.collect()]
+        assert len({i for i, _ in rows}) == len(rows)
+        want = [plain_blocks((tmp_path / n).read_bytes()) for n in ("one.txt", "two.txt")]
+        assert sorted(t for _, t in rows) == sorted(sum(want, []))
+        one = [r.text for r in corpora.read_raw_text(spark, str(tmp_path / "one.txt")).orderBy("doc_id").collect()]
+        assert one == want[0]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_chunks_are_numbered_in_order(spark, tmp_path):
+    (tmp_path / "raw.txt").write_text("\n\n".join(f"p{i} a b c" for i in range(300)))
+    chunks = corpora.numbered_chunks(corpora.paragraph_chunks(corpora.read_raw_text(spark, str(tmp_path / "raw.txt")), chunk_words=2))
+    assert [r.text for r in chunks.orderBy("sent_id").collect()] == [t for i in range(300) for t in (f"p{i} a", "b c")]
+
+
 def test_paragraph_chunks(spark):
     docs = spark.createDataFrame([(1, "a b c d e\n\n \n\n\n f\tg ")], "doc_id bigint, text string")
     got = [(r.para_no, r.chunk_no, r.text, r.n_words) for r in corpora.paragraph_chunks(docs, chunk_words=2).orderBy("para_no", "chunk_no").collect()]
