@@ -6,8 +6,13 @@ files are unique over all files of a corpus, and in file order within a file.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from itertools import pairwise
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -106,32 +111,70 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+RUN = "file string, block bigint, run bigint, first bigint, last boolean, value string"
+
+
+def _runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines (value, file, block, line, kept columns) in reading order -> the runs between empty lines of each split.
+
+    ``run`` counts the empty lines of the split before a run. The row that closes a split
+    (``last``) holds what is read after its last empty line, maybe nothing, and so that count for the whole split.
+    """
+    here, kept, empty, opened, first = None, [], 0, [], None
+
+    def out(of, rest, rows) -> pa.RecordBatch:
+        run, line, last, value = zip(*rows, strict=True)
+        n = len(rows)
+        columns = [pa.array([of[0]] * n, pa.string()), pa.array([of[1]] * n, pa.int64()), pa.array(run, pa.int64()), pa.array(line, pa.int64())]
+        columns += [pa.array(last), pa.array(value, pa.string()), *[pa.repeat(c[0], n) for c in rest]]
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    for b in batches:
+        names = [*[f.split()[0] for f in RUN.split(", ")], *b.schema.names[4:]]
+        files, starts = b.column(1), b.column(2).to_numpy()
+        change = np.flatnonzero(np.concatenate(([True], (starts[1:] != starts[:-1]) | pc.not_equal(files[1:], files[:-1]).to_numpy(zero_copy_only=False)))) if b.num_rows else []
+        for begin, end in pairwise([*change, b.num_rows]):
+            part = b.slice(begin, end - begin)
+            split = (part.column(1)[0].as_py(), part.column(2)[0].as_py())
+            if here is not None and split != here:
+                yield out(here, kept, [(empty, first, True, "\n".join(opened))])
+                empty, opened, first = 0, [], None
+            here, kept = split, part.columns[4:]
+            blank = np.flatnonzero(pc.equal(part.column(0), "").to_numpy(zero_copy_only=False))
+            line = part.column(3).to_numpy()
+            rows = []
+            for lo, hi in zip([0, *(blank + 1)], [*blank, part.num_rows], strict=True):
+                if hi > lo:
+                    first = int(line[lo]) if first is None else first
+                    opened += part.column(0).slice(lo, hi - lo).to_pylist()
+                if hi < part.num_rows:
+                    if opened:
+                        rows.append((empty, first, False, "\n".join(opened)))
+                    empty, opened, first = empty + 1, [], None
+            if rows:
+                yield out(here, kept, rows)
+    if here is not None:
+        yield out(here, kept, [(empty, first, True, "\n".join(opened))])
+
+
 def blocks(lines: DataFrame, *keep: str) -> DataFrame:
     """Runs of lines between empty ones -> one row each: ``first`` (a unique number, in file order within a file), the kept columns, ``value``.
 
-    Lines are numbered where they are read and dealt by file split, where a running
-    count of empty lines tells the runs apart. Only the first and last run of a split
-    can belong to a neighbour: they are dealt again, by the number of empty lines in the whole
-    file before them. So a file is read by as many tasks as it has splits, and no run is
-    larger than its lines.
+    Lines are grouped where they are read, as a stream, and not shuffled. Only the first
+    and last run of a file split can go on in a neighbour: they meet by the number of empty
+    lines in the whole file before them, summed over one slim row a split. A file is read by as
+    many tasks as it has splits, and no run is larger than its lines. Kept columns are the same throughout a file.
     """
-    numbered = lines.withColumn("line", F.monotonically_increasing_id())
-    here = Window.partitionBy("file", "block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    counted = numbered.repartition("file", "block").withColumn("run", F.sum((F.col("value") == "").cast("long")).over(here))
-    spot = ["file", "block", "run", *keep]
-    parts = counted.filter("value <> ''").groupBy(*spot).agg(F.array_sort(F.collect_list(F.struct("line", "value"))).alias("_l"))
-    # splits of a file with the empty lines before them: one slim row a split
-    totals = counted.groupBy("file", "block").agg(F.max("run").alias("empty"))
+    kinds = dict(lines.dtypes)
+    schema = ", ".join([RUN, *[f"`{c}` {kinds[c]}" for c in keep]])
+    found = lines.select("value", "file", "block", F.monotonically_increasing_id().alias("line"), *keep).mapInArrow(_runs_of, schema)
+    runs = as_table(found, "runs")
     ahead = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    before = totals.withColumn("before", F.coalesce(F.sum("empty").over(ahead), F.lit(0)))
-    placed = parts.join(before, ["file", "block"])
-    edge = (F.col("run") == 0) | (F.col("run") == F.col("empty"))
-    whole = lambda df: df.select(F.col("_l")[0]["line"].alias("first"), *keep, F.array_join("_l.value", "\n").alias("value"))
-    stitched = (
-        placed.filter(edge).groupBy("file", (F.col("before") + F.col("run")).alias("run"), *keep)
-        .agg(F.array_sort(F.flatten(F.collect_list("_l"))).alias("_l"))
-    )
-    return whole(placed.filter(~edge)).unionByName(whole(stitched))
+    before = runs.filter("last").select("file", "block", F.coalesce(F.sum("run").over(ahead), F.lit(0)).alias("before"))
+    edges = runs.filter("last or run = 0").filter("value <> ''").join(before, ["file", "block"])
+    stitched = edges.groupBy("file", (F.col("before") + F.col("run")).alias("run"), *keep).agg(F.array_sort(F.collect_list(F.struct("first", "value"))).alias("_r"))
+    whole = stitched.select(F.col("_r")[0]["first"].alias("first"), *keep, F.array_join("_r.value", "\n").alias("value"))
+    return runs.filter("not last and run > 0").select("first", *keep, "value").unionByName(whole)
 
 
 def read_conll(spark: SparkSession, directory: str) -> DataFrame:
