@@ -21,7 +21,6 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import heapq
-import re
 import sys
 import zlib
 from array import array
@@ -34,61 +33,130 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from maskwright.llm import words
 from maskwright.sources.sinks import as_table
 
 LENGTH, GRID, END = 2048, 32, 1
-BLOCKS = 512
-# words whose ids a task remembers, and the longest of them
-REMEMBERED, WORD = 400_000, 64
-# White_Space of Unicode, which the tokenizer splits at; str.split() also splits at \x1c-\x1f
-GAPS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
-ODD = re.compile("[\x1c-\x1f]")
-# letters that str.lower() treats by what stands around them, or makes two of
-CASED = re.compile("[\u03a3\u0130]")
-MARKS = frozenset(".,:;!?")
+# documents that a rank block holds, about, and the fewest blocks a length has
+BLOCK, BLOCKS = 1 << 16, 512
+# bytes of text handled at a time; words whose ids a task remembers in each of two generations, and the longest of them
+CHUNK, REMEMBERED, WORD = 2 << 20, 200_000, 64
+# White_Space of Unicode beyond ASCII, which the tokenizer splits at, in UTF-8
+_WIDE = [c.encode() for c in "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
+MARKS = b".,:;!?"
+_MARK = np.isin(np.arange(256), list(MARKS))
+_SMALL = np.array([97 <= b <= 122 for b in range(256)])
+
+
+def _spaced(data: np.ndarray) -> np.ndarray:
+    """The bytes with all white space beyond ASCII as spaces."""
+    if not (data > 127).any():
+        return data
+    out = data.copy()
+    for lead in {w[0] for w in _WIDE}:
+        at = np.flatnonzero(data == lead)
+        for w in (w for w in _WIDE if w[0] == lead):
+            hit = at[at <= len(data) - len(w)]
+            for k in range(1, len(w)):
+                hit = hit[data[hit + k] == w[k]]
+            for k in range(len(w)):
+                out[hit + k] = 0x20
+    return out
+
+
+def _plain(data: np.ndarray) -> np.ndarray:
+    """Spaced bytes with capitals A-Z as small letters, but for those before a byte beyond ASCII, which may join them in normal form."""
+    data = _spaced(data)
+    alone = np.append(data[1:] < 128, True)
+    return np.where(alone, words.LOWER[data], data)
 
 
 class Ids:
-    """Ids of whole texts, as little-endian bytes; words seen before are not tokenized again.
+    """Ids of whole texts; words seen before are not tokenized again.
 
-    The tokenizer lower-cases, drops white space and never joins across it, so a
-    text's ids are those of its words in a row; nor does it join a letter and a
-    mark after it.
+    Rests on four things that are checked when the tokenizer is loaded: it lower-cases, drops
+    white space, joins nothing across it, and parts a letter a-z from a mark after it. So
+    a text's ids are those of its words in a row, and a word's last mark is a word. Words are found
+    and told apart on the bytes of a chunk at once; each distinct one is looked up once.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        self.mark = self.tokenizer.encode("\x1f", add_special_tokens=False).ids
-
-    def _made(self, words: list[str]) -> list[bytes]:
+        self.tokenizer = Tokenizer.from_file(path)
+        self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.mark = self._ids("\x1f")
+        self._check(path)
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _check(self, path: str) -> None:
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        small = {c: self._ids(c) for c in letters}
+        faults = {
+            "lower-case": any(self._ids(c.upper() + c) != self._ids(c + c) for c in letters),
+            "drop and split at white space": any(self._ids(f"{g}a{g}{g}b{g}") != small["a"] + small["b"] for g in [*"\t\n\x0b\x0c\r ", *(w.decode() for w in _WIDE)]),
+            "part letters from marks": any(self._ids(f"{c}{c}{chr(m)}") != self._ids(c + c) + self._ids(chr(m)) for c in letters for m in MARKS),
+        }
+        for need, missing in faults.items():
+            if missing:
+                raise ValueError(f"{path}: packing needs a tokenizer that does {need}")
+
+    def _made(self, new: list[bytes]) -> list[bytes]:
         """Ids of each word, made in one text with a mark between them; words that may hold the mark singly."""
-        if len(self.mark) != 1 or any("\x1f" in w for w in words):
-            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        ids = self.tokenizer.encode_batch_fast([" \x1f ".join(words)], add_special_tokens=False)[0].ids
+        texts = [w.decode() for w in new]
+        if len(self.mark) != 1 or any("\x1f" in w for w in texts):
+            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ids = self.tokenizer.encode_batch_fast([" \x1f ".join(texts)], add_special_tokens=False)[0].ids
         raw = array("I", ids).tobytes()
         ends = (4 * np.flatnonzero(np.frombuffer(raw, "<u4") == self.mark[0])).tolist()
         return [raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(raw)], strict=True)]
 
+    def _look_up(self, distinct: list[bytes]) -> list[bytes]:
+        """Ids of each word. Words not asked for while as many others came are forgotten."""
+        out = [self.known.get(w) for w in distinct]
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        new = []
+        for i in missing:
+            out[i] = self.older.get(distinct[i])
+            if out[i] is None:
+                new.append(i)
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            for i, ids in zip(part, self._made([distinct[i] for i in part]), strict=True):
+                out[i] = ids
+        if len(self.known) + len(missing) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        self.known.update((distinct[i], out[i]) for i in missing if len(distinct[i]) <= WORD)
+        return out
+
+    def chunk(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts of a chunk, one text after the other, and the texts' offsets there."""
+        data = _plain(data)
+        starts, ends, first = words.word_spans(data, offsets, words.SPACE)
+        marked = (ends - starts > 1) & _MARK[data[ends - 1]] & _SMALL[data[ends - 2]]
+        both = np.repeat(np.arange(len(starts)), 1 + marked)
+        # of the two parts of a marked word the second is its mark
+        second = np.concatenate(([False], both[1:] == both[:-1])) if len(both) else marked
+        starts, ends, marked = starts[both], ends[both], marked[both]
+        starts, ends = np.where(second, ends - 1, starts), np.where(marked & ~second, ends - 1, ends)
+        first = np.searchsorted(both, first)
+        one, code = words.distinct(data, starts, ends, words.hash_of(words.prefix_hash(data), starts, ends))
+        raw = data.tobytes()
+        ids = self._look_up([raw[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)])
+        size = np.array([len(i) // 4 for i in ids], np.int64)
+        at = np.concatenate(([0], np.cumsum(size)))
+        flat, tops = words.gather(np.frombuffer(b"".join(ids), "<u4"), at[code], size[code])
+        return flat, tops[first]
+
     def of(self, texts: list[str]) -> Iterator[bytes]:
-        split = [GAPS.split(t) if ODD.search(t) else (t if CASED.search(t) else t.lower()).split() for t in texts]
-        words = {w for ws in split for w in ws}
-        new = words - self.known.keys()
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {w: self.known[w] for w in words & self.known.keys()}
-        marked = [w for w in new if w[-1:] in MARKS and w[-2:-1].isalpha()]
-        todo = list((new.difference(marked) | {w[:-1] for w in marked} | {w[-1] for w in marked}) - self.known.keys())
-        for at in range(0, len(todo), 4096):
-            part = todo[at : at + 4096]
-            self.known.update(zip(part, self._made(part), strict=True))
-        self.known.update([(w, self.known[w[:-1]] + self.known[w[-1]]) for w in marked])
-        get = self.known.__getitem__
-        for ws in split:
-            yield b"".join(map(get, ws))
-        for w in new:
-            if len(w) > WORD:
-                del self.known[w]
+        """Ids of each text, as little-endian bytes."""
+        for _, n, data, offsets in words.chunks(pa.array(texts, pa.large_string()), CHUNK):
+            flat, at = self.chunk(data, offsets)
+            for i in range(n):
+                yield flat[at[i] : at[i + 1]].tobytes()
 
 
 @cache
@@ -104,37 +172,23 @@ def tokenized(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = ids_for(path)
         for b in batches:
-            texts = b.column("text")
-            for first, part in parts(texts):
+            for first, rows, data, offsets in words.chunks(b.column("text"), CHUNK):
+                flat, at = ids.chunk(data, offsets)
                 n, crcs, marks = [], [], []
-                for own in ids.of(part):
-                    own += end
+                for i in range(rows):
+                    own = flat[at[i] : at[i + 1]].tobytes() + end
                     full = len(own) // (4 * LENGTH)
                     n.append(len(own) // 4)
                     crcs.append([zlib.crc32(own[4 * LENGTH * i : 4 * LENGTH * (i + 1)]) for i in range(full)])
                     marks.append(running(own[4 * LENGTH * full :]))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(key).slice(first, len(part)), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
+                    [b.column(key).slice(first, rows), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
                     [key, "n", "crcs", "marks"],
                 )
 
     return docs.select(key, "text").mapInArrow(run, f"{key} {dict(docs.dtypes)[key]}, n long, crcs array<long>, marks binary")
 
 
-def parts(texts: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts of about ``most`` characters."""
-    first, part, size = 0, [], 0
-    for i, t in enumerate(texts):
-        t = t.as_py() or ""
-        if part and size + len(t) > most:
-            yield first, part
-            first, part, size = i, [], 0
-        part.append(t)
-        size += len(t)
-    if part:
-        yield first, part
-
-
 def running(rest: bytes) -> bytes:
     """Check sums of the first GRID, 2 GRID, ... ids of a rest and of all of it."""
     crc, out = 0, []
@@ -263,9 +317,11 @@ def plan(histogram: dict[int, int], grid: int = GRID) -> Plan:
 
 def ranked(ids: DataFrame, key: str = "doc_id") -> tuple[DataFrame, list[tuple[int, int, int]]]:
     """Stored ids with the ``rank`` of each rest among its length and ``fulls`` before it there; and (rest, documents, fulls)."""
+    # a length may have all documents, so its blocks grow with their number
+    blocks = max(BLOCKS, -(-ids.count() // BLOCK))
     slim = ids.withColumns({
         "rest": (F.col("n") % LENGTH).cast("int"), "full": F.size("crcs").cast("long"),
-        "block": F.pmod(F.xxhash64(F.col(key), F.col("marks")), F.lit(BLOCKS)).cast("int"),
+        "block": F.pmod(F.xxhash64(F.col(key), F.col("marks")), F.lit(blocks)).cast("int"),
     })
     counts = as_table(slim.groupBy("rest", "block").agg(F.count("*").alias("c"), F.sum("full").alias("f")), "pack-counts")
     before = Window.partitionBy("rest").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

@@ -47,6 +47,37 @@ def test_ids_are_the_tokenizers(spark):
         assert list(np.frombuffer(got, "<u4")) == ids.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_every_code_point_and_mark():
+    """Each code point after a letter, at a word's start and end, alone, before each mark, and after capitals."""
+    ids = packing.ids_for(packing.tokenizer_path())
+    texts = []
+    for at in range(0, 0x110000, 256):
+        points = [chr(c) for c in range(at, at + 256) if not 0xD800 <= c < 0xE000]
+        texts.append(" | ".join(f"{c} {c}a a{c} a{c}. " + " ".join(f"A{c}{m} {c}{m}" for m in ".,:;!?") for c in points))
+    for text, got in zip(texts, ids.of(texts)):
+        assert list(np.frombuffer(got, "<u4")) == ids.tokenizer.encode(text, add_special_tokens=False).ids, text[:20]
+
+
+def test_random_texts_and_forgotten_words(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 300)
+    monkeypatch.setattr(packing, "CHUNK", 5000)
+    rng = np.random.default_rng(5)
+    letters = list("abcTHWYJKSΣσİ.,:;!?'\x1c\x1f \n\t\u0331\u0308\u030a\u030c\u0307\u095c\u09dcé½12")
+    texts = ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(10_000)]
+    ids = packing.Ids(packing.tokenizer_path())
+    want = ids.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    for text, got, w in zip(texts, ids.of(texts), want):
+        assert list(np.frombuffer(got, "<u4")) == w.ids, text
+    assert len(ids.known) <= 300 + 5000
+
+
+def test_other_tokenizers_are_refused(tmp_path):
+    import public_tokenizers
+
+    with pytest.raises(ValueError, match="packing needs"):
+        packing.Ids(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_check_sums_of_cuts():
     rng = np.random.default_rng(1)
     for a, b in ((32, 5), (64, 2000), (1, 1), (2016, 32)):
