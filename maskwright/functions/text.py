@@ -131,6 +131,30 @@ def quoted(literal: str) -> str:
     return "\\Q" + literal.replace("\\E", "\\E\\\\E\\Q") + "\\E"
 
 
+def any_of(literals: list[str]) -> str:
+    """A Java regex with one group that takes the longest of the literals beginning at a place, written as a prefix tree."""
+    tree: dict = {}
+    for word in literals:
+        node = tree
+        for c in word:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def spelled(node: dict) -> str:
+        run = ""
+        # a stretch without branches is written out
+        while len(node) == 1 and "" not in node:
+            (c, node), = node.items()
+            run += c
+        ways = [quoted(c) + spelled(below) for c, below in node.items() if c]
+        rest = "(?:" + "|".join(ways) + ")" + ("?" if "" in node else "") if ways else ""
+        return (quoted(run) if run else "") + rest
+
+    heads = "".join(re.sub(r"([\\\[\]^&-])", r"\\\1", c) for c in tree)
+    # most places are left at their first character
+    return f"(?=[{heads}])({spelled(tree)})"
+
+
 def mark_for(text: Column) -> Column:
     """A mark the text does not contain: MARK, or in the rare text that holds it, one with the text's hash."""
     return F.when(F.contains(text, F.lit(MARK)), F.concat(F.lit(MARK), F.md5(text), F.lit(MARK))).otherwise(F.lit(MARK))

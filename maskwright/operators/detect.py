@@ -101,12 +101,68 @@ def text_spans(text: str, rules: list[TextRule]) -> Column:
     return F.expr(tx.sql_let(tx.sql_mark(t), "mark", found))
 
 
+def _borders(key: str) -> bool:
+    """Whether two occurrences of a key can overlap."""
+    return any(key.startswith(key[i:]) for i in range(1, len(key)))
+
+
+def _found_keys(keys: list[ContextKey]) -> str:
+    """All occurrences of all keys in ``low``: ``array<struct<pos, key>>``, ``pos`` the offset behind the key, as SQL text.
+
+    One regex pass, whatever the number of keys: at every place a look-ahead takes the
+    longest key that begins there, from a prefix tree; the shorter keys beginning there are its prefixes, known
+    beforehand. Marks and keys are put into the text, which split at the mark reads gap, key, gap, ...
+    Of occurrences of one key that overlap the first counts; few keys can overlap themselves.
+    """
+    by_key: dict[str, list[ContextKey]] = {}
+    for k in keys:
+        by_key.setdefault(k.key, []).append(k)
+    patterns = list(dict.fromkeys(k.pattern for k in keys))
+
+    def about(k: ContextKey) -> str:
+        return (
+            f"named_struct('ord', {k.ord}, 'label', {tx.sql_literal(k.label)}, 'pattern', {patterns.index(k.pattern)}, "
+            f"'window', {k.window}, 'length', {len(k.key)}, 'folds', {str(_borders(k.key)).lower()})"
+        )
+
+    # one literal list of keys; for each distinct text the numbers of those that begin with it
+    flat = [k for same in by_key.values() for k in same]
+    number: dict[str, list[int]] = {}
+    for i, k in enumerate(flat):
+        number.setdefault(k.key, []).append(i + 1)
+    begins = {t: [i for n in range(1, len(t) + 1) for i in number.get(t[:n], [])] for t in by_key}
+    texts = f"array({', '.join(tx.sql_literal(t) for t in begins)})"
+    lists = f"array({', '.join('array(' + ', '.join(map(str, ns)) + ')' for ns in begins.values())})"
+    infos = f"array({', '.join(about(k) for k in flat)})"
+    tree = tx.sql_literal(f"(?={tx.any_of(list(by_key))})")
+    pieces = f"split(regexp_replace(low, {tree}, concat(mark, '$1', mark)), mark, -1)"
+    gaps = "transform(sequence(0, size(pieces) - 1, 2), g -> length(element_at(pieces, g + 1)))"
+    at_place = (
+        "transform(element_at(lists, int(array_position(texts, element_at(pieces, 2 * i)))), "
+        "n -> named_struct('pos', element_at(starts, i + 1) + element_at(infos, n).length, 'key', element_at(infos, n)))"
+    )
+    found = tx.sql_let(tx.sql_running_totals(gaps), "starts", f"flatten(transform(sequence(1, size(starts) - 1), i -> {at_place}))")
+    placed = f"CASE WHEN size(pieces) > 1 THEN {found} END"
+    tables = tx.sql_let(texts, "texts", tx.sql_let(lists, "lists", tx.sql_let(infos, "infos", tx.sql_let(pieces, "pieces", placed))))
+    if not any(_borders(t) for t in by_key):
+        return tables
+    none = "filter(hits, h -> false)"
+    first = (
+        "aggregate(filter(hits, h -> h.key.ord = o), named_struct('end', 0, 'kept', {none}), (a, h) -> "
+        "CASE WHEN h.pos - h.key.length >= a.end THEN named_struct('end', h.pos, 'kept', concat(a.kept, array(h))) ELSE a END).kept"
+    ).format(none=none)
+    folding = "array_distinct(transform(filter(hits, h -> h.key.folds), h -> h.key.ord))"
+    apart = f"concat(filter(hits, h -> NOT h.key.folds), flatten(transform({folding}, o -> {first})))"
+    return tx.sql_let(tables, "hits", f"CASE WHEN exists(hits, h -> h.key.folds) THEN {apart} ELSE hits END")
+
+
 def context_spans(text: str, keys: list[ContextKey]) -> Column:
     """First value match in the window after each occurrence of each keyword.
 
     Positions come from the lower-cased text and windows from the original one,
-    which is sliced before the value is looked for.
+    which is sliced before the value is looked for. All keys are found in one pass.
     """
+    keys = [k for k in keys if k.key]
     if not keys:
         return no_spans()
     t = f"`{text}`"
@@ -117,30 +173,18 @@ def context_spans(text: str, keys: list[ContextKey]) -> Column:
         cases = " ".join(f"WHEN {i} THEN {of(p)}" for i, p in enumerate(regexes))
         return f"CASE w.key.pattern {cases} END"
 
-    def split_at(k: ContextKey) -> str:
-        key = tx.sql_literal(k.key)
-        pieces = f"CASE WHEN contains(low, {key}) THEN split(replace(low, {key}, mark), mark, -1) END"
-        return (
-            f"named_struct('ord', {k.ord}, 'label', {tx.sql_literal(k.label)}, 'pattern', {patterns.index(k.pattern)}, "
-            f"'window', {k.window}, 'length', {len(k.key)}, 'pieces', {pieces})"
-        )
-
-    present = f"filter(array({', '.join(split_at(k) for k in keys)}), k -> k.pieces IS NOT NULL)"
-    ends = f"slice({tx.sql_running_totals('transform(k.pieces, p -> length(p) + k.length)')}, 2, size(k.pieces) - 1)"
-    window = f"named_struct('pos', pos, 'key', k, 'text', {tx.sql_cut('chunks', 'pos', 'k.window')})"
-    windows = f"flatten(transform({present}, k -> transform({ends}, pos -> {window})))"
+    window = f"named_struct('pos', h.pos, 'key', h.key, 'text', {tx.sql_cut('chunks', 'h.pos', 'h.key.window')})"
     value = by_pattern(lambda p: f"regexp_extract(w.text, {tx.sql_literal(p)}, 0)")
     # the shortest lead before a match is the lead of the leftmost match
     lead = by_pattern(lambda p: f"regexp_extract(w.text, {tx.sql_literal(rf'\A([\s\S]*?)(?:{p})')}, 1)")
-    values = f"transform({windows}, w -> named_struct('start', w.pos + length({lead}), 'text', {value}, 'key', w.key))"
+    values = f"transform(transform(found, h -> {window}), w -> named_struct('start', w.pos + length({lead}), 'text', {value}, 'key', w.key))"
     one_span = _sql_span(
         "f.start", "f.start + length(f.text)", "f.text", "f.key.label", "context", str(fixed.CONTEXT_SPECIFICITY), "f.key.ord"
     )
     all_chunks = f"regexp_extract_all({t}, '(?s).{{1,{tx.CHUNK}}}', 0)"
-    found = f"transform(filter({tx.sql_let(all_chunks, 'chunks', values)}, f -> f.text <> ''), f -> {one_span})"
-    some_key = _contains_any("low", tuple(dict.fromkeys(k.key for k in keys)))
-    lowered = f"CASE WHEN {some_key} THEN {tx.sql_let(tx.sql_mark('low'), 'mark', found)} ELSE CAST(array() AS {NO_SPANS}) END"
-    return F.expr(tx.sql_let(f"lower({t})", "low", lowered))
+    spans = f"transform(filter({tx.sql_let(all_chunks, 'chunks', values)}, f -> f.text <> ''), f -> {one_span})"
+    some = f"CASE WHEN found IS NULL THEN CAST(array() AS {NO_SPANS}) ELSE {spans} END"
+    return F.expr(tx.sql_let(f"lower({t})", "low", tx.sql_let(tx.sql_let(tx.sql_mark("low"), "mark", _found_keys(keys)), "found", some)))
 
 
 def recogniser_spans(text: Column, found: Column, catalog: Catalog) -> Column:
