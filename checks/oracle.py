@@ -396,6 +396,8 @@ def oracle_sql() -> dict[str, str]:
           FROM tagged JOIN pii_vocab ON tag = label GROUP BY 1"""),
         "truncate_tokens": q(f"SELECT sent_id, {TOKENS}, {TAGS} FROM tagged WHERE no <= {TOKENS_KEPT} GROUP BY 1"),
         "split_sizes": q("SELECT 'pii' AS corpus, split, count(*) AS n_rows FROM pii_split GROUP BY 2 UNION ALL SELECT 'conll', split, count(*) FROM gen_split GROUP BY 2"),
+        "split_table": q("""SELECT corpus, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'validation') AS validation,
+          count(*) FILTER (split = 'test') AS test, count(*) AS total FROM (SELECT 'pii' AS corpus, split FROM pii_split UNION ALL SELECT 'conll', split FROM gen_split) GROUP BY 1"""),
         "eval_sets": q("SELECT eval_set, sent_id, eval_set LIKE 'pii%' AS is_pii, CAST(CASE WHEN labels = '' THEN 0 ELSE len(string_split(labels, ' ')) END AS INT) AS n_tokens FROM held_out"),
         "decode_predictions": q("""SELECT h.eval_set, h.sent_id, coalesce(t.true_tags, '') AS true_tags, coalesce(t.pred_tags, '') AS pred_tags FROM held_out h LEFT JOIN (
           SELECT t.eval_set, t.sid, string_agg(t.tag, ' ' ORDER BY t.no) AS true_tags, string_agg(p.tag, ' ' ORDER BY t.no) AS pred_tags
@@ -415,6 +417,9 @@ def oracle_sql() -> dict[str, str]:
     out["redact_documents"] = with_(on_docs, final="SELECT doc_id, redacted_text FROM rewritten")
     out["redact_stream"] = out["redact_documents"]
     out["entity_counts_by_source"] = with_(on_docs, final="SELECT d.lang, d.source, m.label AS entity_type, count(*) AS n_entities FROM marks m JOIN documents d USING (doc_id) GROUP BY 1, 2, 3")
+    out["entity_counts_cube"] = with_(on_docs, final="""SELECT d.lang, d.source, m.label AS entity_type, CAST(grouping(d.lang, d.source, m.label) AS INT) AS level, count(*) AS n_entities
+      FROM marks m JOIN documents d USING (doc_id) GROUP BY CUBE (d.lang, d.source, m.label)""")
+    out["span_funnel_observed"] = out["span_funnel_total"]
     out["sink_redacted"] = with_(plain, final="""SELECT doc_id, 'redacted' AS sink, NULL::VARCHAR AS name, redacted_text AS value FROM rewritten
       UNION ALL SELECT doc_id, 'entities', placeholder, value_preview FROM entities UNION ALL SELECT doc_id, 'vault', placeholder, text FROM marks""")
     out["restore_text"] = q("""SELECT 'notes' AS src, doc_id, CASE WHEN doc_id % 3 = 0 THEN '***[EMAIL#1]*** ' || text || ' ***[DATE#2]******[PERSON#1]***' ELSE text END AS restored_text

@@ -12,7 +12,7 @@ from checks import standins as st
 from maskwright.functions import bio
 from maskwright.functions import text as tx
 from maskwright.operators import adjudicate, detect, evaluate, labels, mixes, redact, restore, splits
-from maskwright.plans.redaction import entity_totals, redact_documents
+from maskwright.plans.redaction import entity_cube, entity_totals, funnel, observed, redact_documents
 from maskwright.sources import corpora, sinks
 from maskwright.sources import fixed_values as fixed
 from maskwright.sources.catalog import default_catalog, load_catalog
@@ -275,9 +275,7 @@ def final_spans(spark, sf):
 
 
 def span_funnel(spark, sf):
-    return st.adjudicated(spark, sf).select(
-        "doc_id", F.size("spans").cast("bigint").alias("n_candidates"), F.size("final").cast("bigint").alias("n_final")
-    )
+    return funnel(st.adjudicated(spark, sf))
 
 
 def span_funnel_total(spark, sf):
@@ -286,6 +284,13 @@ def span_funnel_total(spark, sf):
     )
 
 
+def span_funnel_observed(spark, sf):
+    """The totals as they are seen while the final spans are written."""
+    found, totals = observed(st.adjudicated(spark, sf))
+    sinks.as_table(found.select("doc_id", "final"), "final")
+    return spark.createDataFrame([totals.get], "n_docs bigint, n_candidates bigint, n_final bigint")
+
+
 # --- redaction ---------------------------------------------------------------
 
 def canonical_label(spark, sf):
@@ -389,6 +394,11 @@ def entity_counts_by_source(spark, sf):
     return entity_totals(redact_documents(st.table(spark, sf, "documents")), "lang", "source")
 
 
+def entity_counts_cube(spark, sf):
+    """Entities of the documents by language, source and label, with all subtotals."""
+    return entity_cube(redact_documents(st.table(spark, sf, "documents")), "lang", "source")
+
+
 def size_class(spark, sf):
     return st.table(spark, sf, "documents").select("doc_id", redact.size_class(F.col("text")).alias("size_class"))
 
@@ -517,6 +527,10 @@ def split_sizes(spark, sf):
     return splits.split_sizes(st.corpora(spark, sf))
 
 
+def split_table(spark, sf):
+    return splits.split_table(st.corpora(spark, sf))
+
+
 def eval_sets(spark, sf):
     return splits.eval_sets(st.corpora(spark, sf)).select("eval_set", "sent_id", "is_pii", F.size("labels").alias("n_tokens"))
 
@@ -565,12 +579,12 @@ def queries() -> dict[str, Query]:
         docs_valid, rule_catalog, context_catalog, label_synonyms, tagged_corpus_load, conll_load, paragraph_chunks,
         sink_redacted, sink_labels, sink_metrics, regex_spans, context_spans, ner_label_normalise, org_context_boost,
         all_spans, span_order, overlap_groups, overlap_winner, false_positive_filter, merge_person, merge_address,
-        final_spans, span_funnel, span_funnel_total, canonical_label, drop_ignore, placeholder_number,
+        final_spans, span_funnel, span_funnel_total, span_funnel_observed, canonical_label, drop_ignore, placeholder_number,
         placeholder_format, redact_text, restore_text, restore_labels, unrestored, entity_rows, placeholder_map, redaction_response, entity_reveal,
-        ner_spans_rejected, redact_damaged_spans, catalog_files, entity_counts, entity_counts_by_source, size_class, redact_stream, sanitize_bio, label_order, label_vocab,
+        ner_spans_rejected, redact_damaged_spans, catalog_files, entity_counts, entity_counts_by_source, entity_counts_cube, size_class, redact_stream, sanitize_bio, label_order, label_vocab,
         encode_labels, has_pii_flag, spans_to_bio, split_random, split_stratified, pseudo_label_filter,
         pseudo_label_limit, pseudo_label_rows, pseudo_label_stats, cap_by_ratio, oversample, augment_swapcase, joint_mix, sequential_mix,
-        align_subwords, truncate_tokens, split_sizes, eval_sets, decode_predictions, bio_entities, ner_scores_overall,
+        align_subwords, truncate_tokens, split_sizes, split_table, eval_sets, decode_predictions, bio_entities, ner_scores_overall,
         ner_scores_by_type, ner_macro_f1, ner_report,
     ]
     out = {f.__name__: f for f in plain}

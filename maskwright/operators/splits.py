@@ -126,6 +126,13 @@ def split_sizes(df: DataFrame, *by: str) -> DataFrame:
     return df.groupBy(*(by or ("corpus", "split"))).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def split_table(df: DataFrame, by: str = "corpus") -> DataFrame:
+    """Rows per corpus, a column for each split and ``total``; the splits are named, so no pass looks for them."""
+    names = ["train", "validation", "test"]
+    counts = split_sizes(df, by, "split").groupBy(by).pivot("split", names).agg(F.sum("n_rows")).fillna(0, names)
+    return counts.withColumn("total", sum((F.col(n) for n in names), F.lit(0)))
+
+
 def eval_sets(df: DataFrame) -> DataFrame:
     """Rows of the held-out sets with their name and ``is_pii``; absent sets give no rows."""
     name = (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from maskwright.functions import text as tx
@@ -40,7 +40,48 @@ def redact_documents(
     return (out.withColumn("seats", redact.seats(F.col("marks"))) if seats else out).drop("marks")
 
 
+def funnel(found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Candidate and final spans of each document of find()."""
+    return found.select(key, *_counts())
+
+
+def _counts() -> list[Column]:
+    return [F.size("spans").cast("bigint").alias("n_candidates"), F.size("final").cast("bigint").alias("n_final")]
+
+
+def observed(found: DataFrame, name: str = "funnel") -> tuple[DataFrame, Observation]:
+    """The table of find() as it is, and an observation that holds the funnel's totals once an action has run over it.
+
+    The totals are taken on the way, so they cost no second pass; a filter or limit after
+    this one does not change them, but an action that stops early, such as head(), sees part of the rows.
+    For a stream use observe_stream().
+    """
+    totals = Observation(name)
+    return found.observe(totals, *_totals()), totals
+
+
+def observe_stream(found: DataFrame, name: str = "funnel") -> DataFrame:
+    """The same on a stream: each batch's progress holds the totals under ``observedMetrics`` and the name."""
+    return found.observe(name, *_totals())
+
+
+def _totals() -> list[Column]:
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(n) for c, n in zip(_counts(), ("n_candidates", "n_final"), strict=True)]
+    return [F.count(F.lit(1)).alias("n_docs"), *sums]
+
+
 def entity_totals(result: DataFrame, *by: str) -> DataFrame:
     """Entities per label and the given document columns."""
     rows = tx.each(result, *by, entity_type=F.col("entities.type"))
     return rows.groupBy(*by, "entity_type").agg(F.count(F.lit(1)).alias("n_entities"))
+
+
+def entity_cube(result: DataFrame, *by: str) -> DataFrame:
+    """entity_totals() with all subtotals: a column is null where it is summed over, and ``level`` tells that from a null value.
+
+    ``level`` has a bit for each of ``by`` and the label, the first one highest, set where the column is summed over.
+    One aggregate: counts per label and ``by`` are made where the rows lie and only they are multiplied by the grouping sets.
+    """
+    counts = entity_totals(result, *by)
+    level = F.grouping_id(*by, "entity_type").cast("int").alias("level")
+    return counts.cube(*by, "entity_type").agg(level, F.sum("n_entities").alias("n_entities"))
