@@ -40,7 +40,7 @@ LENGTH, GRID, END = 2048, 32, 1
 # documents that a rank block holds, about, and the fewest blocks a length has
 BLOCK, BLOCKS = 1 << 16, 512
 # bytes of text handled at a time; words whose ids a task remembers in each of two generations, and the longest of them
-CHUNK, REMEMBERED, WORD = 2 << 20, 200_000, 64
+CHUNK, REMEMBERED, WORD = 1 << 20, 150_000, 64
 # White_Space of Unicode beyond ASCII, which the tokenizer splits at, in UTF-8
 _WIDE = [c.encode() for c in "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
 MARKS = b".,:;!?"
@@ -74,8 +74,8 @@ def _plain(data: np.ndarray) -> np.ndarray:
 class Ids:
     """Ids of whole texts; words seen before are not tokenized again.
 
-    Rests on four things that are checked when the tokenizer is loaded: it lower-cases, drops
-    white space, joins nothing across it, and parts a letter a-z from a mark after it. So
+    Rests on what is checked when the tokenizer is loaded: it lower-cases, drops
+    white space, joins nothing across it, reads a word of letters a-z as it stands, and parts such a letter from a mark after it. So
     a text's ids are those of its words in a row, and a word's last mark is a word. Words are found
     and told apart on the bytes of a chunk at once; each distinct one is looked up once.
     """
@@ -98,12 +98,17 @@ class Ids:
         faults = {
             "lower-case": any(self._ids(c.upper() + c) != self._ids(c + c) for c in letters),
             "drop and split at white space": any(self._ids(f"{g}a{g}{g}b{g}") != small["a"] + small["b"] for g in [*"\t\n\x0b\x0c\r ", *(w.decode() for w in _WIDE)]),
+            "read a word of letters as it stands": any(self._bare(a + b) != self._ids(a + b) for a in letters for b in letters),
             "part letters from marks": any(self._ids(f"{c}{c}{chr(m)}") != self._ids(c + c) + self._ids(chr(m)) for c in letters for m in MARKS),
         }
         for need, missing in faults.items():
             if missing:
                 raise ValueError(f"{path}: packing needs a tokenizer that does {need}")
 
+    def _bare(self, word: str) -> list[int]:
+        """Ids of a word of letters a-z, which needs no normal form and is not cut."""
+        return [t.id for t in self.tokenizer.model.tokenize(word)]
+
     def _made(self, new: list[bytes]) -> list[bytes]:
         """Ids of each word, made in one text with a mark between them; words that may hold the mark singly."""
         texts = [w.decode() for w in new]
@@ -123,8 +128,16 @@ class Ids:
             out[i] = self.older.get(distinct[i])
             if out[i] is None:
                 new.append(i)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
+        odd = []
+        for i in new:
+            w = distinct[i]
+            # of ASCII letters, for bytes
+            if w.isalpha() and w.islower():
+                out[i] = array("I", self._bare(w.decode())).tobytes()
+            else:
+                odd.append(i)
+        for at in range(0, len(odd), 4096):
+            part = odd[at : at + 4096]
             for i, ids in zip(part, self._made([distinct[i] for i in part]), strict=True):
                 out[i] = ids
         if len(self.known) + len(missing) > REMEMBERED:
