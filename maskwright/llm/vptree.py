@@ -21,8 +21,8 @@ and no rows beyond the sample.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite
 numbers take no part, nor do those of another length than most; ties go to the
-smaller id; a query without candidates gives no rows; repeated rows are
-candidates of their own; an empty table gives an empty result.
+smaller id; a query without candidates gives no rows; repeated rows, and rows of one
+id or of a null one, are queries and candidates of their own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -341,7 +341,30 @@ def searched(index: Index, going: DataFrame, width: int, k: int, factor: float)
 
 
 def nearest(rows: DataFrame, queries: DataFrame, k: int = K, factor: float = FACTOR) -> DataFrame:
-    """``(query_id, rank, vec_id, score)`` for ``queries``, a part of ``rows`` (vec_id, embedding); a row is not its own neighbour."""
+    """``(query_id, rank, vec_id, score)`` for ``queries``, a part of ``rows`` (vec_id, embedding); a row is not its own neighbour.
+
+    Rows that share their id are told apart by numbers in the order of the ids, and each is a
+    candidate of the others. A row equal to a query in id and vector is that query, once for each such row.
+    """
+    rows, queries = rows.select("vec_id", "embedding"), queries.select("vec_id", "embedding")
+    if rows.groupBy("vec_id").count().filter("count > 1 or vec_id is null").isEmpty():
+        return _nearest(rows, queries, k, factor)
+    number = rows.orderBy("vec_id").withColumn("_row", F.monotonically_increasing_id())
+    named = as_table(number, "ann-rows")
+    same = lambda df: df.select(F.col("vec_id").alias("_id"), F.xxhash64("embedding").alias("_h"), F.xxhash64("embedding", F.lit(1)).alias("_g")).distinct()
+    asks = named["vec_id"].eqNullSafe(F.col("_id")) & (F.xxhash64("embedding") == F.col("_h")) & (F.xxhash64("embedding", F.lit(1)) == F.col("_g"))
+    asked = named.join(same(queries), asks, "left_semi")
+    by_row = lambda df: df.select(F.col("_row").alias("vec_id"), "embedding")
+    out = _nearest(by_row(named), by_row(asked), k, factor)
+    ids = lambda row, name: named.select(F.col("_row").alias(row), F.col("vec_id").alias(name))
+    return (
+        out.withColumnsRenamed({"query_id": "_q", "vec_id": "_n"}).join(ids("_q", "query_id"), "_q").join(ids("_n", "vec_id"), "_n")
+        .select("query_id", "rank", "vec_id", "score")
+    )
+
+
+def _nearest(rows: DataFrame, queries: DataFrame, k: int, factor: float) -> DataFrame:
+    """nearest() where every id is one row's."""
     spark = rows.sparkSession
     none = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = usable(rows.select(F.col("vec_id").cast("long"), "embedding"))

@@ -86,3 +86,20 @@ def test_odd_vectors_take_no_part(spark):
     assert got == {0: [(3, 5.0), (2, 4.0), (1, 3.0)]}
     assert found(spark, [(0, good[0][1])], F.lit(True), 20, 1.0) == {}
     assert found(spark, [], F.lit(True), 20, 1.0) == {} and found(spark, odd[:2], F.lit(True), 20, 1.0) == {}
+
+
+def test_repeated_and_null_ids(spark):
+    """Each row is a candidate of all others, also of those that share its id, and each row of a query's id is a query."""
+    rng = np.random.default_rng(9)
+    vectors = [(i, rng.normal(size=16).round(2).tolist()) for i in range(0, 150)]
+    vectors += [(20, rng.normal(size=16).round(2).tolist()) for _ in range(3)] + [(40, vectors[40][1])] * 25 + [(None, vectors[3][1])] * 2
+    good = [(i, np.array(v, np.float32).astype(float)) for i, v in vectors]
+    want = []
+    for a, (i, v) in enumerate(good):
+        if i is not None and i % 20 == 0:
+            near = sorted(((-(v @ w), -1 if j is None else j) for b, (j, w) in enumerate(good) if a != b))[:20]
+            want += [(i, r + 1, None if j < 0 else j, round(-s, 9)) for r, (s, j) in enumerate(near)]
+    rows = table(spark, vectors)
+    got = [(r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in vptree.nearest(rows, rows.filter("vec_id % 20 = 0"), 20, 1.0).collect()]
+    order = lambda t: (t[0], t[1], t[3], -1 if t[2] is None else t[2])
+    assert sorted(got, key=order) == sorted(want, key=order)
