@@ -13,8 +13,9 @@ not the text go, unless they hold the article, that is most of the text left and
 either its article or first heading, or no article stands elsewhere. Of the rest,
 the blocks of articles alone are taken if they are most of the text.
 
-Pages are parsed once and stored; the count moves hashes only, aggregated before
-the shuffle.
+Pages are parsed once and stored, their blocks packed; the count moves hashes only,
+aggregated before the shuffle. A counted number of templates is sent to the pages;
+beyond SENT of them, pages and templates are joined.
 
 Defined cases: a null html is empty; a null url or one without a host has no
 site, and nothing recurs for it; repeated rows are separate pages, but pages of
@@ -27,11 +28,14 @@ from __future__ import annotations
 
 import hashlib
 import html as entities
+import pickle
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,11 +44,15 @@ from maskwright.sources.sinks import as_table
 
 # a subtree is template on so many pages of different content of a host, however large the host
 PAGES = 5
+# templates that are sent to all tasks at most, eight bytes each; copies of a host's templates beyond
+SENT, SALT = 1 << 18, 16
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|<[!?/][^>]*+>", re.S
 )
-ATTRIBUTE = re.compile(r"(?i)\b(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+))?")
+# name by name, so that a value is never taken for a name
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+READ = {"class", "id", "role", "style", "hidden", "aria-hidden"}
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {
@@ -87,12 +95,17 @@ class Block(NamedTuple):
     leads: bool
 
 
+def named(attributes: str) -> list[tuple[str, str]]:
+    """The attributes that are read, in order, with their values."""
+    found = ((name.lower(), value) for name, value in ATTRIBUTE.findall(attributes or ""))
+    return [(name, entities.unescape(value.strip("\"'"))) for name, value in found if name in READ]
+
+
 def unseen(tag: str, attributes: str) -> bool:
     """Whether an element is not shown as text."""
     if tag in DROPPED:
         return True
-    for name, value in ATTRIBUTE.findall(attributes or ""):
-        name, value = name.lower(), value.strip("\"'")
+    for name, value in named(attributes):
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return tag not in ("html", "body", *MAIN)
         if name == "style" and re.search(r"(?i)display\s*:\s*none|visibility\s*:\s*hidden", value):
@@ -101,17 +114,20 @@ def unseen(tag: str, attributes: str) -> bool:
 
 
 def says_no(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element's tag or attributes say that it is not the page's text."""
+    """Whether an element's tag or attributes say that it is not the page's text.
+
+    Outside articles any word of a class or id counts. Inside one only containers are
+    asked, and only for a class or id that is such a word as a whole.
+    """
     if tag in BESIDES or (tag == "header" and not inside):
         return True
-    if not attributes or tag in ("html", "body", *MAIN):
+    if not attributes or tag in ("html", "body", *MAIN) or (inside and tag not in CONTAINERS):
         return False
-    for name, value in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
+    for name, value in named(attributes):
         if name == "role" and value.lower() in ROLES:
             return True
         if name in ("class", "id"):
-            said = {w.lower() for w in WORDS.findall(value)}
+            said = {w.lower() for w in (value.split() if inside else WORDS.findall(value))}
             if said & SAYS or (not inside and said & SAYS_OUTSIDE):
                 return True
     return False
@@ -232,25 +248,32 @@ def parse(html: str) -> list[tuple[str, list[int]]]:
     return [(b.text, b.around) for b in kept(read(html))]
 
 
-PARSED = "rid long, page_id long, url string, host string, content long, n_hashes int, blocks array<struct<text:string, around:array<long>, said:array<int>, inside:boolean, leads:boolean>>"
+PARSED = "rid long, page_id long, url string, host string, content long, hashes array<long>, blocks binary"
+
+
+def packed(blocks: list[Block]) -> bytes:
+    return zlib.compress(pickle.dumps([tuple(b) for b in blocks], 5), 1)
+
+
+def unpacked(data: bytes) -> list[Block]:
+    return [Block(*b) for b in pickle.loads(zlib.decompress(data))]
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """Pages as PARSED."""
-    ab = pa.list_(pa.struct([("text", pa.string()), ("around", pa.list_(pa.int64())), ("said", pa.list_(pa.int32())), ("inside", pa.bool_()), ("leads", pa.bool_())]))
+    """Pages as PARSED: ``hashes`` are the different ones of the page's subtrees, ``blocks`` its blocks, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            content, counts, blocks = [], [], []
+            content, hashes, blocks = [], [], []
             for page in b.column("html"):
                 found = read(page.as_py() or "")
-                blocks.append([f._asdict() for f in found])
+                blocks.append(packed(found))
                 content.append(digest(*(f.text.encode("utf-8", "surrogatepass") for f in kept(found))))
-                counts.append(len({h for f in found for h in f.around}))
+                hashes.append(sorted({h for f in found for h in f.around}))
             own = [b.column(c) for c in ("rid", "page_id", "url", "host")]
             yield pa.RecordBatch.from_arrays(
-                [*own, pa.array(content, pa.int64()), pa.array(counts, pa.int32()), pa.array(blocks, ab)],
-                ["rid", "page_id", "url", "host", "content", "n_hashes", "blocks"],
+                [*own, pa.array(content, pa.int64()), pa.array(hashes, pa.list_(pa.int64())), pa.array(blocks, pa.binary())],
+                ["rid", "page_id", "url", "host", "content", "hashes", "blocks"],
             )
 
     host = F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
@@ -260,29 +283,58 @@ def parsed(pages: DataFrame) -> DataFrame:
 
 def template_hashes(pages: DataFrame, least: int = PAGES) -> DataFrame:
     """``(host, hash)`` of the subtrees that recur on many pages of their host."""
-    named = pages.filter("host <> '' and n_hashes > 0")
-    each = named.select("host", "content", F.explode(F.array_distinct(F.flatten("blocks.around"))).alias("hash"))
+    each = pages.filter("host <> ''").select("host", "content", F.explode("hashes").alias("hash"))
     return each.distinct().groupBy("host", "hash").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("host", "hash")
 
 
-def extract(pages: DataFrame, least: int = PAGES) -> DataFrame:
-    """``(page_id, url, text)`` of ``pages`` (page_id, url, html)."""
-    stored = as_table(parsed(pages), "pages")
-    others = stored.filter("n_hashes > 0 and host <> ''")
-    each = others.select("rid", "host", F.explode(F.array_distinct(F.flatten("blocks.around"))).alias("hash"))
-    gone = each.join(template_hashes(stored, least), ["host", "hash"]).groupBy("rid").agg(F.collect_set("hash").alias("gone"))
+def _rest(blocks: bytes, gone: frozenset[int]) -> str:
+    return "\n".join(b.text for b in kept(unpacked(blocks), gone))
+
+
+def _by_set(stored: DataFrame, templates: DataFrame) -> DataFrame:
+    """Texts without templates, which are few enough (``SENT``) to be sent to all tasks as one sorted array: no page moves."""
+    site = F.xxhash64("host")
+    marks = np.sort(templates.select(F.col("hash").bitwiseXOR(site).alias("m")).toArrow().column("m").to_numpy())
+    shared = stored.sparkSession.sparkContext.broadcast(marks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = np.append(shared.value, 0)
         for b in batches:
             found = []
-            for blocks, hashes in zip(b.column("blocks"), b.column("gone"), strict=True):
-                left = kept([Block(**x) for x in blocks.as_py()], frozenset(hashes.as_py() or ()))
-                found.append("\n".join(x.text for x in left))
+            for blocks, hashes, of in zip(b.column("blocks"), b.column("hashes"), b.column("site"), strict=True):
+                gone = frozenset()
+                if of.is_valid and len(hashes):
+                    own = hashes.values.to_numpy()
+                    mine = own ^ of.as_py()
+                    gone = frozenset(own[marks[np.searchsorted(marks[:-1], mine)] == mine].tolist()) if len(marks) > 1 else gone
+                found.append(_rest(blocks.as_py(), gone))
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(found, pa.string())], ["page_id", "url", "text"])
+
+    of = F.when(F.col("host") != "", site)
+    return stored.select("page_id", "url", "hashes", of.alias("site"), "blocks").mapInArrow(run, "page_id long, url string, text string")
+
+
+def _by_join(stored: DataFrame, templates: DataFrame) -> DataFrame:
+    """The same for any number of templates; a host's pages are spread over ``SALT`` copies of its templates."""
+    each = stored.filter("host <> ''").select("rid", "host", F.explode("hashes").alias("hash"), F.pmod("rid", F.lit(SALT)).alias("salt"))
+    spread = templates.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))))
+    gone = each.join(spread, ["host", "hash", "salt"]).groupBy("rid").agg(F.collect_set("hash").alias("gone"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [_rest(blocks.as_py(), frozenset(hashes.as_py() or ())) for blocks, hashes in zip(b.column("blocks"), b.column("gone"), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(found, pa.string())], ["page_id", "url", "text"])
 
     return stored.join(gone, "rid", "left").select("page_id", "url", "blocks", "gone").mapInArrow(run, "page_id long, url string, text string")
 
 
+def extract(pages: DataFrame, least: int = PAGES) -> DataFrame:
+    """``(page_id, url, text)`` of ``pages`` (page_id, url, html)."""
+    stored = as_table(parsed(pages), "pages")
+    templates = as_table(template_hashes(stored, least), "templates")
+    return _by_set(stored, templates) if templates.count() <= SENT else _by_join(stored, templates)
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

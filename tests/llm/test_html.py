@@ -21,6 +21,34 @@ def test_blocks():
     assert only("<p>&lt;p&gt; &#233; &bogus;</p>") == ["<p> é &bogus;"]
 
 
+def test_values_are_no_attributes_and_articles_keep_their_words():
+    kept = [
+        '<a href="/the-hidden-gem">x</a>', '<a href="/q?id=search-results">x</a>', '<a href="/x?role=banner">x</a>', '<p title="hidden truths">x</p>',
+        '<div data-hidden="false">x</div>', '<p id="related-work">x</p>', '<section id="social-history">x</section>', '<p class="notice-period">x</p>',
+        '<h2 id="search">x</h2>', '<div class="widget-theory">x</div>', "<p data-x='class=\"ad\"'>x</p>", "<div alt = 'style=display:none'>x</div>",
+        '<p data-class="menu" aria-hidden="false">x</p>', "<ul class=adverbs>x</ul>",
+    ]
+    for h in kept:
+        assert [t for t, _ in parse(f"<article><p>before</p>{h}<p>after</p></article>")] == ["before", "x", "after"], h
+    gone = ['<div class="related">x</div>', "<ul class='x share'>x</ul>", "<div ID=newsletter>x</div>", "<p hidden>x</p>", "<div hidden=''>x</div>", "<span style='display: none'>x</span>", "<section role=search>x</section>"]
+    for h in gone:
+        assert [t for t, _ in parse(f"<article><p>before</p>{h}<p>after</p></article>")] == ["before", "after"], h
+
+
+def test_both_ways_to_the_templates(spark, monkeypatch):
+    rows = [(i, f"https://{'ab'[i % 7 == 0]}.example.com/p", page(i, "Body of page", f"Share {i % 3}")) for i in range(60)] + [(99, None, page(99, "Alone"))]
+    few = texts(spark, rows)
+    monkeypatch.setattr(html_text, "SENT", 0)
+    assert texts(spark, rows) == few and dict(few)[4] == "Body of page 4" and dict(few)[99].startswith("Share")
+
+
+def test_query(spark, tmp_path):
+    rows = [(i, f"https://a.example.com/{i}", f"<nav>m</nav><article><p>Text 😀 {i}</p></article>") for i in range(6)] + [(7, None, None)]
+    spark.createDataFrame([(*r, *EXTRA) for r in rows], PAGES).write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: tuple(r)[1:] for r in html_text.op5_html_text(spark, str(tmp_path)).collect()}
+    assert got == {**{i: (f"https://a.example.com/{i}", f"Text 😀 {i}", 8) for i in range(6)}, 7: (None, "", 0)}
+
+
 def page(i, body, share="Share this with friends"):
     return f"<html><body><div><span>{share}</span></div><div><p>{body} {i}</p><p>Same closing words</p></div><div><p>Site notice for all</p></div></body></html>"
 
