@@ -18,7 +18,7 @@ from maskwright.sources import fixed_values as fixed
 from maskwright.sources.catalog import default_catalog, load_catalog
 from maskwright.sources.spans import ner_spans_in, valid_documents
 from maskwright.sources.spans import ner_spans_rejected as span_rejects
-from maskwright.streaming.redact_stream import start_text_sink
+from maskwright.streaming.redact_stream import Wait, start_joined_sink, start_text_sink
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOG = default_catalog()
@@ -412,6 +412,28 @@ def redact_stream(spark, sf):
     return spark.read.parquet(f"{path}/out").select("doc_id", "redacted_text")
 
 
+def redact_span_stream(spark, sf):
+    """Notes and their recogniser spans as two streams, the spans found up to two seconds later; a row of a later day lets all leave."""
+    path = sinks.scratch_path(spark, "span-stream")
+    at = F.timestamp_seconds(F.col("doc_id") + 86_400)
+    notes = st.notes(spark, sf)
+    spans = st.ner_rows(notes).withColumn("found_at", F.timestamp_seconds(F.col("doc_id") + 86_400 + F.pmod(F.col("start"), F.lit(3))))
+    end = F.timestamp_seconds(F.lit(10**11))
+    sides = {
+        "docs": notes.select("doc_id", at.alias("at"), "text"),
+        "spans": spans.select("doc_id", F.col("start").cast("long"), F.col("end").cast("long"), "label", "score", "found_at"),
+    }
+    streams = []
+    for name, df in sides.items():
+        last = spark.range(1).select(*[end.alias(c) if k == "timestamp" else F.lit(-1).cast(k).alias(c) if c == "doc_id" else F.lit(None).cast(k).alias(c) for c, k in df.dtypes])
+        df.write.parquet(f"{path}/{name}/part=0")
+        last.coalesce(1).write.parquet(f"{path}/{name}/part=1")
+        streams.append(spark.readStream.schema(df.schema).parquet(f"{path}/{name}/part=*"))
+    for query in start_joined_sink(*streams, f"{path}/out", f"{path}/state", Wait("2 seconds", "1 second")):
+        query.awaitTermination()
+    return spark.read.parquet(f"{path}/out/redacted").filter("doc_id >= 0").select("doc_id", "redacted_text")
+
+
 # --- label data --------------------------------------------------------------
 
 def sanitize_bio(spark, sf):
@@ -581,7 +603,7 @@ def queries() -> dict[str, Query]:
         all_spans, span_order, overlap_groups, overlap_winner, false_positive_filter, merge_person, merge_address,
         final_spans, span_funnel, span_funnel_total, span_funnel_observed, canonical_label, drop_ignore, placeholder_number,
         placeholder_format, redact_text, restore_text, restore_labels, unrestored, entity_rows, placeholder_map, redaction_response, entity_reveal,
-        ner_spans_rejected, redact_damaged_spans, catalog_files, entity_counts, entity_counts_by_source, entity_counts_cube, size_class, redact_stream, sanitize_bio, label_order, label_vocab,
+        ner_spans_rejected, redact_damaged_spans, catalog_files, entity_counts, entity_counts_by_source, entity_counts_cube, size_class, redact_stream, redact_span_stream, sanitize_bio, label_order, label_vocab,
         encode_labels, has_pii_flag, spans_to_bio, split_random, split_stratified, pseudo_label_filter,
         pseudo_label_limit, pseudo_label_rows, pseudo_label_stats, cap_by_ratio, oversample, augment_swapcase, joint_mix, sequential_mix,
         align_subwords, truncate_tokens, split_sizes, split_table, eval_sets, decode_predictions, bio_entities, ner_scores_overall,

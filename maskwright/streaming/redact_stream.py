@@ -43,7 +43,8 @@ def with_spans(docs: DataFrame, spans: DataFrame, wait: Wait = Wait()) -> DataFr
 
     A document leaves once no more span can be found for it, with those found in time, or with none. The join holds
     documents for the time of ``wait`` and spans likewise; then one document's spans are gathered, as in the batch.
-    ``(doc_id, at)`` is a document's key; of several texts with one key the least is taken. Append mode.
+    ``(doc_id, at)`` is a document's key; of several texts with one key the least is taken. Rows at or before the watermark,
+    which begins at 1970, are late. Append mode.
     """
     left, right, met = _sides(docs.select("doc_id", "at", "text"), spans, wait)
     back = F.negative(F.col("end").try_cast("int"))
