@@ -342,6 +342,7 @@ def oracle_sql() -> dict[str, str]:
         "redact_damaged_spans": with_(damaged, final="SELECT doc_id, redacted_text FROM rewritten"),
         "ner_spans_in": q('SELECT doc_id, start, "end", label, score FROM ner'),
         "sink_labels": q("SELECT label, id FROM union_vocab"),
+        "sink_labels_all": q("SELECT unnest(['labels', 'label2id', 'id2label']) AS sink, id, label FROM union_vocab"),
         "sink_metrics": q("SELECT * FROM report_rows"),
         "regex_spans": q(f"SELECT {few} FROM ({rule_rows('masked', 'src, doc_id', CATALOG.rules)})"),
         "context_spans": q(f"SELECT {few} FROM ({key_rows('masked', 'src, doc_id', CATALOG.keys)})"),

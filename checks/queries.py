@@ -172,6 +172,17 @@ def sink_labels(spark, sf):
     return spark.read.schema("label string, id int").json(f"{path}/label2id")
 
 
+def sink_labels_all(spark, sf):
+    """The ordered list and both maps, as written."""
+    path = sinks.scratch_path(spark, "labels")
+    sinks.write_labels(label_vocab(spark, sf), path)
+    # one file, in order
+    listed = spark.read.text(f"{path}/labels").select(F.monotonically_increasing_id().cast("int").alias("id"), F.col("value").alias("label"))
+    maps = [spark.read.schema(schema).json(f"{path}/{name}") for name, schema in (("label2id", "label string, id int"), ("id2label", "id int, label string"))]
+    parts = [df.select(F.lit(name).alias("sink"), "id", "label") for name, df in zip(("labels", "label2id", "id2label"), (listed, *maps), strict=True)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def sink_metrics(spark, sf):
     path = sinks.scratch_path(spark, "metrics")
     scores = ner_report(spark, sf)
@@ -599,7 +610,7 @@ def ner_report(spark, sf):
 def queries() -> dict[str, Query]:
     plain = [
         docs_valid, rule_catalog, context_catalog, label_synonyms, tagged_corpus_load, conll_load, paragraph_chunks,
-        sink_redacted, sink_labels, sink_metrics, regex_spans, context_spans, ner_label_normalise, org_context_boost,
+        sink_redacted, sink_labels, sink_labels_all, sink_metrics, regex_spans, context_spans, ner_label_normalise, org_context_boost,
         all_spans, span_order, overlap_groups, overlap_winner, false_positive_filter, merge_person, merge_address,
         final_spans, span_funnel, span_funnel_total, span_funnel_observed, canonical_label, drop_ignore, placeholder_number,
         placeholder_format, redact_text, restore_text, restore_labels, unrestored, entity_rows, placeholder_map, redaction_response, entity_reveal,

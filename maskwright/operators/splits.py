@@ -62,7 +62,7 @@ def assign_splits(
     """Add ``split``: train, validation or test; ``stratify`` names a boolean column.
 
     ``key`` must be unique. A row without a stratum is an error. With one stratum
-    only, the split is not stratified. One bucket of a cut is sorted in one task: rows / 65,536 of them.
+    only, the split is not stratified. The cuts are found when the split is asked for, so derived tables should be stored before. One bucket of a cut is sorted in one task: rows / 65,536 of them.
     """
     check_ratios(val, test)
     if stratify and dict(df.dtypes)[stratify] != "boolean":
@@ -102,16 +102,14 @@ def assign_splits(
             F.max(F.when(F.col("which") == "validation", F.col("h"))).alias("_validation"),
         )
     )
-    h = random_key(key, seed)
-    return (
-        df.withColumn("stratum", stratum)
-        .join(F.broadcast(cuts), "stratum", "left")
-        .withColumn(
-            "split",
-            F.when(h <= F.col("_test"), "test").when(h <= F.col("_validation"), "validation").otherwise("train"),
-        )
-        .drop("stratum", "_test", "_validation")
-    )
+    # found now, one row a stratum and two strata at most: the split is then a comparison with literals, a plan without a join
+    h, of = random_key(key, seed), (F.col(stratify).cast("int") if stratify else F.lit(0))
+    split = F.when(of.isNull(), F.raise_error(F.lit(f"a row without {stratify}")))
+    for r in cuts.collect():
+        for name, cut in (("test", r["_test"]), ("validation", r["_validation"])):
+            if cut is not None:
+                split = split.when((of == F.lit(r["stratum"])) & (h <= F.lit(cut)), name)
+    return df.withColumn("split", split.otherwise("train"))
 
 
 def hash_splits(df: DataFrame, key: str = "sent_id", val: float = 0.1, test: float = 0.1, seed: int = 42) -> DataFrame:
