@@ -380,6 +380,7 @@ def oracle_sql() -> dict[str, str]:
         "encode_labels": q(vocab_tags("ner_tags")),
         "has_pii_flag": q("SELECT sent_id, bool_or(tag <> 'O') AS has_pii FROM tagged GROUP BY 1"),
         "spans_to_bio": q("SELECT sent_id, tokens, labels FROM pii_sents"),
+        "interval_tags": q("SELECT sent_id, CAST(no AS BIGINT) AS no, word, tag FROM tagged"),
         "split_random": q("SELECT sent_id, split FROM pii_split"),
         "pseudo_label_filter": q("SELECT sent_id, tokens, labels FROM pseudo_sents"),
         "pseudo_label_limit": q("SELECT sent_id, CAST(n_tokens AS INT) AS n_tokens FROM limited"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from checks import standins as st
 from maskwright.functions import bio
 from maskwright.functions import text as tx
-from maskwright.operators import adjudicate, detect, evaluate, labels, mixes, redact, restore, splits
+from maskwright.operators import adjudicate, detect, evaluate, interval, labels, mixes, redact, restore, splits
 from maskwright.plans.redaction import entity_cube, entity_totals, funnel, observed, redact_documents
 from maskwright.sources import corpora, sinks
 from maskwright.sources import fixed_values as fixed
@@ -476,6 +476,15 @@ def spans_to_bio(spark, sf):
     return st.tagged_notes(spark, sf).select("sent_id", *joined("tokens", "labels"))
 
 
+def interval_tags(spark, sf):
+    """The same tags from stored words and stored spans."""
+    found = sinks.as_table(st.adjudicated(spark, sf).select("doc_id", "text", "final"), "final")
+    words = sinks.as_table(interval.word_rows(found), "words")
+    spans = found.select("doc_id", F.posexplode_outer("final").alias("ord", "s")).filter("s is not null")
+    rows = interval.tag_rows(words, spans.select("doc_id", "ord", "s.start", "s.end", "s.label"))
+    return rows.select(F.col("doc_id").alias("sent_id"), F.col("no").cast("long").alias("no"), "word", "tag")
+
+
 def split_random(spark, sf):
     return st.split_notes(spark, sf).select("sent_id", "split")
 
@@ -615,7 +624,7 @@ def queries() -> dict[str, Query]:
         final_spans, span_funnel, span_funnel_total, span_funnel_observed, canonical_label, drop_ignore, placeholder_number,
         placeholder_format, redact_text, restore_text, restore_labels, unrestored, entity_rows, placeholder_map, redaction_response, entity_reveal,
         ner_spans_rejected, redact_damaged_spans, catalog_files, entity_counts, entity_counts_by_source, entity_counts_cube, size_class, redact_stream, redact_span_stream, sanitize_bio, label_order, label_vocab,
-        encode_labels, has_pii_flag, spans_to_bio, split_random, split_stratified, pseudo_label_filter,
+        encode_labels, has_pii_flag, spans_to_bio, interval_tags, split_random, split_stratified, pseudo_label_filter,
         pseudo_label_limit, pseudo_label_rows, pseudo_label_stats, cap_by_ratio, oversample, augment_swapcase, joint_mix, sequential_mix,
         align_subwords, truncate_tokens, split_sizes, split_table, eval_sets, decode_predictions, bio_entities, ner_scores_overall,
         ner_scores_by_type, ner_macro_f1, ner_report,
