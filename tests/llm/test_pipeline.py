@@ -45,5 +45,5 @@ def test_stages_take_effect(spark, tmp_path):
 
 def test_all_operators_are_registered():
     names = list(queries.queries())
-    assert [n.split("_")[0] for n in names] == ["pipeline", *[f"op{i}" for i in range(1, 11)]]
+    assert [n.split("_")[0] for n in names] == ["pipeline", *[f"op{i}" for i in range(1, 14)]]
     assert set(queries.oracle_sql()) <= set(names) and corpus_pipeline.ORACLE_SQL is None
