@@ -22,14 +22,17 @@ def word_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
 
 
 def overlaps(left: DataFrame, right: DataFrame, key: str = "doc_id", width: int = BIN) -> DataFrame:
-    """All pairs of rows of one document whose ranges ``start`` to ``end`` (exclusive) overlap; empty and null ranges meet nothing.
+    """All pairs of rows of one document with ``left.start < right.end and left.end > right.start``; null and reversed ranges meet nothing.
+
+    So touching ranges do not overlap, and an empty one overlaps what it lies within.
 
     Columns besides ``key`` must differ, but for ``start`` and ``end``, which are not kept.
     """
     def binned(df: DataFrame, own: str) -> DataFrame:
         rest = [c for c in df.columns if c not in (key, "start", "end")]
-        low, high = F.floor(F.col("start") / width), F.floor((F.col("end") - 1) / width)
-        placed = df.filter(F.col("start") < F.col("end")).select(
+        low = F.floor(F.col("start") / width)
+        high = F.greatest(low, F.floor((F.col("end") - 1) / width))
+        placed = df.filter(F.col("start") <= F.col("end")).select(
             key, *rest, F.col("start").alias(f"_s{own}"), F.col("end").alias(f"_e{own}"), low.alias(f"_b{own}"), F.explode(F.sequence(low, high)).alias("_bin")
         )
         return placed
