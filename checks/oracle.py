@@ -347,6 +347,9 @@ def oracle_sql() -> dict[str, str]:
         "regex_spans": q(f"SELECT {few} FROM ({rule_rows('masked', 'src, doc_id', CATALOG.rules)})"),
         "context_spans": q(f"SELECT {few} FROM ({key_rows('masked', 'src, doc_id', CATALOG.keys)})"),
         "ner_label_normalise": q('SELECT doc_id, start, "end", text, label, score FROM recognised'),
+        "synonym_table": """SELECT o_orderkey, coalesce(c_mktsegment, upper(label)) AS label FROM (
+          SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'client#' ELSE 'customer#' END || lpad(o_custkey::VARCHAR, 9, '0') AS label FROM orders)
+          LEFT JOIN customer ON upper(c_name) = upper(label)""",
         "org_context_boost": q("SELECT doc_id, start, \"end\", text, specificity FROM recognised WHERE label = 'ORG'"),
         "all_spans": q('SELECT doc_id, start, "end", text, label, source, specificity FROM candidates'),
         "span_order": q('SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start, "end" DESC, ord) AS INT) AS rank, start, "end", label, specificity FROM candidates'),

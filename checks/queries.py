@@ -16,6 +16,7 @@ from maskwright.plans.redaction import entity_cube, entity_totals, funnel, obser
 from maskwright.sources import corpora, sinks
 from maskwright.sources import fixed_values as fixed
 from maskwright.sources.catalog import default_catalog, load_catalog
+from maskwright.sources.names import canonical_rows, invert
 from maskwright.sources.spans import ner_spans_in, valid_documents
 from maskwright.sources.spans import ner_spans_rejected as span_rejects
 from maskwright.streaming.redact_stream import Wait, start_joined_sink, start_text_sink
@@ -225,6 +226,17 @@ def ner_label_normalise(spark, sf):
     return _recognised(spark, sf).select("doc_id", "start", "end", "text", "label", "score")
 
 
+def synonym_table(spark, sf):
+    """Orders labelled by their customers' names, mapped to market segments by a table of all customers; every tenth has another name."""
+    lists = spark.read.parquet(f"{sf}/customer.parquet").select(
+        F.col("c_mktsegment").alias("canonical"), F.array(F.lower("c_name")).alias("names"), F.col("c_custkey").alias("pos")
+    )
+    number = F.lpad(F.col("o_custkey").cast("string"), 9, "0")
+    label = F.concat(F.when(F.col("o_orderkey") % 10 == 0, "client#").otherwise("customer#"), number)
+    rows = st.table(spark, sf, "orders").select("o_orderkey", label.alias("label"))
+    return canonical_rows(rows, sinks.as_table(invert(lists), "names"))
+
+
 def org_context_boost(spark, sf):
     return _recognised(spark, sf).filter("label = 'ORG'").select("doc_id", "start", "end", "text", "specificity")
 
@@ -619,7 +631,7 @@ def ner_report(spark, sf):
 def queries() -> dict[str, Query]:
     plain = [
         docs_valid, rule_catalog, context_catalog, label_synonyms, tagged_corpus_load, conll_load, paragraph_chunks,
-        sink_redacted, sink_labels, sink_labels_all, sink_metrics, regex_spans, context_spans, ner_label_normalise, org_context_boost,
+        sink_redacted, sink_labels, sink_labels_all, sink_metrics, regex_spans, context_spans, ner_label_normalise, synonym_table, org_context_boost,
         all_spans, span_order, overlap_groups, overlap_winner, false_positive_filter, merge_person, merge_address,
         final_spans, span_funnel, span_funnel_total, span_funnel_observed, canonical_label, drop_ignore, placeholder_number,
         placeholder_format, redact_text, restore_text, restore_labels, unrestored, entity_rows, placeholder_map, redaction_response, entity_reveal,
