@@ -367,6 +367,7 @@ def oracle_sql() -> dict[str, str]:
         "placeholder_number": q("SELECT doc_id, start, label, number FROM marks"),
         "placeholder_format": q("SELECT doc_id, start, placeholder FROM marks"),
         "redact_text": q("SELECT doc_id, redacted_text FROM rewritten"),
+        "redact_bucketed": q("SELECT doc_id, redacted_text FROM rewritten"),
         "redact_span_stream": q("SELECT doc_id, redacted_text FROM rewritten"),
         "entity_rows": q("SELECT doc_id, entity_no, type, placeholder, value_preview, confidence FROM entities"),
         "placeholder_map": q("SELECT doc_id, placeholder, text AS original FROM marks"),

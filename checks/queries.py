@@ -15,6 +15,7 @@ from maskwright.operators import adjudicate, detect, evaluate, interval, labels,
 from maskwright.plans.redaction import entity_cube, entity_totals, funnel, observed, redact_documents
 from maskwright.sources import corpora, sinks
 from maskwright.sources import fixed_values as fixed
+from maskwright.sources.bucketed import scratch_bucketed
 from maskwright.sources.catalog import default_catalog, load_catalog
 from maskwright.sources.names import canonical_rows, invert
 from maskwright.sources.spans import ner_spans_in, valid_documents
@@ -31,6 +32,7 @@ CAP_RATIO = 0.5
 FACTOR = 2.5
 MIX = {"pseudo_ratio": 0.02, "general_ratio": 0.05, "factor": 1.5, "augment": True}
 TOKENS_KEPT = 8
+BUCKETS = 8
 READABLE = ["EMAIL", "PERSON"]
 PIECE = 4  # letters per sub-word piece
 REGEX_KEYS = [
@@ -347,6 +349,13 @@ def redact_text(spark, sf):
     return _response(spark, sf).select("doc_id", "redacted_text")
 
 
+def redact_bucketed(spark, sf):
+    """Notes and their recogniser spans stored in buckets by document, and redacted in place."""
+    notes = st.notes(spark, sf)
+    docs, spans = scratch_bucketed(notes, "notes", BUCKETS), scratch_bucketed(st.ner_rows(notes), "spans", BUCKETS)
+    return redact_documents(docs, ner_spans=spans).select("doc_id", "redacted_text")
+
+
 def redact_documents_text(spark, sf):
     return redact_documents(st.table(spark, sf, "documents")).select("doc_id", "redacted_text")
 
@@ -634,7 +643,7 @@ def queries() -> dict[str, Query]:
         sink_redacted, sink_labels, sink_labels_all, sink_metrics, regex_spans, context_spans, ner_label_normalise, synonym_table, org_context_boost,
         all_spans, span_order, overlap_groups, overlap_winner, false_positive_filter, merge_person, merge_address,
         final_spans, span_funnel, span_funnel_total, span_funnel_observed, canonical_label, drop_ignore, placeholder_number,
-        placeholder_format, redact_text, restore_text, restore_labels, unrestored, entity_rows, placeholder_map, redaction_response, entity_reveal,
+        placeholder_format, redact_text, redact_bucketed, restore_text, restore_labels, unrestored, entity_rows, placeholder_map, redaction_response, entity_reveal,
         ner_spans_rejected, redact_damaged_spans, catalog_files, entity_counts, entity_counts_by_source, entity_counts_cube, size_class, redact_stream, redact_span_stream, sanitize_bio, label_order, label_vocab,
         encode_labels, has_pii_flag, spans_to_bio, interval_tags, split_random, split_stratified, pseudo_label_filter,
         pseudo_label_limit, pseudo_label_rows, pseudo_label_stats, cap_by_ratio, oversample, augment_swapcase, joint_mix, sequential_mix,
