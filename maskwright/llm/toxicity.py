@@ -5,7 +5,9 @@ tell the classes apart in the training rows enter the machine: a weight each,
 and a vector each whose products are the weights of pairs, so that a term can
 count otherwise next to another one than alone.
 
-Labels are learned from a bounded sample of labelled rows (PER_CLASS a class).
+Labels are learned from a bounded sample of labelled rows (PER_CLASS a class), and
+of the terms that pass SCORE and SEEN the machine takes the MOST best ones: its size, not
+the texts that are read, is bounded by that.
 Term counts of that sample are aggregated in Spark; the driver gets the chosen
 terms and, of each sampled text, the chosen terms it has. Scoring reads whole
 texts in one pass without a shuffle.
