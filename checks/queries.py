@@ -438,7 +438,8 @@ def size_class(spark, sf):
 def redact_stream(spark, sf):
     """Documents streamed from files to files in one run, and read back."""
     schema = st.table(spark, sf, "documents").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    # a table is one file or a folder of files; the pattern is met by either
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/documents.parque[t]")
     path = sinks.scratch_path(spark, "stream")
     start_text_sink(stream, f"{path}/out", f"{path}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{path}/out").select("doc_id", "redacted_text")
