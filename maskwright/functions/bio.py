@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from maskwright.functions import text as tx
 
 IGNORED = -100  # label id of positions that carry no label
+PAIRS = 1024  # words times spans up to which tag_words() compares all of them
 
 
 def prefix(tag: Column) -> Column:
@@ -120,10 +121,28 @@ def ranks(points: Column, queries: Column, inclusive: bool) -> Column:
         F.transform(points, lambda p: F.struct(p.alias("at"), F.lit(point).alias("kind"), F.lit(0).alias("i"))),
         F.transform(queries, lambda q, i: F.struct(q.alias("at"), F.lit(query).alias("kind"), i.alias("i"))),
     )
-    placed = F.transform(F.array_sort(events), lambda e, pos: F.struct(e["i"].alias("i"), e["kind"].alias("kind"), pos.alias("pos")))
+    placed = F.transform(F.sort_array(events), lambda e, pos: F.struct(e["i"].alias("i"), e["kind"].alias("kind"), pos.alias("pos")))
     asked = F.filter(placed, lambda e: e["kind"] == query)
     counted = F.transform(asked, lambda e, j: F.struct(e["i"].alias("i"), (e["pos"] - j).alias("n")))
-    return F.transform(F.array_sort(counted), lambda e: e["n"])
+    return F.transform(F.sort_array(counted), lambda e: e["n"])
+
+
+def _tags_by_pair(words: Column, spans: Column) -> Column:
+    """The raw tags of tag_words() where few words meet few spans: each word looks for the last span that touches it."""
+    lowest = F.lit(-(2**31))
+
+    def tag(w: Column, i: Column) -> Column:
+        touching = F.filter(
+            spans, lambda s: (w["end"] > F.coalesce(s["start"], lowest)) & (w["start"] < F.coalesce(s["end"], lowest))
+        )
+
+        def of_last(s: Column) -> Column:
+            first = (i == 0) | (tx.before(words, i)["end"] <= F.coalesce(s["start"], lowest))
+            return F.concat(F.when(first, F.lit("B-")).otherwise(F.lit("I-")), s["label"])
+
+        return tx.let(touching, lambda t: F.when(F.size(t) > 0, tx.let(F.element_at(t, -1), of_last)).otherwise(F.lit("O")))
+
+    return F.transform(words, tag)
 
 
 def tag_words(words: Column, spans: Column) -> Column:
@@ -146,7 +165,7 @@ def tag_words(words: Column, spans: Column) -> Column:
             return F.when(first <= last, tags).otherwise(F.array().cast("array<struct<word:int,turn:int,tag:string>>"))
 
         plain = F.transform(words, lambda w, i: F.struct(i.alias("word"), F.lit(1).alias("turn"), F.lit("O").alias("tag")))
-        return F.array_sort(F.concat(F.flatten(F.transform(spans, of_span)), plain))
+        return F.sort_array(F.concat(F.flatten(F.transform(spans, of_span)), plain))
 
     bounds = F.struct(
         ranks(F.transform(words, lambda w: w["end"]), F.transform(spans, lambda s: s["start"]), inclusive=True).alias("first"),
@@ -158,4 +177,6 @@ def tag_words(words: Column, spans: Column) -> Column:
             F.filter(all_tags, lambda t, i: (i == 0) | (tx.before(all_tags, i)["word"] != t["word"])), lambda t: t["tag"]
         ),
     )
-    return F.when(F.size(spans) > 0, tx.let(tagged, sanitize)).otherwise(F.transform(words, lambda w: F.lit("O")))
+    few = F.size(words) * F.size(spans) <= PAIRS
+    tags = F.when(few, _tags_by_pair(words, spans)).otherwise(tagged)
+    return F.when(F.size(spans) > 0, tx.let(tags, sanitize)).otherwise(F.transform(words, lambda w: F.lit("O")))

@@ -23,6 +23,9 @@ CHUNK = 1 << CHUNK_BITS
 # Block length of running_totals().
 BLOCK = 256
 
+# In marked texts of up to this many bytes, offsets are counted from the beginning each time: one native call.
+SHORT = 1024
+
 # Python's str classes, spelled out for java.util.regex.
 WORD = r"\p{L}\p{N}_"
 SPACE = r"\t-\r\x1c-\x20\x85\p{Z}"
@@ -37,9 +40,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and hand it to ``body``.
 
     A plain Python variable would repeat the whole expression at each use, and
-    inside a lambda once per array element.
+    inside a lambda once per array element. It is the end of an aggregate without
+    elements: transform() of a one-element array does the same, but copies the result.
     """
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return F.aggregate(F.array().cast("array<int>"), value, lambda acc, _: acc, body)
 
 
 def item(array: Column, i: Column) -> Column:
@@ -168,6 +172,11 @@ def marked(text: Column, regex: str, mark: Column) -> Column:
     return F.regexp_replace(text, F.lit(regex), F.concat(mark, F.lit("$0"), mark))
 
 
+def is_short(marked_text: Column, mark: Column) -> Column:
+    """Whether offsets in a marked text may be counted from its beginning: few bytes, marks of one."""
+    return (F.octet_length(marked_text) <= SHORT) & (F.octet_length(mark) == 1)
+
+
 def odd_items(pieces: Column, item: Callable[[Column], Column]) -> Column:
     """``item(i)`` for the match positions 1, 3, 5, ... of a split marked text."""
     return F.transform(F.sequence(F.lit(1), F.size(pieces) - 2, F.lit(2)), item)
@@ -210,7 +219,7 @@ def sql_literal(value: str) -> str:
 
 def sql_let(value: str, name: str, body: str) -> str:
     """let() in SQL."""
-    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+    return f"aggregate(CAST(array() AS ARRAY<INT>), {value}, ({name}, _e) -> {name}, {name} -> {body})"
 
 
 def sql_running_totals(values: str) -> str:
@@ -226,12 +235,18 @@ def sql_running_totals(values: str) -> str:
     return sql_let(values, "vals", f"CASE WHEN size(vals) <= {BLOCK} THEN {within('vals')} ELSE {by_block} END")
 
 
+def sql_chunks(text: str) -> str:
+    """chunks() in SQL."""
+    return f"CASE WHEN octet_length({text}) BETWEEN 1 AND {CHUNK} THEN array({text}) ELSE regexp_extract_all({text}, '(?s).{{1,{CHUNK}}}', 0) END"
+
+
 def sql_cut(pieces: str, start: str, length: str) -> str:
     """cut() in SQL, for a positive length."""
     first = f"shiftright({start}, {CHUNK_BITS})"
     last = f"shiftright({start} + {length} - 1, {CHUNK_BITS})"
     near = f"array_join(slice({pieces}, {first} + 1, {last} - {first} + 1), '')"
-    return f"substring({near}, {start} - shiftleft({first}, {CHUNK_BITS}) + 1, {length})"
+    far = f"substring({near}, {start} - shiftleft({first}, {CHUNK_BITS}) + 1, {length})"
+    return f"CASE WHEN size({pieces}) = 1 THEN substring(element_at({pieces}, 1), {start} + 1, {length}) ELSE {far} END"
 
 
 def sql_mark(text: str) -> str:
@@ -242,7 +257,8 @@ def sql_mark(text: str) -> str:
 
 def chunks(text: Column) -> Column:
     """The text as an array of CHUNK-long pieces (the last may be shorter)."""
-    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    n = F.octet_length(text)
+    return F.when((n > 0) & (n <= CHUNK), F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)))
 
 
 def cut(pieces: Column, start: Column, length: Column) -> Column:
@@ -250,8 +266,10 @@ def cut(pieces: Column, start: Column, length: Column) -> Column:
     first = F.shiftright(start, CHUNK_BITS)
     last = F.shiftright(start + length - 1, CHUNK_BITS)
     near = F.array_join(F.slice(pieces, first + 1, last - first + 1), "")
-    return F.when(length <= 0, F.lit("")).otherwise(
-        F.substring(near, start - F.shiftleft(first, CHUNK_BITS) + 1, length)
+    return (
+        F.when(length <= 0, F.lit(""))
+        .when(F.size(pieces) == 1, F.substring(F.element_at(pieces, 1), start + 1, length))
+        .otherwise(F.substring(near, start - F.shiftleft(first, CHUNK_BITS) + 1, length))
     )
 
 
@@ -267,6 +285,12 @@ def words(text: Column) -> Column:
 
 def words_at(text: Column) -> Column:
     """Words of a text as ``array<struct<start int, end int, word string>>``."""
+    def counted(marked_text: Column, mark: Column, pieces: Column) -> Column:
+        upto = lambda i: F.length(F.call_function("substring_index", marked_text, mark, i)) - i + 1
+        return odd_items(
+            pieces, lambda i: F.struct(upto(i).alias("start"), upto(i + 1).alias("end"), item(pieces, i).alias("word"))
+        )
+
     def placed(pieces: Column) -> Column:
         return let(
             running_totals(F.transform(pieces, lambda p: F.length(p))),
@@ -279,8 +303,11 @@ def words_at(text: Column) -> Column:
         )
 
     none = F.array().cast("array<struct<start:int,end:int,word:string>>")
-    pieces = let(mark_for(text), lambda mark: F.split(marked(text, f"[^{SPACE}]+", mark), mark, -1))
-    return let(pieces, lambda p: F.when(F.size(p) > 1, placed(p)).otherwise(none))
+    by_mark = lambda m, mark: let(
+        F.split(m, mark, -1), lambda p: F.when(F.size(p) <= 1, none).when(is_short(m, mark), counted(m, mark, p)).otherwise(placed(p))
+    )
+    found = let(mark_for(text), lambda mark: let(marked(text, f"[^{SPACE}]+", mark), lambda m: by_mark(m, mark)))
+    return F.when(text.isNotNull(), found).otherwise(none)
 
 
 def each(df: DataFrame, *keep: str, **arrays: Column) -> DataFrame:

@@ -5,7 +5,7 @@ growing accumulator, so documents with very many spans stay cheap:
 
 * overlap groups compare the i-th smallest end with the i-th start: a span that
   starts where all earlier spans have ended opens a group,
-* winners are array_max() over the slice of a group,
+* winners are array_max() over the ranks of a group's slice,
 * merges depend on neighbouring pairs only, so merged runs are slices as well.
 """
 
@@ -23,7 +23,7 @@ from maskwright.sources import fixed_values as fixed
 
 def ordered(spans: Column) -> Column:
     """Spans by start, longest first, then insertion order."""
-    return F.array_sort(spans)
+    return F.sort_array(spans)
 
 
 def _heads(items: Column, opens) -> Column:
@@ -41,7 +41,7 @@ def _runs(items: Column, heads: Column) -> Column:
 
 def overlap_groups(sorted_spans: Column) -> Column:
     """Transitive overlap groups of ordered() spans; touching spans do not overlap."""
-    ends = F.array_sort(F.transform(sorted_spans, lambda s: s["end"]))
+    ends = F.sort_array(F.transform(sorted_spans, lambda s: s["end"]))
     return tx.let(
         ends,
         lambda e: tx.let(
@@ -62,6 +62,27 @@ def winners(groups: Column) -> Column:
     return F.transform(groups, best)
 
 
+def group_winners(sorted_spans: Column) -> Column:
+    """winners(overlap_groups()) of ordered() spans: groups are compared by their ranks, so only the winners are copied."""
+    ends = F.sort_array(F.transform(sorted_spans, lambda s: s["end"]))
+    ranks = F.transform(sorted_spans, lambda s, i: F.struct(s["specificity"], s["end"] - s["start"], F.negative(i).alias("at")))
+
+    def chosen(heads: Column, rank: Column) -> Column:
+        def best(h: Column, j: Column) -> Column:
+            n = F.coalesce(tx.item(heads, j + 1), F.size(rank) + 1) - h
+            return F.when(n == 1, h).otherwise(1 - F.array_max(F.slice(rank, h, n))["at"])
+
+        return F.transform(heads, lambda h, j: F.element_at(sorted_spans, best(h, j)))
+
+    return tx.let(
+        ends,
+        lambda e: tx.let(
+            _heads(sorted_spans, lambda s, i: (i == 0) | (tx.before(e, i) <= s["start"])),
+            lambda heads: tx.let(ranks, lambda rank: chosen(heads, rank)),
+        ),
+    )
+
+
 def drop_false_positives(spans: Column) -> Column:
     """Drop spans whose text is never an entity of their label."""
     def known(s: Column) -> Column:
@@ -130,7 +151,9 @@ def merge_neighbours(spans: Column, text: Column, person: bool = True, address:
 
         return tx.let(
             _heads(spans, opens),
-            lambda heads: F.transform(_runs(spans, heads), lambda run: merge(pieces, run)),
+            lambda heads: F.when(F.size(heads) == F.size(spans), spans).otherwise(
+                F.transform(_runs(spans, heads), lambda run: merge(pieces, run))
+            ),
         )
 
     return F.when(F.size(spans) > 1, tx.let(tx.chunks(text), with_pieces)).otherwise(spans)
@@ -141,8 +164,7 @@ def final_spans(spans: Column, text: Column) -> Column:
     found = tx.let(
         ordered(spans),
         lambda s: tx.let(
-            overlap_groups(s),
-            lambda g: tx.let(drop_false_positives(winners(g)), lambda w: merge_neighbours(w, text)),
+            group_winners(s), lambda k: tx.let(drop_false_positives(k), lambda w: merge_neighbours(w, text))
         ),
     )
     return F.when(F.size(spans) > 0, found).otherwise(no_spans())

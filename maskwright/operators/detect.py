@@ -88,14 +88,15 @@ def text_spans(text: str, rules: list[TextRule]) -> Column:
         f"CASE WHEN octet_length({t}) = length({t}) THEN {by_rule(True, True)} "
         f"WHEN NOT rlike({t}, {odd}) THEN {by_rule(True)} ELSE {by_rule(False)} END"
     )
-    one_span = _sql_span(
-        "element_at(starts, i + 1)", "element_at(starts, i + 2)", "element_at(pieces, i + 1)",
-        "m.label", "regex", "m.specificity", "m.ord",
-    )
-    placed = tx.sql_let(
-        tx.sql_running_totals("transform(pieces, p -> length(p))"), "starts",
-        f"transform(sequence(1, size(pieces) - 2, 2), i -> {one_span})",
+    def spans_at(start: str, end: str) -> str:
+        one_span = _sql_span(start, end, "element_at(pieces, i + 1)", "m.label", "regex", "m.specificity", "m.ord")
+        return f"transform(sequence(1, size(pieces) - 2, 2), i -> {one_span})"
+
+    totals = tx.sql_let(
+        tx.sql_running_totals("transform(pieces, p -> length(p))"), "starts", spans_at("element_at(starts, i + 1)", "element_at(starts, i + 2)")
     )
+    counted = spans_at("length(substring_index(m.marked, mark, i)) - i + 1", "length(substring_index(m.marked, mark, i + 1)) - i")
+    placed = f"CASE WHEN octet_length(m.marked) <= {tx.SHORT} AND octet_length(mark) = 1 THEN {counted} ELSE {totals} END"
     of_rule = tx.sql_let("split(m.marked, mark, -1)", "pieces", placed)
     found = f"flatten(transform(filter({each}, m -> contains(m.marked, mark)), m -> {of_rule}))"
     return F.expr(tx.sql_let(tx.sql_mark(t), "mark", found))
@@ -181,8 +182,7 @@ def context_spans(text: str, keys: list[ContextKey]) -> Column:
     one_span = _sql_span(
         "f.start", "f.start + length(f.text)", "f.text", "f.key.label", "context", str(fixed.CONTEXT_SPECIFICITY), "f.key.ord"
     )
-    all_chunks = f"regexp_extract_all({t}, '(?s).{{1,{tx.CHUNK}}}', 0)"
-    spans = f"transform(filter({tx.sql_let(all_chunks, 'chunks', values)}, f -> f.text <> ''), f -> {one_span})"
+    spans = f"transform(filter({tx.sql_let(tx.sql_chunks(t), 'chunks', values)}, f -> f.text <> ''), f -> {one_span})"
     some = f"CASE WHEN found IS NULL THEN CAST(array() AS {NO_SPANS}) ELSE {spans} END"
     return F.expr(tx.sql_let(f"lower({t})", "low", tx.sql_let(tx.sql_let(tx.sql_mark("low"), "mark", _found_keys(keys)), "found", some)))
 

@@ -48,7 +48,7 @@ def numbered(shown: Column) -> Column:
 
     labels = F.array_distinct(F.transform(shown, lambda s: s["label"]))
     return F.when(
-        F.size(shown) > 0, F.array_sort(F.flatten(F.transform(labels, of_label)))
+        F.size(shown) > 0, F.sort_array(F.flatten(F.transform(labels, of_label)))
     ).otherwise(F.array().cast(f"array<{MARK}>"))
 
 

@@ -43,7 +43,7 @@ def _judged(text: Column, seats: Column) -> Column:
 
 def _with_seats(redacted: DataFrame, vault: DataFrame, key: str, text: str) -> DataFrame:
     seat = F.struct(F.col("at").try_cast("int").alias("at"), "placeholder", "original")
-    grouped = vault.filter(F.col("placeholder").isNotNull()).groupBy(key).agg(F.array_sort(F.collect_set(seat)).alias("_seats"))
+    grouped = vault.filter(F.col("placeholder").isNotNull()).groupBy(key).agg(F.sort_array(F.collect_set(seat)).alias("_seats"))
     judged = F.when(F.size("_seats") > 0, _judged(F.col(text), F.col("_seats"))).otherwise(F.array().cast(SEATS))
     return redacted.join(grouped, key, "left").withColumn("_seats", judged)
 

@@ -52,7 +52,7 @@ def attach_spans(docs: DataFrame, spans: DataFrame, key: str = "doc_id", name: s
     entry = F.struct("start", F.negative(F.col("end")).alias("_back"), "label", "score")
     grouped = (
         spans.select(key, F.col("start").try_cast("int"), F.col("end").try_cast("int"), "label", F.col("score").cast("double"))
-        .groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_found"))
+        .groupBy(key).agg(F.sort_array(F.collect_list(entry)).alias("_found"))
     )
     found = F.transform(
         "_found",

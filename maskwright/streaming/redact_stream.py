@@ -49,7 +49,7 @@ def with_spans(docs: DataFrame, spans: DataFrame, wait: Wait = Wait()) -> DataFr
     left, right, met = _sides(docs.select("doc_id", "at", "text"), spans, wait)
     back = F.negative(F.col("end").try_cast("int"))
     entry = F.when(F.col("_doc").isNotNull(), F.struct(F.col("start").try_cast("int").alias("start"), back.alias("_back"), "label", F.col("score").cast("double").alias("score")))
-    gathered = left.join(right, met, "left_outer").groupBy("doc_id", "at").agg(F.min("text").alias("text"), F.array_sort(F.collect_list(entry)).alias("_found"))
+    gathered = left.join(right, met, "left_outer").groupBy("doc_id", "at").agg(F.min("text").alias("text"), F.sort_array(F.collect_list(entry)).alias("_found"))
     ner = F.transform(
         "_found", lambda e: F.struct(e["start"].alias("start"), F.negative(e["_back"]).alias("end"), e["label"].alias("label"), e["score"].alias("score"))
     )
