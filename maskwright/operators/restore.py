@@ -78,7 +78,7 @@ def restore(
 def unrestored(redacted: DataFrame, vault: DataFrame, key: str = "doc_id", text: str = "redacted_text") -> DataFrame:
     """``(key, at, placeholder, reason)``: vault rows that restore() passes over."""
     faults = tx.each(_with_seats(redacted, vault, key, text), key, _s=F.filter("_seats", lambda s: s["fault"].isNotNull()))
-    lost = vault.join(redacted.select(key).distinct(), key, "left_anti")
+    lost = vault.join(redacted.select(key), key, "left_anti")
     return faults.select(key, "_s.at", "_s.placeholder", F.col("_s.fault").alias("reason")).unionByName(
         lost.select(key, F.col("at").try_cast("int").alias("at"), "placeholder", F.lit("no such document").alias("reason"))
     )
