@@ -110,3 +110,15 @@ def test_every_id_lies_in_one_piece(spark, monkeypatch):
         assert at <= packing.LENGTH
     assert len(sequences) <= sum(r.length for r in rows) / packing.LENGTH + 2
     assert packing.packed(messy.none(spark), packing.tokenizer_path()).count() == 0
+
+
+def test_runs_of_marks_and_latin_words_take_no_pipeline(monkeypatch):
+    ids = packing.Ids(packing.tokenizer_path())
+    asked, made = [], ids._made
+    monkeypatch.setattr(ids, "_made", lambda new: (asked.extend(new), made(new))[1])
+    texts = ["abc### né: Zoé%% lé,%%% ÉÇé", "a<|endoftext|> é÷ xİ", "." * 40 + "a" + "." * 40, "é.É# ÀB c'est&&& don's$", "x" + "#!" * 6]
+    got = [np.frombuffer(b, "<u4").tolist() for b in ids.of(texts)]
+    assert got == [ids.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    # words of Latin letters, and of a-z with marks behind, are read without the normalizer
+    assert not {w for w in asked if w.decode().isalpha() and w.decode().lower() in ("né", "zoé", "lé", "éçé", "àb")}
+    assert b"abc###" not in asked and b"###" in asked
