@@ -21,6 +21,7 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import heapq
+import json
 import re
 import sys
 import zlib
@@ -40,8 +41,8 @@ from maskwright.sources.sinks import as_table
 LENGTH, GRID, END = 2048, 32, 1
 # documents that a rank block holds, about, and the fewest blocks a length has
 BLOCK, BLOCKS = 1 << 16, 512
-# bytes of text handled at a time; words whose ids a task remembers in each of two generations, and the longest of them
-CHUNK, REMEMBERED, WORD = 1 << 20, 150_000, 64
+# bytes of text handled at a time; words whose ids a task remembers in each of two generations; the longest of them, and of those merged at once
+CHUNK, REMEMBERED, WORD = 1 << 21, 150_000, 64
 # White_Space of Unicode beyond ASCII, which the tokenizer splits at, in UTF-8
 _WIDE = [c.encode() for c in "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"]
 MARKS = b".,:;!?"
@@ -50,6 +51,9 @@ MORE, RUN = b"#$%&*()/+=~^", 8
 # words of Latin letters to U+00FF in UTF-8: all in normal form, and of one small letter each
 _LATIN = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+").fullmatch
 _SMALL = np.array([97 <= b <= 122 for b in range(256)])
+_CAPITAL = np.array([65 <= b <= 90 for b in range(256)])
+# the second bytes of those letters beyond ASCII; below 0x9F they are capitals, 32 before the small ones
+_SECOND = np.array([0x80 <= b <= 0xBF and b not in (0x97, 0xB7) for b in range(256)])
 
 
 def _spaced(data: np.ndarray) -> np.ndarray:
@@ -77,7 +81,6 @@ def _byte_letters() -> dict[int, int]:
 
 _BYTES = _byte_letters()
 
-
 def _plain(data: np.ndarray) -> np.ndarray:
     """Spaced bytes with capitals A-Z as small letters, but for those before a byte beyond ASCII, which may join them in normal form."""
     data = _spaced(data)
@@ -85,20 +88,119 @@ def _plain(data: np.ndarray) -> np.ndarray:
     return np.where(alone, words.LOWER[data], data)
 
 
+class Merges:
+    """The merges of a byte-pair vocabulary with a suffix at word ends, done in many words at once: in each word its first merge, wherever it applies."""
+
+    NONE = np.iinfo(np.int32).max
+    BITS = 18
+
+    def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]], suffix: str):
+        letters = [chr(_BYTES[b]) for b in range(256)]
+        self.inner, self.final = np.array([vocabulary[c] for c in letters], np.int64), np.array([vocabulary[c + suffix] for c in letters], np.int64)
+        self.made = np.array([vocabulary[a + b] for a, b in merges], np.int64)
+        keys = np.array([vocabulary[a] << 32 | vocabulary[b] for a, b in merges], np.uint64)
+        # open addressing; a free place holds a key that no pair has
+        self.keys = np.full(1 << self.BITS, np.iinfo(np.uint64).max, np.uint64)
+        self.ranks = np.full(1 << self.BITS, self.NONE, np.int32)
+        for rank, (key, at) in enumerate(zip(keys.tolist(), self._place(keys).tolist(), strict=True)):
+            while self.ranks[at] != self.NONE:
+                at = (at + 1) % len(self.keys)
+            self.keys[at], self.ranks[at] = key, rank
+
+    @classmethod
+    def of(cls, tokenizer) -> Merges | None:
+        """None for a vocabulary of another kind, or where a merge's parts may be made after it."""
+        model = json.loads(tokenizer.to_str())["model"]
+        suffix, vocabulary = model.get("end_of_word_suffix"), model.get("vocab")
+        if model["type"] != "BPE" or not suffix or model.get("continuing_subword_prefix") or model.get("ignore_merges") or model.get("dropout"):
+            return None
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        known = {chr(c) + end for c in _BYTES.values() for end in ("", suffix)}
+        if not known <= vocabulary.keys() or len(merges) > 1 << cls.BITS - 1:
+            return None
+        for a, b in merges:
+            if a not in known or b not in known or a + b in known or a + b not in vocabulary:
+                return None
+            known.add(a + b)
+        return cls(vocabulary, merges, suffix)
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return (keys * np.uint64(words.BASE) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = (left << 32 | right).astype(np.uint64)
+        at = self._place(keys)
+        out, found = self.ranks[at], self.keys[at]
+        rest = np.flatnonzero((found != keys) & (out != self.NONE))
+        out[found != keys] = self.NONE
+        while len(rest):
+            at[rest] = (at[rest] + 1) % len(self.keys)
+            ranks, found = self.ranks[at[rest]], self.keys[at[rest]]
+            same = found == keys[rest]
+            out[rest[same]] = ranks[same]
+            rest = rest[~same & (ranks != self.NONE)]
+        return out
+
+    def read(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of ``sizes`` bytes, none empty, one after the other, and where each word's ids end."""
+        ids, last = self.inner[data], np.cumsum(sizes) - 1
+        ids[last] = self.final[data[last]]
+        ranks = np.full(len(ids), self.NONE, np.int32)
+        ranks[:-1] = self._rank(ids[:-1], ids[1:])
+        ranks[last] = self.NONE
+        # finished words leave
+        word, left, done = np.arange(len(sizes)), sizes, []
+        while len(word):
+            least = np.minimum.reduceat(ranks, np.cumsum(left) - left)
+            busy = least != self.NONE
+            if not busy.all():
+                inside = np.repeat(busy, left)
+                done.append((word[~busy], left[~busy], ids[~inside]))
+                ids, ranks, word, left, least = ids[inside], ranks[inside], word[busy], left[busy], least[busy]
+                if not len(word):
+                    break
+            hit = ranks == np.repeat(least, left)
+            if (hit[1:] & hit[:-1]).any():
+                # of pairs that overlap the first, third, ...
+                opens = np.flatnonzero(hit & ~np.concatenate(([False], hit[:-1])))
+                at = np.flatnonzero(hit)
+                hit[at[(at - opens[np.searchsorted(opens, at, "right") - 1]) % 2 == 1]] = False
+            at = np.flatnonzero(hit)
+            ids[at] = self.made[ranks[at]]
+            # the end of a word passes to what it is merged into
+            closes = np.zeros(len(ids), bool)
+            closes[np.cumsum(left) - 1] = True
+            closes[at] |= closes[at + 1]
+            keep = np.ones(len(ids), bool)
+            keep[at + 1] = False
+            left = left - np.add.reduceat(hit, np.cumsum(left) - left, dtype=np.int64)
+            ids, ranks, closes, new = ids[keep], ranks[keep], closes[keep], at - np.arange(len(at))
+            again = np.concatenate((new, new[new > 0] - 1))
+            again = again[~closes[again]]
+            ranks[new] = self.NONE
+            ranks[again] = self._rank(ids[again], ids[again + 1])
+        word, left, ids = (np.concatenate(c) for c in zip(*done, strict=True))
+        order = np.argsort(word)
+        ids, ends = words.gather(ids, (np.cumsum(left) - left)[order], left[order])
+        return ids.astype("<u4"), ends[1:]
+
+
 class Ids:
-    """Ids of whole texts; words seen before are not tokenized again.
+    """Ids of whole texts; a chunk's words are tokenized once each.
 
     Rests on what is checked when the tokenizer is loaded: it lower-cases, drops
     white space, joins nothing across it, reads a word of letters a-z as it stands, and parts such a letter from a mark after it. So
     a text's ids are those of its words in a row, and a word's last mark is a word. Words are found
     and told apart on the bytes of a chunk at once; each distinct one is looked up once. Where it is found to do so, it also
-    parts runs of marks from letters, and words of Latin letters are read from their bytes as those of a-z are.
+    parts runs of marks from letters, and words of Latin letters are read from their bytes as those of a-z are. The pairs of
+    such words are merged in all words of a chunk at once; other words' ids are remembered.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = Merges.of(self.tokenizer)
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
         self.mark = self._ids("\x1f")
@@ -144,6 +246,37 @@ class Ids:
         """Ids of a word of letters a-z, which needs no normal form and is not cut."""
         return [t.id for t in self.tokenizer.model.tokenize(word)]
 
+    def _letters(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Which of the words, that lie one after the other, are of letters that are read from their bytes."""
+        good = _SMALL[data]
+        if self.latin:
+            second = np.concatenate(([False], (data[:-1] == 0xC3) & _SECOND[data[1:]])) if len(data) else good
+            good = good | _CAPITAL[data] | second | np.append(second[1:], False)
+        wrong = np.concatenate(([0], np.cumsum(~good)))
+        return wrong[at[1:]] == wrong[at[:-1]]
+
+    def _distinct(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of distinct words: all ids, and where each word's begin and how many they are."""
+        own, at = words.gather(data, starts, sizes)
+        # a long word may take very many merges, one after the other
+        plain = self._letters(own, at) & (sizes <= WORD) if self.merges else np.zeros(len(starts), bool)
+        odd, raw = np.flatnonzero(~plain), own.tobytes()
+        looked_up = self._look_up([raw[a:b] for a, b in zip(at[odd].tolist(), at[odd + 1].tolist(), strict=True)])
+        n = np.zeros(len(starts), np.int64)
+        n[odd] = np.fromiter(map(len, looked_up), np.int64, len(odd)) // 4
+        ids = np.frombuffer(b"".join(looked_up), "<u4")
+        if plain.any():
+            letters = own[np.repeat(plain, sizes)]
+            lead = np.concatenate(([False], letters[:-1] == 0xC3))
+            small = np.where(_CAPITAL[letters] | lead & (letters < 0x9F), letters + np.uint8(32), letters)
+            merged, ends = self.merges.read(small, sizes[plain])
+            n[plain] = np.diff(ends, prepend=0)
+            ids = np.concatenate((merged, ids))
+        begin = np.zeros(len(starts), np.int64)
+        order = np.concatenate((np.flatnonzero(plain), odd))
+        begin[order] = np.cumsum(n[order]) - n[order]
+        return ids, begin, n
+
     def _made(self, new: list[bytes]) -> list[bytes]:
         """Ids of each word, made in one text with a mark between them; words that may hold the mark singly."""
         texts = [w.decode() for w in new]
@@ -201,11 +334,8 @@ class Ids:
         starts, ends = np.where(second, tail, starts), np.where(marked & ~second, tail, ends)
         first = np.searchsorted(both, first)
         one, code = words.distinct(data, starts, ends, words.hash_of(words.prefix_hash(data), starts, ends))
-        raw = data.tobytes()
-        ids = self._look_up([raw[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)])
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        at = np.concatenate(([0], np.cumsum(size)))
-        flat, tops = words.gather(np.frombuffer(b"".join(ids), "<u4"), at[code], size[code])
+        ids, begin, size = self._distinct(data, starts[one], ends[one] - starts[one])
+        flat, tops = words.gather(ids, begin[code], size[code])
         return flat, tops[first]
 
     def of(self, texts: list[str]) -> Iterator[bytes]:

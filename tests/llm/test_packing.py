@@ -122,3 +122,24 @@ def test_runs_of_marks_and_latin_words_take_no_pipeline(monkeypatch):
     # words of Latin letters, and of a-z with marks behind, are read without the normalizer
     assert not {w for w in asked if w.decode().isalpha() and w.decode().lower() in ("né", "zoé", "lé", "éçé", "àb")}
     assert b"abc###" not in asked and b"###" in asked
+
+
+def test_words_of_letters_are_merged_at_once(monkeypatch):
+    ids = packing.Ids(packing.tokenizer_path())
+    singly, bare = [], ids._bare
+    monkeypatch.setattr(ids, "_bare", lambda word: (singly.append(word), bare(word))[1])
+    rng = np.random.default_rng(7)
+    letters = list("aaaeeinostthrlzzABéÀßÿÞœ")
+    texts = [" ".join("".join(rng.choice(letters, rng.integers(1, 40))) for _ in range(50)) for _ in range(200)]
+    texts += ["a" * n + " " + "ss" * n + " b" + "an" * n for n in range(1, 40)] + ["", "x", "É", "ab" * 200 + " cd"]
+    got = [np.frombuffer(b, "<u4").tolist() for b in ids.of(texts)]
+    assert got == [ids.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    # long words only, whose merges are done one by one
+    assert all(len(w) > packing.WORD for w in singly)
+
+
+def test_vocabularies_without_ordered_merges_are_read_word_by_word(monkeypatch):
+    monkeypatch.setattr(packing.Merges, "of", classmethod(lambda cls, tokenizer: None))
+    ids = packing.Ids(packing.tokenizer_path())
+    texts = ["Some plain words, Zoé's ÉÇé a" + "b" * 100, "", "###"]
+    assert [np.frombuffer(b, "<u4").tolist() for b in ids.of(texts)] == [ids.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
