@@ -12,6 +12,7 @@ from maskwright.functions import text as tx
 
 IGNORED = -100  # label id of positions that carry no label
 PAIRS = 1024  # words times spans up to which tag_words() compares all of them
+READ = 16_384  # bytes of text times spans up to which tag_text() reads the text once a span
 
 
 def prefix(tag: Column) -> Column:
@@ -180,3 +181,58 @@ def tag_words(words: Column, spans: Column) -> Column:
     few = F.size(words) * F.size(spans) <= PAIRS
     tags = F.when(few, _tags_by_pair(words, spans)).otherwise(tagged)
     return F.when(F.size(spans) > 0, tx.let(tags, sanitize)).otherwise(F.transform(words, lambda w: F.lit("O")))
+
+
+def _in_order(spans: Column) -> Column:
+    """True if the spans have both offsets, hold text, and each begins where the one before has ended."""
+    def fits(s: Column, i: Column) -> Column:
+        return (s["start"] >= F.when(i == 0, F.lit(0)).otherwise(tx.before(spans, i)["end"])) & (s["start"] < s["end"])
+
+    return ~F.array_contains(F.transform(spans, lambda s, i: F.coalesce(fits(s, i), F.lit(False))), False)
+
+
+def _tags_by_count(text: Column, n: Column, spans: Column) -> Column:
+    """The tags of tag_words() for spans that are _in_order(), from the number of words before each end of a span.
+
+    A run of tags begins with B, so nothing is to be repaired. Only the spans are gone through, not the words.
+    """
+    def bounds(heads: Column, s: Column) -> Column:
+        # no text is longer than READ here
+        start, end = (F.least(s[at], F.lit(READ)).cast("int") for at in ("start", "end"))
+
+        def begun(at: Column) -> Column:
+            """The number of words that begin before an offset."""
+            before = F.substring(heads, F.lit(1), at)
+            return F.length(before) - F.length(F.replace(before, F.lit(tx.MARK), F.lit("")))
+
+        # a word that runs across the start is the first one touched
+        across = F.substring(heads, start + 1, F.lit(1)).rlike(f"[^{tx.SPACE}{tx.MARK}]")
+        return F.struct((begun(start) - across.cast("int")).alias("first"), begun(end).alias("after"), s["label"].alias("label"))
+
+    def run(b: Column, i: Column, runs: Column) -> Column:
+        # a word that two spans touch goes to the later one
+        begin = F.when(i == 0, F.lit(0)).otherwise(F.least(tx.before(runs, i)["after"], b["first"]))
+        end = F.least(b["after"], F.coalesce(tx.item(runs, i + 1)["first"], n))
+        tags = F.concat(
+            F.array_repeat(F.lit("O"), b["first"] - begin),
+            F.array(F.concat(F.lit("B-"), b["label"])), F.array_repeat(F.concat(F.lit("I-"), b["label"]), end - b["first"] - 1),
+        )
+        return F.when(end > b["first"], tags).otherwise(F.array_repeat(F.lit("O"), b["first"] - begin))
+
+    # the text with a mark for the first character of each word
+    heads = F.regexp_replace(text, f"(?<![^{tx.SPACE}])[^{tx.SPACE}]", tx.MARK)
+    return tx.let(
+        tx.let(heads, lambda h: F.transform(spans, lambda s: bounds(h, s))),
+        lambda runs: F.concat(
+            F.flatten(F.transform(runs, lambda b, i: run(b, i, runs))), F.array_repeat(F.lit("O"), n - F.element_at(runs, -1)["after"])
+        ),
+    )
+
+
+def tag_text(text: Column, n: Column, spans: Column) -> Column:
+    """tag_words() of a text of ``n`` words; words are placed only where spans are many or out of order."""
+    few = (F.octet_length(text) * F.size(spans) <= READ) & ~F.contains(text, F.lit(tx.MARK))
+    tags = F.when(few & _in_order(spans), _tags_by_count(text, n, spans)).otherwise(
+        tx.let(F.struct(tx.words_at(text).alias("w"), spans.alias("s")), lambda v: tag_words(v["w"], v["s"]))
+    )
+    return F.when(F.size(spans) > 0, tags).otherwise(F.array_repeat(F.lit("O"), n))

@@ -280,7 +280,7 @@ def strip(text: Column) -> Column:
 
 def words(text: Column) -> Column:
     """Python's ``str.split()``: split at white-space runs, no empty words."""
-    return F.filter(F.split(text, f"[{SPACE}]+", -1), lambda w: w != "")
+    return F.array_remove(F.split(text, f"[{SPACE}]+", -1), "")
 
 
 def words_at(text: Column) -> Column:

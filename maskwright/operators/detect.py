@@ -75,30 +75,31 @@ def text_spans(text: str, rules: list[TextRule]) -> Column:
     def by_rule(native_boundary: bool, ascii_only: bool = False) -> str:
         def one(r: TextRule) -> str:
             regex = tx.sql_literal(tx.java_regex(r.pattern, native_boundary, ascii_only))
-            hit = f"regexp_replace({t}, {regex}, concat(mark, '$0', mark))"
-            if r.needs:
-                hit = f"CASE WHEN {_contains_any(t, r.needs)} THEN {hit} END"
-            label = tx.sql_literal(r.label)
-            return f"named_struct('ord', {r.ord}, 'label', {label}, 'specificity', {r.specificity}, 'marked', {hit})"
+            hit = f"regexp_replace({t}, {regex}, between)"
+            return f"CASE WHEN {_contains_any(t, r.needs)} THEN {hit} END" if r.needs else hit
 
         return f"array({', '.join(one(r) for r in rules)})"
 
+    # what the spans of a rule have in common, a literal; a marked text is longer than the text
+    abouts = (f"named_struct('ord', {r.ord}, 'label', {tx.sql_literal(r.label)}, 'specificity', {r.specificity})" for r in rules)
+    infos = f"array({', '.join(abouts)})"
     odd = tx.sql_literal(tx.ODD_WORD)
     each = (
         f"CASE WHEN octet_length({t}) = length({t}) THEN {by_rule(True, True)} "
         f"WHEN NOT rlike({t}, {odd}) THEN {by_rule(True)} ELSE {by_rule(False)} END"
     )
     def spans_at(start: str, end: str) -> str:
-        one_span = _sql_span(start, end, "element_at(pieces, i + 1)", "m.label", "regex", "m.specificity", "m.ord")
+        one_span = _sql_span(start, end, "element_at(pieces, i + 1)", "info.label", "regex", "info.specificity", "info.ord")
         return f"transform(sequence(1, size(pieces) - 2, 2), i -> {one_span})"
 
     totals = tx.sql_let(
         tx.sql_running_totals("transform(pieces, p -> length(p))"), "starts", spans_at("element_at(starts, i + 1)", "element_at(starts, i + 2)")
     )
-    counted = spans_at("length(substring_index(m.marked, mark, i)) - i + 1", "length(substring_index(m.marked, mark, i + 1)) - i")
-    placed = f"CASE WHEN octet_length(m.marked) <= {tx.SHORT} AND octet_length(mark) = 1 THEN {counted} ELSE {totals} END"
-    of_rule = tx.sql_let("split(m.marked, mark, -1)", "pieces", placed)
-    found = f"flatten(transform(filter({each}, m -> contains(m.marked, mark)), m -> {of_rule}))"
+    counted = spans_at("length(substring_index(m, mark, i)) - i + 1", "length(substring_index(m, mark, i + 1)) - i")
+    placed = f"CASE WHEN octet_length(m) <= {tx.SHORT} AND octet_length(mark) = 1 THEN {counted} ELSE {totals} END"
+    of_rule = tx.sql_let("element_at(infos, r + 1)", "info", tx.sql_let("split(m, mark, -1)", "pieces", placed))
+    by_rules = f"transform({each}, (m, r) -> CASE WHEN octet_length(m) > octet_length({t}) THEN {of_rule} END)"
+    found = tx.sql_let(infos, "infos", tx.sql_let("concat(mark, '$0', mark)", "between", f"flatten(filter({by_rules}, f -> f IS NOT NULL))"))
     return F.expr(tx.sql_let(tx.sql_mark(t), "mark", found))
 
 
@@ -168,17 +169,25 @@ def context_spans(text: str, keys: list[ContextKey]) -> Column:
         return no_spans()
     t = f"`{text}`"
     patterns = list(dict.fromkeys(k.pattern for k in keys))
-    regexes = [tx.java_regex(p) for p in patterns]
+    exact, ascii_only = [tx.java_regex(p) for p in patterns], [tx.java_regex(p, True, True) for p in patterns]
 
-    def by_pattern(of: Callable[[str], str]) -> str:
+    def by_pattern(regexes: list[str], of: Callable[[str], str]) -> str:
         cases = " ".join(f"WHEN {i} THEN {of(p)}" for i, p in enumerate(regexes))
         return f"CASE w.key.pattern {cases} END"
 
+    def by_text(of: Callable[[str], str], of_exact: Callable[[str], str]) -> str:
+        plain = "octet_length(w.text) = length(w.text)"
+        return f"CASE WHEN {plain} THEN {by_pattern(ascii_only, of)} ELSE {by_pattern(exact, of_exact)} END"
+
     window = f"named_struct('pos', h.pos, 'key', h.key, 'text', {tx.sql_cut('chunks', 'h.pos', 'h.key.window')})"
-    value = by_pattern(lambda p: f"regexp_extract(w.text, {tx.sql_literal(p)}, 0)")
-    # the shortest lead before a match is the lead of the leftmost match
-    lead = by_pattern(lambda p: f"regexp_extract(w.text, {tx.sql_literal(rf'\A([\s\S]*?)(?:{p})')}, 1)")
-    values = f"transform(transform(found, h -> {window}), w -> named_struct('start', w.pos + length({lead}), 'text', {value}, 'key', w.key))"
+    match = lambda p: f"regexp_extract(w.text, {tx.sql_literal(p)}, 0)"
+    value = by_text(match, match)
+    # the shortest lead before a match is the lead of the leftmost match; places in an ASCII text are those of Java
+    lead = by_text(
+        lambda p: f"greatest(regexp_instr(w.text, {tx.sql_literal(p)}) - 1, 0)",
+        lambda p: f"length(regexp_extract(w.text, {tx.sql_literal(rf'\A([\s\S]*?)(?:{p})')}, 1))",
+    )
+    values = f"transform(transform(found, h -> {window}), w -> named_struct('start', w.pos + {lead}, 'text', {value}, 'key', w.key))"
     one_span = _sql_span(
         "f.start", "f.start + length(f.text)", "f.text", "f.key.label", "context", str(fixed.CONTEXT_SPECIFICITY), "f.key.ord"
     )

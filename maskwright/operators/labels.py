@@ -55,11 +55,10 @@ def with_has_pii(df: DataFrame) -> DataFrame:
 
 def spans_to_bio(docs: DataFrame, spans: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Texts with a span array -> tagged sentences of white-space words."""
-    tagged = docs.select(F.col(key).alias("sent_id"), F.col(spans).alias("_spans"), tx.words_at(F.col(text)).alias("_words"))
-    labels = tx.let(
-        F.struct(F.col("_words").alias("w"), F.col("_spans").alias("s")), lambda v: bio.tag_words(v["w"], v["s"])
-    )
-    return tagged.select("sent_id", F.col("_words.word").alias("tokens"), labels.alias("labels"))
+    tokens = F.coalesce(tx.words(F.col(text)), F.array().cast("array<string>"))
+    placed = docs.select(F.col(key).alias("sent_id"), F.col(spans).alias("_spans"), F.col(text).alias("_text"), tokens.alias("tokens"))
+    labels = tx.let(F.col("_spans"), lambda s: bio.tag_text(F.col("_text"), F.size("tokens"), s))
+    return placed.select("sent_id", "tokens", labels.alias("labels"))
 
 
 def add_swapcase(df: DataFrame, tagged: Column | None = None) -> DataFrame:
