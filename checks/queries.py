@@ -459,7 +459,10 @@ def redact_span_stream(spark, sf):
         "spans": spans.select("doc_id", F.col("start").cast("long"), F.col("end").cast("long"), "label", "score", "found_at"),
     }
     # one run a period, as rows come in time: state never holds more than two periods
-    periods = -(-notes.count() // PERIOD_ROWS)
+    rows, cores = notes.count(), spark.sparkContext.defaultParallelism
+    periods = -(-rows // PERIOD_ROWS)
+    # full rounds of tasks, each as small as those of the notes
+    parts = cores * max(1, -(-min(rows, PERIOD_ROWS) // (st.TASK_ROWS["orders"] * cores)))
     shares = [i / periods for i in range(1, periods)]
     cuts = sorted({int(x) for x in notes.approxQuantile("doc_id", shares, 0.001)}) if shares else []
     doc = F.col("doc_id")
@@ -469,12 +472,12 @@ def redact_span_stream(spark, sf):
         for name, df in sides.items():
             # a row without a key belongs to the first period
             mine = df.filter(F.coalesce(~early & ~late, F.lit(True)))
-            mine.coalesce(spark.sparkContext.defaultParallelism).write.parquet(f"{path}/{name}/part={2 * i}")
+            mine.coalesce(cores).write.parquet(f"{path}/{name}/part={2 * i}")
             if high is None:
                 last = spark.range(1).select(*[end.alias(c) if k == "timestamp" else F.lit(-1).cast(k).alias(c) if c == "doc_id" else F.lit(None).cast(k).alias(c) for c, k in df.dtypes])
                 last.coalesce(1).write.parquet(f"{path}/{name}/part={2 * i + 1}")
         streams = [spark.readStream.schema(df.schema).parquet(f"{path}/{name}/part=*") for name, df in sides.items()]
-        for query in start_joined_sink(*streams, f"{path}/out", f"{path}/state", Wait("2 seconds", "1 second")):
+        for query in start_joined_sink(*streams, f"{path}/out", f"{path}/state", Wait("2 seconds", "1 second"), state_parts=parts, more=high is not None):
             query.awaitTermination()
     return spark.read.parquet(f"{path}/out/redacted").filter("doc_id >= 0").select("doc_id", "redacted_text")
 

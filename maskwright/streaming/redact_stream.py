@@ -7,9 +7,11 @@ own wait with their documents in the state of a time-interval join, as long as t
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
@@ -63,17 +65,41 @@ def span_rejects(docs: DataFrame, spans: DataFrame, wait: Wait = Wait()) -> Data
     return lost.select(F.col("_doc").alias("doc_id"), "start", "end", "label", "score", "found_at")
 
 
+@contextmanager
+def _settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Settings for the queries started within: a query copies those of its session when it starts."""
+    was = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def start_joined_sink(
-    docs: DataFrame, spans: DataFrame, path: str, checkpoint: str, wait: Wait = Wait(), catalog: Catalog | None = None, **trigger
+    docs: DataFrame, spans: DataFrame, path: str, checkpoint: str, wait: Wait = Wait(), catalog: Catalog | None = None,
+    state_parts: int | None = None, more: bool = False, **trigger,
 ) -> tuple[StreamingQuery, StreamingQuery]:
-    """Stream ``redacted`` texts and span ``rejects`` to parquet tables below ``path``: two queries with checkpoints of their own."""
+    """Stream ``redacted`` texts and span ``rejects`` to parquet tables below ``path``: two queries with checkpoints of their own.
+
+    State is dealt to ``state_parts`` (None: as many as the session shuffles to), for as long as the checkpoint lives. Each costs
+    nine state stores, which write files in every batch: take as many as the rows need, not more. ``more``: a later run brings
+    more rows, so what is due leaves with them and not in a batch of its own at the end of this one.
+    """
     texts = redact_stream(with_spans(docs, spans, wait), catalog, ner="ner").select("doc_id", "at", "redacted_text")
+    settings = {"spark.sql.shuffle.partitions": str(state_parts)} if state_parts else {}
+    if more:
+        settings["spark.sql.streaming.noDataMicroBatches.enabled"] = "false"
 
     def start(out: DataFrame, name: str) -> StreamingQuery:
-        return (
+        writer = (
             out.writeStream.format("parquet").outputMode("append").option("path", f"{path.rstrip('/')}/{name}")
-            .option("checkpointLocation", f"{checkpoint.rstrip('/')}/{name}").trigger(**(trigger or {"availableNow": True})).start()
+            .option("checkpointLocation", f"{checkpoint.rstrip('/')}/{name}").trigger(**(trigger or {"availableNow": True}))
         )
+        with _settings(out.sparkSession, settings):
+            return writer.start()
 
     return start(texts, "redacted"), start(span_rejects(docs, spans, wait), "rejects")
 

@@ -67,3 +67,31 @@ def test_query_runs_by_period_with_bounded_state(spark, tmp_path, monkeypatch):
     assert want == {x for x in got if x[0] != 7} and len(want) == n - 1
     # a run before took all notes with their spans at once
     assert len(runs) >= 4 and max(most) < 2 * n
+
+
+def test_query_keeps_few_state_stores_and_batches(spark, tmp_path, monkeypatch):
+    orders = [(i, i % 17, datetime(2024, 1, 1 + i % 28)) for i in range(1, 301)]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(registered, "PERIOD_ROWS", 100)
+    runs = []
+
+    def started(*args, **kw):
+        both = start_joined_sink(*args, **kw)
+        for q in both:
+            q.awaitTermination()
+            runs.append([{o["numShufflePartitions"] for o in p["stateOperators"]} for p in q.recentProgress])
+        return both
+
+    monkeypatch.setattr(registered, "start_joined_sink", started)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        got = {(r.doc_id, r.redacted_text) for r in registered.redact_span_stream(spark, str(tmp_path)).collect()}
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "23"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    want = {(r.doc_id, r.redacted_text) for r in registered.redact_text(spark, str(tmp_path)).collect()}
+    assert got == want and len(got) == 300
+    # before, state was dealt to all 23, and each period took a second batch for what the watermark let go
+    assert {n for run in runs for batch in run for n in batch} == {spark.sparkContext.defaultParallelism}
+    assert len(runs) == 6 and all(len(run) == 1 for run in runs[:4])
