@@ -515,7 +515,8 @@ def spans_to_bio(spark, sf):
 
 def interval_tags(spark, sf):
     """The same tags from stored words and stored spans."""
-    found = sinks.as_table(st.adjudicated(spark, sf).select("doc_id", "text", "final"), "final")
+    placed = F.transform("final", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["label"].alias("label")))
+    found = sinks.as_table(st.adjudicated(spark, sf).select("doc_id", "text", placed.alias("final")), "final")
     words = sinks.as_table(interval.word_rows(found), "words")
     spans = found.select("doc_id", F.posexplode_outer("final").alias("ord", "s")).filter("s is not null")
     rows = interval.tag_rows(words, spans.select("doc_id", "ord", "s.start", "s.end", "s.label"))
