@@ -2,6 +2,7 @@ import json
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,3 +178,40 @@ def test_stream_equals_batch(spark, tmp_path):
     assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/text").collect()} == want
     assert {(r.doc_id, r.redacted_text) for r in spark.read.parquet(f"{tmp_path}/tables/redacted").collect()} == want
     assert spark.read.parquet(f"{tmp_path}/tables/vault").count() == 80
+
+
+def test_fields_of_plain_and_odd_lines(spark):
+    """Plain lines are cut at their spaces, not split into words; both ways give the fields of Python's split()."""
+    blocks = [
+        "-DOCSTART- -X- -X- O\nAda X Y B-PER\nmet X Y O\nshort X Y\ndocstart X Y O\nfive a b c I-X", "é X Y O\n😀 X Y B-Z", " led X Y O", "end X Y O ", "two  X Y O\na b  c d",
+        "tab\tX Y O\na X Y", "no\u00a0break X Y O", "x\u2003y X O", "a X Y O\n\nb X Y O", "\u001fz X Y O\n   \nb X Y O", "doc\u017ftart X Y O\nk X Y O", "a X Y O\r\nb X Y O\r", "", "   ", "one",
+    ]
+
+    def fields(block):
+        kept = [f for x in block.split("\n") if "DOCSTART" not in x.upper() and len(f := x.split()) >= 4]
+        return [f[0] for f in kept], [f[-1] for f in kept]
+
+    frame = spark.createDataFrame([*enumerate(blocks), (99, None)], "i int, value string")
+    found = corpora.conll_sentences(frame)
+    got = {r.i: (r.tokens, r.labels) for r in found.collect()}
+    assert got == {i: f for i, b in enumerate(blocks) if (f := fields(b))[0]}
+    # before, each line was split by a regex
+    assert "substring_index" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_runs_of_a_batch_are_joined_at_once():
+    """Runs between empty lines, over batches, splits and files; those closed within a batch leave as one batch."""
+    def batch(rows):
+        value, file, block, line = zip(*rows, strict=True)
+        columns = [pa.array(value), pa.array(file), pa.array(block, pa.int64()), pa.array(line, pa.int64()), pa.array(["k"] * len(rows))]
+        return pa.RecordBatch.from_arrays(columns, ["value", "file", "block", "line", "split"])
+
+    text = ["", "a", "b", "", "", "c", "", "d", "e", "f", "", "g"]
+    rows = [(x, "p", 0, i) for i, x in enumerate(text)] + [(x, "p", 50, 100 + i) for i, x in enumerate(["h", "", "i", ""])] + [("j", "q", 0, 200)]
+    want = [("p", 0, 1, 1, False, "a\nb"), ("p", 0, 3, 5, False, "c"), ("p", 0, 4, 7, False, "d\ne\nf"), ("p", 0, 5, 11, True, "g")]
+    want += [("p", 50, 0, 100, False, "h"), ("p", 50, 1, 102, False, "i"), ("p", 50, 2, None, True, ""), ("q", 0, 0, 200, True, "j")]
+    for size in (1, 2, 3, 5, len(rows)):
+        out = list(corpora._runs_of(iter([batch(rows[i : i + size]) for i in range(0, len(rows), size)])))
+        got = [tuple(r[c] for c in ("file", "block", "run", "first", "last", "value")) for b in out for r in b.to_pylist()]
+        assert got == want and all(r["split"] == "k" for b in out for r in b.to_pylist())
+    assert [b.num_rows for b in out] == [3, 1, 1, 1, 1, 1]
